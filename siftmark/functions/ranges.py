@@ -35,36 +35,26 @@ def bare_range(expr: Column) -> Column:
     made only of such parts holds every version. A bound that is no version makes
     the range hold nothing (null).
     """
-    part = lambda p: F.struct(
-        F.regexp_extract(p, BOUND, 1).alias("op"),
-        V.version_key(F.regexp_extract(p, BOUND, 2)).alias("key"),
-    )
-    parts = F.filter(
-        F.transform(F.split(expr, ","), lambda p: part(strip(p))), lambda b: b["op"] != ""
+    bounds = F.filter(
+        F.transform(
+            F.split(expr, ","),
+            lambda p: F.struct(
+                F.regexp_extract(strip(p), BOUND, 1).alias("op"),
+                V.version_key(F.regexp_extract(strip(p), BOUND, 2)).alias("key"),
+            ),
+        ),
+        lambda b: b["op"] != "",
     )
+    return F.get(F.call_function("transform", F.array(bounds), F.expr(_INTERVAL)), F.lit(0))
 
-    def interval(bounds: Column) -> Column:
-        lowers = F.transform(
-            F.filter(bounds, lambda b: b["op"].isin(">", ">=", "==")),
-            lambda b: F.when(b["op"] == ">", V.end_after(b["key"])).otherwise(
-                V.end_before(b["key"])
-            ),
-        )
-        uppers = F.transform(
-            F.filter(bounds, lambda b: b["op"].isin("<", "<=", "==")),
-            lambda b: F.when(b["op"] == "<", V.end_before(b["key"])).otherwise(
-                V.end_after(b["key"])
-            ),
-        )
-        return F.when(
-            ~F.exists(bounds, lambda b: b["key"].isNull()),
-            F.struct(
-                F.coalesce(F.array_max(lowers), F.lit(V.LOWEST)).alias("lower"),
-                F.coalesce(F.array_min(uppers), F.lit(V.HIGHEST)).alias("upper"),
-            ),
-        )
 
-    return _bind(parts, interval)
+# Greatest lower and least upper end of a list of (op, key), with ends placed as by
+# ``versions.end_before`` and ``end_after``.
+_INTERVAL = f"""bs -> case when not exists(bs, b -> b.key is null) then named_struct(
+  'lower', coalesce(array_max(transform(bs, b -> case when b.op in ('>=', '==')
+      then concat(b.key, '!0') when b.op = '>' then concat(b.key, '!2') end)), '{V.LOWEST}'),
+  'upper', coalesce(array_min(transform(bs, b -> case when b.op in ('<=', '==')
+      then concat(b.key, '!2') when b.op = '<' then concat(b.key, '!0') end)), '{V.HIGHEST}')) end"""
 
 
 def in_bare_range(version: Column, expr: Column) -> Column:
@@ -87,7 +77,7 @@ def _prefix_holds(key: Column, stem: Column) -> Column:
         F.slice(F.split(V.key_section(key, 2), r"\."), F.lit(1), width), "."
     )
     return (V.key_section(key, 1) == V.key_section(stem_key, 1)) & (
-        F.regexp_replace(head, r"(\.0010)+$", "") == V.key_section(stem_key, 2)
+        F.regexp_replace(head, r"(\.00000)+$", "") == V.key_section(stem_key, 2)
     )
 
 

@@ -5,10 +5,11 @@ order, and which is equal exactly for equal versions (``1.0`` and ``1.0.0``).
 A string key can be compared, hashed, joined, range-partitioned and pruned by
 Parquet statistics like any other column, and never leaves the JVM.
 
-Layout: ``epoch ! release ! pre ! post ! dev ! local``. Every number is written
-as its length in three digits and then its digits, so that byte order is
-numeric order for numbers of any size. ``!`` sorts before ``.``, and ``.``
-before digits and letters, so a shorter release or local label comes first.
+Layout: ``epoch ! release ! pre ! post ! dev ! local``. Numbers are padded to five
+digits; a longer one is written as ``:``, its length and its digits, which sorts
+after all padded ones, so byte order is numeric order for numbers of any size.
+``!`` sorts before ``.``, and ``.`` before digits and letters, so a shorter release
+or local label comes first.
 """
 
 from __future__ import annotations
@@ -27,62 +28,49 @@ VERSION_PATTERN = (
 _FIELDS = "\x01" + "\x01".join(f"${i}" for i in range(1, 11)) + "\x01"
 
 
-def _num(digits: Column) -> Column:
-    """A number as length and digits; an empty text counts as zero."""
-    d = F.ltrim(digits, F.lit("0"))
-    d = F.when(d == "", F.lit("0")).otherwise(d)
-    return F.concat(F.lpad(F.length(d).cast("string"), 3, "0"), d)
-
-
-def _release(text: Column) -> Column:
-    short = F.regexp_replace(text, r"(\.0+)+$", "")
-    return F.array_join(F.transform(F.split(short, r"\."), _num), ".")
+# The key is built from SQL text: one parsed expression instead of hundreds of calls.
 
 
-def _local(text: Column) -> Column:
-    part = lambda s: F.when(
-        s.rlike(r"^\d+$"), F.concat(F.lit("2"), _num(s))
-    ).otherwise(F.concat(F.lit("1"), s))
-    return F.when(text == "", F.lit("")).otherwise(
-        F.array_join(F.transform(F.split(text, "[-_.]"), part), ".")
+def num_sql(digits: str) -> str:
+    """A number so that text order is number order; an empty text counts as zero."""
+    d = f"ltrim('0', {digits})"
+    return (
+        f"case when length({d}) <= 5 then lpad({d}, 5, '0') "
+        f"else concat(':', lpad(cast(length({d}) as string), 3, '0'), {d}) end"
     )
 
 
-def _assemble(f: Column) -> Column:
-    """Sort key from the ten captured fields (array positions 1 to 10)."""
-    get = lambda i: F.get(f, F.lit(i))
-    epoch, release, pre, pre_n = get(1), get(2), get(3), get(4)
-    dash_n, post, post_n, dev, dev_n, local = get(5), get(6), get(7), get(8), get(9), get(10)
-    has_post = (dash_n != "") | (post != "")
-    pre_rank = (
-        F.when(pre.isin("a", "alpha"), F.lit("1"))
-        .when(pre.isin("b", "beta"), F.lit("2"))
-        .otherwise(F.lit("3"))
-    )
-    pre_part = (
-        F.when(pre != "", F.concat(pre_rank, _num(pre_n)))
-        .when((dev != "") & ~has_post, F.lit("0"))
-        .otherwise(F.lit("9"))
-    )
-    post_part = F.when(has_post, F.concat(F.lit("1"), _num(F.concat(dash_n, post_n)))).otherwise(
-        F.lit("0")
-    )
-    dev_part = F.when(dev != "", F.concat(F.lit("1"), _num(dev_n))).otherwise(F.lit("9"))
-    return F.concat_ws(
-        "!", _num(epoch), _release(release), pre_part, post_part, dev_part, _local(local)
-    )
+def _num(digits: Column) -> Column:
+    return F.get(F.call_function("transform", F.array(digits), F.expr(f"d -> {num_sql('d')}")), F.lit(0))
+
+
+# Fields of VERSION_PATTERN by array position: 1 epoch, 2 release, 3 pre, 4 its number,
+# 5 dash post number, 6 post, 7 its number, 8 dev, 9 its number, 10 local.
+_HAS_POST = "(f[5] <> '' or f[6] <> '')"
+_KEY_SECTIONS = [
+    num_sql("f[1]"),
+    "array_join(transform(split(regexp_replace(f[2], '([.]0+)+$', ''), '[.]'), "
+    f"n -> {num_sql('n')}), '.')",
+    "case when f[3] <> '' then concat(case when f[3] in ('a', 'alpha') then '1' "
+    f"when f[3] in ('b', 'beta') then '2' else '3' end, {num_sql('f[4]')}) "
+    f"when f[8] <> '' and not {_HAS_POST} then '0' else '9' end",
+    f"case when {_HAS_POST} then concat('1', {num_sql('concat(f[5], f[7])')}) else '0' end",
+    f"case when f[8] <> '' then concat('1', {num_sql('f[9]')}) else '9' end",
+    "case when f[10] = '' then '' else array_join(transform(split(f[10], '[-_.]'), "
+    f"p -> case when p rlike '^[0-9]+$' then concat('2', {num_sql('p')}) "
+    "else concat('1', p) end), '.') end",
+]
+_ASSEMBLE = f"f -> case when size(f) = 12 then concat_ws('!', {', '.join(_KEY_SECTIONS)}) end"
 
 
 def version_key(version: Column) -> Column:
     """Sortable key of a PEP 440 version; null when the text is not a version.
 
-    One regular expression runs per value; wrapping the captured fields in a
-    one-element array binds them once for the expressions that read them.
+    One regular expression runs per value; wrapping its fields in a one-element array
+    binds them once for the expressions that read them.
     """
     fields = F.split(F.regexp_replace(F.lower(version), VERSION_PATTERN, _FIELDS), "\x01")
-    return F.get(
-        F.transform(F.array(fields), lambda f: F.when(F.size(f) == 12, _assemble(f))), F.lit(0)
-    )
+    return F.get(F.call_function("transform", F.array(fields), F.expr(_ASSEMBLE)), F.lit(0))
 
 
 def key_section(key: Column, i: int) -> Column:

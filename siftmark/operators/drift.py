@@ -11,8 +11,9 @@ from siftmark.functions.text import filled, null_to_blank
 DIFF_KEY = ["ecosystem", "component", "version", "vuln_id"]
 
 
-def finding_keys(df: DataFrame) -> DataFrame:
+def finding_keys(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(
+        *keep,
         *[F.col(c) for c in ("ecosystem", "component", "version")],
         preferred_id(F.col("cve"), F.col("osv_id")).alias("vuln_id"),
     )
@@ -102,7 +103,7 @@ def diff_examples(gt0: DataFrame, gt1: DataFrame, k: int = 25) -> DataFrame:
 
     A key fills as many places as it has surplus rows, so ``k`` keys always suffice.
     """
-    keyed = finding_keys(gt1).withColumn("ord", gt1["ord"])
+    keyed = finding_keys(gt1, "ord")
     old = finding_keys(gt0).groupBy(*DIFF_KEY).agg(F.count("*").alias("c0"))
     new = keyed.groupBy(*DIFF_KEY).agg(F.count("*").alias("c1"), F.min("ord").alias("seen"))
     surplus = F.col("c1") - F.coalesce(F.col("c0"), F.lit(0))

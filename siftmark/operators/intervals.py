@@ -9,10 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# More levels than any group of versions can need.
-_LEVELS = 62
-
-
 def _canonical_blocks(first: Column, past: Column) -> Column:
     """Aligned power-of-two blocks that tile ``[first, past)``: at most two per level."""
     def at(level: Column) -> Column:
@@ -44,32 +40,42 @@ def _enclosing_blocks(index: Column, count: Column) -> Column:
     )
 
 
-def first_covering(
-    points: DataFrame, intervals: DataFrame, group: list[str], owner: list[str], order: str
+def covering(
+    points: DataFrame, intervals: DataFrame, group: list[str], tag: str, owner: list[str], order: str
 ) -> DataFrame:
-    """For each point and owner, the least ``order`` among that owner's intervals over it.
+    """(group, tag, owner, order): the intervals' orders that reach each point.
 
-    ``points``: group columns and ``position``, distinct. ``intervals``: group and owner
-    columns, ``lower``, ``upper`` and ``order``. Points are numbered in order inside their
-    group; an interval then spans a run of numbers, which splits into at most two aligned
-    blocks per power of two, and a point lies in one block per power of two. Equal blocks
-    meet in a hash join, so ``p`` points and ``r`` intervals cost ``(p + r) log p``, not
-    ``p * r``, and a hot group spreads over its blocks.
+    ``points``: group columns, ``tag`` and ``position``. ``intervals``: group and owner
+    columns, ``lower``, ``upper`` and ``order``. The least ``order`` per point and owner is
+    that of the first interval over the point; a point meets at most one row per owner and
+    power of two, not one per interval.
+
+    Points are numbered along the axis inside their group; an interval then spans a run of
+    numbers, which splits into at most two aligned blocks per power of two, and a point lies
+    in one block per power of two. Equal blocks meet in a hash join, so ``p`` points and
+    ``r`` intervals cost ``(p + r) log p``, not ``p * r``, and a hot group spreads over its
+    blocks.
     """
     none = F.lit(None).cast("string")
-    marks = points.select(
-        *group, F.col("position").alias("at"), F.lit(1).cast("bigint").alias("is_point"), none.alias("end"),
-        *[none.alias(c) for c in owner], none.alias("lower"), none.alias("upper"),
-        none.alias(order),
-    )
-    spans = intervals.select(*group, *owner, "lower", "upper", order)
-    for end, at in (("lower", "lower"), ("upper", "upper")):
-        marks = marks.unionByName(
-            spans.select(
-                *group, F.col(at).alias("at"), F.lit(0).cast("bigint").alias("is_point"), F.lit(end).alias("end"),
-                *owner, "lower", "upper", order,
+    n = lambda i: F.lit(i).cast("bigint").alias("is_point")
+    spans = intervals.select(
+        *group,
+        none.alias(tag),
+        n(0),
+        *owner,
+        order,
+        "lower",
+        "upper",
+        F.inline(
+            F.array(
+                F.struct(F.col("lower").alias("at"), F.lit(True).alias("is_lower")),
+                F.struct(F.col("upper").alias("at"), F.lit(False).alias("is_lower")),
             )
-        )
+        ),
+    )
+    marks = spans.unionByName(
+        points.select(*group, tag, n(1), F.col("position").alias("at")), allowMissingColumns=True
+    )
     running = Window.partitionBy(*group).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*group)
     ranked = marks.select(
@@ -78,27 +84,21 @@ def first_covering(
         F.sum("is_point").over(whole).alias("n_points"),
     ).where("n_points > 0")
     located = ranked.where("is_point = 1").select(
-        *group,
-        F.col("at").alias("position"),
-        F.inline(_enclosing_blocks(F.col("before") - 1, F.col("n_points"))),
+        *group, tag, F.inline(_enclosing_blocks(F.col("before") - 1, F.col("n_points")))
     )
     tiles = (
         ranked.where("is_point = 0")
         .groupBy(*group, *owner, "lower", "upper", order)
         .agg(
-            F.min(F.when(F.col("end") == "lower", F.col("before"))).alias("first"),
-            F.min(F.when(F.col("end") == "upper", F.col("before"))).alias("past"),
+            F.min(F.when(F.col("is_lower"), F.col("before"))).alias("first"),
+            F.max(F.when(~F.col("is_lower"), F.col("before"))).alias("past"),
         )
         .where("first < past")
         .select(*group, *owner, order, F.inline(_canonical_blocks(F.col("first"), F.col("past"))))
         .groupBy(*group, *owner, "level", "block")
         .agg(F.min(order).alias(order))
     )
-    return (
-        located.join(tiles, [*group, "level", "block"])
-        .groupBy(*group, *owner, "position")
-        .agg(F.min(order).alias(order))
-    )
+    return located.join(tiles, [*group, "level", "block"]).select(*group, tag, *owner, order)
 
 
 def covered(points: DataFrame, intervals: DataFrame, group: list[str]) -> DataFrame:

@@ -19,9 +19,10 @@ from siftmark.functions import ranges as R
 from siftmark.functions import versions as V
 from siftmark.functions.identity import id_set
 from siftmark.functions.text import filled
-from siftmark.operators.intervals import covered, first_covering
+from siftmark.operators.intervals import covered, covering
 
-PACKAGE = ["ecosystem", "component"]
+# The finer column first: sorts compare its leading bytes before anything else.
+PACKAGE = ["component", "ecosystem"]
 IDS = ["cve", "ghsa", "osv_id"]
 SIGNATURE = [*PACKAGE, "version", *IDS]
 
@@ -40,40 +41,55 @@ def _by_id(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns, F.explode(id_set(*[F.col(c) for c in IDS])).alias("id"))
 
 
-def parsed_ranges(ranges: DataFrame) -> DataFrame:
-    """Each distinct range text parsed to (lower, upper); ranges that hold nothing go."""
-    return (
-        ranges.withColumn("r", R.bare_range(F.col("affected_version_range")))
-        .where("r.lower < r.upper")
-        .select("*", "r.lower", "r.upper")
-        .drop("r", "affected_version_range")
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters read, computed once per row.
+
+    A filter on a plain projected column is pushed below it and computes it a second
+    time; a generator is not crossed.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def parsed_ranges(ranges: DataFrame, findings: DataFrame) -> DataFrame:
+    """Range texts as (lower, upper); ranges that hold nothing go.
+
+    ``findings`` supplies the distinct texts: each is parsed once, from a scan of that one
+    column, and the short result joins the many places that use it.
+    """
+    name = "affected_version_range"
+    texts = findings.select(name).where(filled(F.col(name))).distinct()
+    parsed = once(texts, "r", R.bare_range(F.col(name))).where("r.lower < r.upper")
+    return ranges.join(parsed.select(name, "r.lower", "r.upper"), name).drop(name)
+
+
+def with_position(versions: DataFrame) -> DataFrame:
+    """Versions that can be read, with their place on the version axis."""
+    return once(versions, "position", V.point(V.version_key(F.col("version")))).where(
+        "position is not null"
     )
 
 
 def candidates(sigs: DataFrame, findings: DataFrame, owner: list[str]) -> DataFrame:
-    """(owner, package, version, id) -> least (kind, ord); kind 0 exact, 1 by range."""
+    """(owner, package, version, id, kind, ord): kind 0 same version, 1 by range.
+
+    The least (kind, ord) of a version and id is the finding to choose.
+    """
     by_id = _by_id(findings, *owner, "ord", *PACKAGE, "version", "affected_version_range")
     exact = (
-        by_id.groupBy(*owner, *PACKAGE, "version", "id")
+        by_id.groupBy(*PACKAGE, "version", "id", *owner)
         .agg(F.min("ord").alias("finding_ord"))
         .withColumn("kind", F.lit(0))
     )
     intervals = parsed_ranges(
         by_id.where(filled(F.col("affected_version_range")))
-        .groupBy(*owner, *PACKAGE, "id", "affected_version_range")
-        .agg(F.min("ord").alias("finding_ord"))
-    )
-    versions = (
-        _by_id(sigs, *PACKAGE, "version")
-        .distinct()
-        .withColumn("position", V.point(V.version_key(F.col("version"))))
-        .where("position is not null")
-    )
-    group = [*PACKAGE, "id"]
-    hits = first_covering(
-        versions.select(*group, "position").distinct(), intervals, group, owner, "finding_ord"
+        .groupBy(*PACKAGE, "id", "affected_version_range", *owner)
+        .agg(F.min("ord").alias("finding_ord")),
+        findings,
     )
-    ranged = versions.join(hits, [*group, "position"]).withColumn("kind", F.lit(1))
+    versions = with_position(_by_id(sigs, *PACKAGE, "version").distinct())
+    ranged = covering(
+        versions, intervals, [*PACKAGE, "id"], "version", owner, "finding_ord"
+    ).withColumn("kind", F.lit(1))
     columns = [*owner, *PACKAGE, "version", "id", "kind", "finding_ord"]
     return exact.select(*columns).unionByName(ranged.select(*columns))
 
@@ -88,7 +104,7 @@ def matched_signatures(gt: DataFrame, findings: DataFrame, owner: list[str]) ->
     return (
         _by_id(sigs, *SIGNATURE, "n_rows")
         .join(candidates(sigs, findings, owner), [*PACKAGE, "version", "id"])
-        .groupBy(*owner, *SIGNATURE)
+        .groupBy(*SIGNATURE, *owner)
         .agg(
             F.min(F.struct("kind", "finding_ord")).alias("best"),
             F.first("n_rows").alias("n_rows"),
@@ -136,9 +152,10 @@ def classify_misses(misses: DataFrame, findings: DataFrame) -> DataFrame:
     ranges = parsed_ranges(
         findings.where(filled(F.col("affected_version_range")))
         .select("tool", *PACKAGE, "affected_version_range")
-        .distinct()
+        .distinct(),
+        findings,
     )
-    located = spots.withColumn("position", V.point(V.version_key(F.col("version"))))
+    located = once(spots, "position", V.point(V.version_key(F.col("version"))))
     group = ["tool", *PACKAGE]
     inside = covered(
         located.where("position is not null").select(*group, "position").distinct(), ranges, group
