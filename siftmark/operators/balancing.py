@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from siftmark.functions.text import null_to_blank, strip
 from siftmark.operators.datasets import COMPONENT, COORDINATE
 from siftmark.operators.ranking import row_number_within
+from siftmark.session import written
 
 _SEP = "\x01"
 
@@ -30,7 +31,10 @@ def allotments(rows: DataFrame, ecosystems: list[str], strategy: str = "min") ->
     """Per group its size, the ecosystem's target and how many rows it gives (``take``)."""
     if strategy not in ("min", "median"):
         raise ValueError(f"unknown strategy: {strategy}")
-    sizes = _prepared(rows, ecosystems).groupBy(*COORDINATE).agg(F.count("*").alias("size"))
+    # The group table is read by every step below, so it is written once.
+    sizes = written(
+        _prepared(rows, ecosystems).groupBy(*COORDINATE).agg(F.count("*").alias("size"))
+    )
     totals = sizes.groupBy(*COMPONENT).agg(F.sum("size").alias("component_rows"))
     groups = sizes.join(totals, COMPONENT)
 
@@ -38,8 +42,8 @@ def allotments(rows: DataFrame, ecosystems: list[str], strategy: str = "min") ->
     per_eco = histogram.groupBy("ecosystem").agg(F.sum(F.col("size") * F.col("n")).alias("rows"))
     # One row per ecosystem from here to the target.
     everyone = Window.partitionBy()
-    middle = F.min("rows") if strategy == "min" else F.floor(F.median("rows"))
-    target = per_eco.withColumn("target", middle.over(everyone).cast("bigint"))
+    middle = F.min("rows") if strategy == "min" else F.median("rows")
+    target = per_eco.withColumn("target", F.floor(middle.over(everyone)).cast("bigint"))
 
     up = Window.partitionBy("ecosystem").orderBy("size")
     so_far = up.rowsBetween(Window.unboundedPreceding, 0)
@@ -72,7 +76,9 @@ def allotments(rows: DataFrame, ecosystems: list[str], strategy: str = "min") ->
         (left - extra_rounds * F.col("alive")).alias("rest"),
     )
     # Without a cut the target reaches past the last row and everything is kept.
-    planned = groups.join(target.drop("rows"), "ecosystem").join(cut, "ecosystem", "left")
+    planned = written(
+        groups.join(target.drop("rows"), "ecosystem").join(cut, "ecosystem", "left")
+    )
 
     running = (
         planned.where("size > rounds")

@@ -17,6 +17,8 @@ from siftmark.operators.matching import (
     with_signature,
 )
 
+from siftmark.session import written
+
 
 def ratio(numerator: Column, denominator: Column) -> Column:
     """A quotient that is 0 when there is nothing to divide by."""
@@ -138,7 +140,7 @@ def top_groups(
     A group with a hit is first seen there, so its extra findings do not matter for ties;
     a group without one has no chosen finding, so its first finding is its first extra.
     """
-    matched = matched_signatures(gt, findings, ["tool"])
+    matched = written(matched_signatures(gt, findings, ["tool"]))
     counts = outcome_counts(gt, findings, matched, tools, by)
     order = Window.partitionBy("tool").orderBy(F.desc(measure), "seen")
     return (
@@ -172,14 +174,17 @@ def report_summary(gt: DataFrame, findings: DataFrame, tools: list[str]) -> Data
 
 
 def report_matrix(
-    gt: DataFrame, findings: DataFrame, classified_fp: DataFrame, tools: list[str]
+    gt: DataFrame,
+    findings: DataFrame,
+    matched: DataFrame,
+    classified_fp: DataFrame,
+    tools: list[str],
 ) -> DataFrame:
     """Per tool and ecosystem, and a TOTAL row: all outcome classes and scores.
 
     ``classified_fp`` has tool, ecosystem, fp_class. CVEs of the TOTAL row are distinct
     over all ecosystems, so they are counted apart, not summed.
     """
-    matched = matched_signatures(gt, findings, ["tool"])
     misses = classify_misses(miss_signatures(gt, matched, tools), findings)
     zero = F.lit(0).cast("bigint")
     flag = lambda col, value: F.when(F.col(col) == value, F.col("n")).otherwise(zero)

@@ -137,21 +137,23 @@ def erfc(x: pd.Series) -> pd.Series:
 
 def cochran_q(pattern_counts: DataFrame) -> DataFrame:
     """Cochran's Q over all tools: statistic, degrees of freedom, p."""
-    per_tool = (
-        pattern_counts.select("n", F.inline("pattern"))
+    hits = F.aggregate("pattern", F.lit(0), lambda a, p: a + p["detected"]).cast("double")
+    # Every pattern shows once per tool, so each tool's rows carry the row sums as well.
+    both = (
+        pattern_counts.select("n", hits.alias("r"), F.inline("pattern"))
         .groupBy("tool")
-        .agg(F.sum(F.col("n") * F.col("detected")).alias("c"))
         .agg(
-            F.sum(F.col("c").cast("double") * F.col("c")).alias("sum_c2"),
+            F.sum(F.col("n") * F.col("detected")).cast("double").alias("c"),
+            F.sum(F.col("n") * F.col("r")).alias("sum_r"),
+            F.sum(F.col("n") * F.col("r") * F.col("r")).alias("sum_r2"),
+        )
+        .agg(
+            F.sum(F.col("c") * F.col("c")).alias("sum_c2"),
             F.count("*").cast("double").alias("k"),
+            F.max("sum_r").alias("sum_r"),
+            F.max("sum_r2").alias("sum_r2"),
         )
     )
-    hits = F.aggregate("pattern", F.lit(0), lambda a, p: a + p["detected"]).cast("double")
-    per_row = pattern_counts.select("n", hits.alias("r")).agg(
-        F.sum(F.col("n") * F.col("r")).alias("sum_r"),
-        F.sum(F.col("n") * F.col("r") * F.col("r")).alias("sum_r2"),
-    )
-    both = per_tool.withColumn("one", F.lit(1)).join(per_row.withColumn("one", F.lit(1)), "one")
     k, sum_r = F.col("k"), F.col("sum_r")
     below = k * sum_r - F.col("sum_r2")
     q = F.when(below == 0, F.lit(0.0)).otherwise(

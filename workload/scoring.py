@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftmark.functions.identity import id_set
 from siftmark.operators import datasets, matching, metrics, taxonomy
+from siftmark.session import written
 from siftmark.sources.base import deduplicated
 from workload.views import SCORING, TOOLS, ctes, in_range, rounded, sql, table, view
 
@@ -43,9 +44,9 @@ def _aliases(spark, d):
     return view(spark, d, "gt1").select("ecosystem", "component", F.col("cve").alias("alias"))
 
 
-def _classified(spark, d):
+def _classified(spark, d, hits=None):
     gt, f = _inputs(spark, d)
-    hits = matching.matched_signatures(gt, f, ["tool"])
+    hits = hits or matching.matched_signatures(gt, f, ["tool"])
     return taxonomy.classify_extra(matching.false_positives(f, hits), _aliases(spark, d))
 
 
@@ -116,7 +117,8 @@ def report_summary(spark, d):
 
 def report_matrix(spark, d):
     gt, f = _inputs(spark, d)
-    out = metrics.report_matrix(gt, f, _classified(spark, d), TOOLS)
+    hits = written(matching.matched_signatures(gt, f, ["tool"]))
+    out = metrics.report_matrix(gt, f, hits, _classified(spark, d, hits), TOOLS)
     return rounded(out, "Recall", "Recall_EXACT", "Overlap")
 
 
@@ -126,10 +128,10 @@ def gt_osv_summary(spark, d):
 
 def heuristic_quality(spark, d):
     gt, f = _inputs(spark, d)
-    hits = matching.matched_signatures(gt, f, ["tool"])
+    hits = written(matching.matched_signatures(gt, f, ["tool"]))
     mark = F.when(taxonomy.names_product(F.col("description")), "FP-LIKELY")
     extra = matching.false_positives(f, hits).select("tool", F.lit("FP").alias("outcome"), mark.alias("fp_class"))
-    found = _matched(spark, d).where("match_type is not null").select(
+    found = matching.with_signature(gt).join(hits, matching.SIGNATURE).select(
         "tool", F.lit("TP").alias("outcome"), mark.alias("fp_class")
     )
     return rounded(
