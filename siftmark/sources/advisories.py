@@ -36,7 +36,7 @@ OSS_INDEX = """array<struct<coordinates: string, coordinate: string,
 OSV = """struct<vulns: array<struct<id: string, aliases: array<string>, summary: string,
     details: string, affected: array<struct<versions: array<string>,
         ranges: array<struct<type: string, events: array<struct<
-            introduced: string, fixed: string, last_affected: string>>>>>>>>"""
+            introduced: string, fixed: string, last_affected: string>>>>>>>>>"""
 
 COORDINATE = ["ecosystem", "component", "version"]
 

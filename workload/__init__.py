@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["scoring", "comparison", "changes", "building", "versioning", "authority"]
+_MODULES = ["scoring", "comparison", "changes", "building", "versioning", "authority", "scanning"]
 
 
 def registered() -> dict:
