@@ -69,55 +69,37 @@ SPECIFIER = r"^\s*(===|~=|==|!=|<=|>=|<|>)\s*(\S+)\s*$"
 WILDCARD = r"^v?(?:\d+!)?\d+(?:\.\d+)*\.\*$"
 
 
-def _prefix_holds(key: Column, stem: Column) -> Column:
-    """Whether a version starts with the release numbers of ``stem`` (no ``.*``)."""
-    width = F.size(F.split(F.regexp_replace(stem, "^[^!]*!", ""), r"\."))
-    stem_key = V.version_key(stem)
-    head = F.array_join(
-        F.slice(F.split(V.key_section(key, 2), r"\."), F.lit(1), width), "."
-    )
-    return (V.key_section(key, 1) == V.key_section(stem_key, 1)) & (
-        F.regexp_replace(head, r"(\.00000)+$", "") == V.key_section(stem_key, 2)
-    )
-
-
-def _specifier_holds(text: Column, key: Column, op: Column, bound: Column) -> Column:
-    """One specifier of PEP 440; null when the bound is not allowed for the operator."""
-    bkey = V.version_key(bound)
-    public = V.public_of(key)
-    same_base = V.base_of(key) == V.base_of(bkey)
-    local_bound = bound.contains("+")
-
-    equal = F.when(bound.rlike(WILDCARD), _prefix_holds(key, F.regexp_replace(bound, r"\.\*$", "")))
-    equal = equal.when(local_bound, key == bkey).otherwise(public == bkey)
-
-    below = (key < bkey) & ~(
-        V.is_prerelease(key) & ~V.is_prerelease(bkey) & same_base
-    )
-    above = (
-        (key > bkey)
-        & ~(V.is_postrelease(key) & ~V.is_postrelease(bkey) & same_base)
-        & ~(V.has_local(key) & same_base)
-    )
-    stem = F.regexp_replace(
-        F.regexp_extract(bound, r"^(v?(?:\d+!)?\d+(?:\.\d+)*)", 1), r"\.\d+$", ""
-    )
-    compatible = F.when(
-        bkey.isNotNull()
-        & F.regexp_extract(bound, r"^v?(?:\d+!)?(\d+(?:\.\d+)*)", 1).contains("."),
-        (public >= bkey) & _prefix_holds(key, stem),
-    )
-    plain = lambda test: F.when(~local_bound, test)
-    return (
-        F.when(op == "===", F.lower(strip(text)) == F.lower(bound))
-        .when(op == "==", equal)
-        .when(op == "!=", ~equal)
-        .when(op == "~=", plain(compatible))
-        .when(op == ">=", plain(public >= bkey))
-        .when(op == "<=", plain(public <= bkey))
-        .when(op == "<", plain(below))
-        .when(op == ">", plain(above))
-    )
+def _bind_sql(value: Column, body: str) -> Column:
+    """``_bind`` with the body as SQL text: one parsed expression, read once per row."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(body)), F.lit(0))
+
+
+_PUBLIC = "concat(substring_index(b.vkey, '!', 5), '!')"
+_SAME_BASE = "substring_index(b.vkey, '!', 2) = substring_index(b.key, '!', 2)"
+_PRE = "(split_part({k}, '!', 3) <> '9' or split_part({k}, '!', 5) <> '9')"
+_POST = "split_part({k}, '!', 4) <> '0'"
+# Whether the version starts with the release numbers of the stem.
+_PREFIX = """(split_part(b.vkey, '!', 1) = split_part(b.stem_key, '!', 1)
+  and regexp_replace(array_join(slice(split(split_part(b.vkey, '!', 2), '[.]'), 1,
+      size(split(regexp_replace(b.stem, '^[^!]*!', ''), '[.]'))), '.'), '([.]00000)+$', '')
+    = split_part(b.stem_key, '!', 2))"""
+# One specifier of PEP 440; null when the bound is not allowed for the operator.
+_TEST = f"""b -> case
+  when b.op = '===' then lower(trim(b.text)) = b.bound
+  when b.op in ('==', '!=') then (b.op = '==') = (case when b.bound like '%.*' then {_PREFIX}
+    when b.bound like '%+%' then b.vkey = b.key else {_PUBLIC} = b.key end)
+  when b.bound like '%+%' or b.key is null then null
+  when b.op = '~=' then case when b.stem <> '' then {_PUBLIC} >= b.key and {_PREFIX} end
+  when b.op = '>=' then {_PUBLIC} >= b.key
+  when b.op = '<=' then {_PUBLIC} <= b.key
+  when b.op = '<' then b.vkey < b.key and not (
+    {_PRE.format(k='b.vkey')} and not {_PRE.format(k='b.key')} and {_SAME_BASE})
+  when b.op = '>' then b.vkey > b.key
+    and not ({_POST.format(k='b.vkey')} and not {_POST.format(k='b.key')} and {_SAME_BASE})
+    and not (split_part(b.vkey, '!', 6) <> '' and {_SAME_BASE}) end"""
+_VERDICT = """t -> case when not exists(t.tests, x -> x is null) and t.key is not null
+  then forall(t.tests, x -> x) end"""
+_RELEASE_HEAD = r"^(v?(?:[0-9]+!)?[0-9]+(?:\.[0-9]+)*)\.(?:[0-9]+|\*$)"
 
 
 def in_specifier_set(version: Column, spec: Column) -> Column:
@@ -126,22 +108,32 @@ def in_specifier_set(version: Column, spec: Column) -> Column:
     Pre-releases are allowed in, as in current releases of the packaging library.
     """
 
+    def read(p: Column) -> Column:
+        bound = F.lower(F.regexp_extract(p, SPECIFIER, 2))
+        return F.struct(
+            F.regexp_extract(p, SPECIFIER, 1).alias("op"),
+            bound.alias("bound"),
+            F.when(
+                bound.rlike(WILDCARD) | ~bound.endswith(".*"), F.regexp_extract(bound, _RELEASE_HEAD, 1)
+            ).alias("stem"),
+        )
+
     def verdict(key: Column) -> Column:
         parts = F.filter(F.split(spec, ","), lambda p: strip(p) != "")
-        tests = F.transform(
-            parts,
-            lambda p: F.when(
-                p.rlike(SPECIFIER),
-                _specifier_holds(
-                    version,
-                    key,
-                    F.regexp_extract(p, SPECIFIER, 1),
-                    F.lower(F.regexp_extract(p, SPECIFIER, 2)),
-                ),
+        bounds = F.transform(
+            F.transform(parts, read),
+            lambda b: F.struct(
+                b["op"].alias("op"),
+                b["bound"].alias("bound"),
+                b["stem"].alias("stem"),
+                V.version_key(b["bound"]).alias("key"),
+                V.version_key(b["stem"]).alias("stem_key"),
+                key.alias("vkey"),
+                version.alias("text"),
             ),
         )
-        readable = key.isNotNull() & ~F.exists(tests, lambda t: t.isNull())
-        return F.when(readable, F.forall(tests, lambda t: t))
+        tests = F.call_function("transform", bounds, F.expr(_TEST))
+        return _bind_sql(F.struct(key.alias("key"), tests.alias("tests")), _VERDICT)
 
     return _bind(V.version_key(version), verdict)
 
@@ -220,86 +212,89 @@ NPM_BLOCK = (
 )
 
 
-def _semver_key(major: Column, minor: Column, patch: Column, pre: Column) -> Column:
-    """Sortable key; a release sorts after its own pre-releases."""
-    ident = lambda i: F.when(
-        i.rlike(r"^\d+$"), F.concat(F.lit("1"), V._num(i))
-    ).otherwise(F.concat(F.lit("2"), i))
-    tail = F.when(pre == "", F.lit("~")).otherwise(
-        F.array_join(F.transform(F.split(pre, r"\."), ident), "!")
+def _pre_sql(pre: str) -> str:
+    """Sortable pre-release; none at all sorts last."""
+    return (
+        f"case when {pre} = '' then '~' else array_join(transform(split({pre}, '[.]'), "
+        f"i -> case when i rlike '^[0-9]+$' then concat('1', {V.num_sql('i')}) "
+        "else concat('2', i) end), '!') end"
     )
-    return F.concat_ws("!", V._num(major), V._num(minor), V._num(patch), tail)
+
+
+def _semver_sql(major: str, minor: str, patch: str, pre: str = "") -> str:
+    numbers = ", ".join(V.num_sql(n) for n in (major, minor, patch))
+    return f"concat_ws('!', {numbers}, {_pre_sql(pre) if pre else chr(39) + '~' + chr(39)})"
+
+
+def _captured(text: Column, pattern: str, groups: int) -> Column:
+    """All groups of a pattern in one array, at positions 1 and up; null without a match."""
+    marks = "\x01" + "\x01".join(f"${i}" for i in range(1, groups + 1)) + "\x01"
+    return F.when(text.rlike(pattern), F.split(F.regexp_replace(text, pattern, marks), "\x01"))
+
+
+# What follows the third number is a pre-release unless it starts with + or a dot.
+_TAIL = "regexp_replace(f[4], '[^a-zA-Z0-9+.-]', '-')"
+_SEMVER = "f -> " + _semver_sql(
+    "f[1]", "f[2]", "f[3]",
+    f"(case when {_TAIL} rlike '^[+.]' then '' "
+    f"else substring_index(regexp_replace({_TAIL}, '^-', ''), '+', 1) end)",
+)
 
 
 def semver_key(version: Column) -> Column:
     """Key of a version coerced to three numbers and a pre-release; null without a number.
 
-    Missing numbers are zero and leading zeros fall away. What follows the third
-    number is a pre-release unless it starts with ``+`` or ``.``; other signs in
-    it become ``-``.
+    Missing numbers are zero and leading zeros fall away; other signs in a pre-release
+    become ``-``.
     """
-    grab = lambda i: F.regexp_extract(version, SEMVER_HEAD, i)
-    rest = F.regexp_replace(grab(4), r"[^a-zA-Z0-9+.\-]", "-")
-    pre = F.when(rest.rlike(r"^[+.]"), F.lit("")).otherwise(
-        F.substring_index(F.regexp_replace(rest, "^-", ""), "+", 1)
-    )
-    return F.when(version.rlike(SEMVER_HEAD), _semver_key(grab(1), grab(2), grab(3), pre))
+    fields = _captured(version, SEMVER_HEAD, 4)
+    return F.when(fields.isNotNull(), _bind_sql(fields, _SEMVER))
 
 
 def _core(key: Column) -> Column:
     return F.substring_index(key, "!", 3)
 
 
+_WILD = "('', 'x', 'X', '*')"
+# Numbers of a comparator with wild ones as zero, and which of them are wild.
+_NUMBERS = f"""f -> named_struct('op', f[1], 'pre', f[5],
+  'ma', if(f[2] in {_WILD}, '0', f[2]), 'mi', if(f[2] in {_WILD} or f[3] in {_WILD}, '0', f[3]),
+  'pa', if(f[2] in {_WILD} or f[3] in {_WILD} or f[4] in {_WILD}, '0', f[4]),
+  'no_ma', f[2] in {_WILD}, 'no_mi', f[2] in {_WILD} or f[3] in {_WILD},
+  'no_pa', f[2] in {_WILD} or f[3] in {_WILD} or f[4] in {_WILD})"""
+
+
+def _next(n: str) -> str:
+    return f"cast(try_cast({n} as decimal(38, 0)) + 1 as string)"
+
+
+# key: the version itself; past: the first version beyond all that a partial one stands
+# for; caret: the first version beyond a caret range.
+_KEYS = f"""c -> named_struct('c', c,
+  'key', {_semver_sql('c.ma', 'c.mi', 'c.pa', "if(c.no_pa, '', c.pre)")},
+  'past', if(c.no_mi, {_semver_sql(_next('c.ma'), "'0'", "'0'")},
+    {_semver_sql('c.ma', _next('c.mi'), "'0'")}),
+  'caret', case when c.ma <> '0' or c.no_mi then {_semver_sql(_next('c.ma'), "'0'", "'0'")}
+    when c.mi <> '0' or c.no_pa then {_semver_sql("'0'", _next('c.mi'), "'0'")}
+    else {_semver_sql("'0'", "'0'", _next('c.pa'))} end)"""
+_ENDS = f"""k -> named_struct(
+  'lower', case when k.c.op in ('<', '<=') then '{V.LOWEST}'
+    when k.c.op = '>' and k.c.no_ma then '{V.HIGHEST}'
+    when k.c.op = '>' and k.c.no_pa then concat(k.past, '!0')
+    when k.c.op = '>' then concat(k.key, '!2') else concat(k.key, '!0') end,
+  'upper', case when k.c.op = '<' and k.c.no_ma then '{V.LOWEST}'
+    when k.c.op = '<' then concat(k.key, '!0')
+    when k.c.op in ('>', '>=') or k.c.no_ma then '{V.HIGHEST}'
+    when k.c.op = '^' then concat(k.caret, '!0')
+    when k.c.op = '~' or k.c.no_pa then concat(k.past, '!0') else concat(k.key, '!2') end,
+  'core', case when k.c.pre <> '' and not k.c.no_pa then substring_index(k.key, '!', 3) end)"""
+
+
 def _comparator(block: Column) -> Column:
     """(lower, upper, core) of one npm comparator; ``core`` is set if it names a pre-release."""
-    g = lambda i: F.regexp_extract(block, NPM_BLOCK, i)
-    op = g(1)
-    wild = lambda c: c.isin("", "x", "X", "*")
-    zero = F.lit("0")
-    major, minor, patch, pre = g(2), g(3), g(4), g(5)
-    no_major, no_minor, no_patch = wild(major), wild(minor), wild(patch)
-    no_minor = no_major | no_minor
-    no_patch = no_minor | no_patch
-    n_major = F.when(no_major, zero).otherwise(major)
-    n_minor = F.when(no_minor, zero).otherwise(minor)
-    n_patch = F.when(no_patch, zero).otherwise(patch)
-    up = lambda c: (c.try_cast("decimal(38,0)") + 1).cast("string")
-    key = _semver_key(n_major, n_minor, n_patch, F.when(no_patch, F.lit("")).otherwise(pre))
-    # The first version past everything that a partial version stands for.
-    past = F.when(no_minor, _semver_key(up(n_major), zero, zero, F.lit(""))).otherwise(
-        _semver_key(n_major, up(n_minor), zero, F.lit(""))
-    )
-    caret = (
-        F.when((n_major != "0") | no_minor, _semver_key(up(n_major), zero, zero, F.lit("")))
-        .when((n_minor != "0") | no_patch, _semver_key(zero, up(n_minor), zero, F.lit("")))
-        .otherwise(_semver_key(zero, zero, up(n_patch), F.lit("")))
-    )
-    lowest, highest = F.lit(V.LOWEST), F.lit(V.HIGHEST)
-    before, after = V.end_before, V.end_after
-    lower = (
-        F.when(op.isin("<", "<="), lowest)
-        .when((op == ">") & no_major, highest)
-        .when((op == ">") & no_patch, before(past))
-        .when(op == ">", after(key))
-        .otherwise(before(key))
-    )
-    upper = (
-        F.when((op == "<") & no_major, lowest)
-        .when(op == "<", before(key))
-        .when(op.isin(">", ">="), highest)
-        .when(no_major, highest)
-        .when(op == "^", before(caret))
-        .when(op == "~", before(past))
-        .when(no_patch, before(past))
-        .otherwise(after(key))
-    )
+    fields = _captured(block, NPM_BLOCK, 6)
     return F.when(
-        block.rlike(NPM_BLOCK),
-        F.struct(
-            lower.alias("lower"),
-            upper.alias("upper"),
-            F.when((pre != "") & ~no_patch, _core(key)).alias("core"),
-        ),
+        fields.isNotNull(), _bind_sql(_bind_sql(_bind_sql(fields, _NUMBERS), _KEYS), _ENDS)
     )
 
 
