@@ -242,7 +242,9 @@ from tallies join gs using (ecosystem)"""),
     "fp_product": (fp_product, """select doc_id, regexp_matches(lower(text),
   'server|enterprise|appliance|console|controller|management|plugin|rsa archer') as names_product
 from documents"""),
-    "pair_verdict": (pair_verdict, f"""with {ctes('gt0', 'findings')}
+    "pair_verdict": (pair_verdict, f"""with {ctes('gt0', 'findings')},
+g as (select gt0.*, md5(concat_ws('|', t.tool, gt0.ord)) as found_ord
+  from gt0 cross join (select distinct tool from findings) t)
 select f.ord, case
   when coalesce(f.cve = g.cve, false) or coalesce(f.osv_id = g.osv_id, false)
   then case when f.version = g.version then 'TP'
@@ -250,7 +252,7 @@ select f.ord, case
                  and {in_range('g.version', 'f.affected_version_range')} then 'TP_RANGE'
             else 'FN' end
   else 'FP' end as verdict
-from gt0 g join findings f on f.ord = md5(concat_ws('|', f.tool, g.ord))"""),
+from g join findings f on f.ord = g.found_ord"""),
     "gt_summary": (gt_summary, f"with {ctes('gt0')}, {_SUMMARY} select * from gs"),
     "component_outcomes": (component_outcomes,
         f"{SCORING}, {_tallies('ecosystem, component')} select tool, ecosystem, component, TP, FP, FN from tallies"),
