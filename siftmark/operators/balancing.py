@@ -112,7 +112,7 @@ def allotments(rows: DataFrame, ecosystems: list[str], strategy: str = "min") ->
         "name_order",
         F.concat_ws(_SEP, F.lower("component_name"), "component_version", "component_name"),
     )
-    ranked = row_number_within(by_name, ["ecosystem"], "name_order", "place", width=8).select(
+    ranked = row_number_within(by_name, ["ecosystem"], "name_order", "place").select(
         *columns,
         (F.col("rounds") + F.when(F.col("place") <= F.col("places"), 1).otherwise(0)).alias("take"),
     )
@@ -129,7 +129,7 @@ def balance(rows: DataFrame, ecosystems: list[str], strategy: str = "min") -> Da
         "_order",
         F.concat_ws(_SEP, null_to_blank(F.col("vulnerability_id")), null_to_blank(F.col("cve")), "ord"),
     )
-    first = row_number_within(ordered, COORDINATE, "_order", "_place", width=8).where(
+    first = row_number_within(ordered, COORDINATE, "_order", "_place").where(
         F.col("_place") <= F.col("take")
     )
     kept = planned.where(~part).unionByName(first.drop("_order", "_place"))

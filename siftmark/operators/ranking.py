@@ -5,30 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftmark.session import written
 
-def row_number_within(
-    df: DataFrame, keys: list[str], ord_col: str, name: str, width: int = 2
-) -> DataFrame:
-    """``row_number`` per ``keys`` in the order of a text column, spread over many tasks.
 
-    The first ``width`` characters of the order column cut each group into ranges that are
-    already in order. Range sizes are counted first (partial counts combine before the
-    shuffle), a running sum over the few ranges gives each its offset, and rows are then
-    numbered inside their range only.
+def row_number_within(df: DataFrame, keys: list[str], order: str | list[str], name: str) -> DataFrame:
+    """``row_number`` per ``keys`` along ``order``, however many rows one key holds.
+
+    Rows are dealt by ranges of (keys, order, tie-breaker) whose bounds Spark samples, so a
+    large group spreads over as many tasks as its share asks for, whatever its order values
+    look like. The dealt rows are written once, since bounds sampled anew could differ. Counts
+    per range give offsets; numbers are then given inside each range only. Rows that are equal
+    in ``order`` are numbered in no particular order.
     """
-    sliced = df.withColumn("_slice", F.substring(F.col(ord_col), 1, width))
+    order = [order] if isinstance(order, str) else order
+    dealt = written(
+        df.withColumn("_tie", F.rand(17))
+        .repartitionByRange(*keys, *order, "_tie")
+        .withColumn("_slice", F.spark_partition_id())
+    )
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        sliced.groupBy(*keys, "_slice")
+        dealt.groupBy(*keys, "_slice")
         .agg(F.count("*").alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
+        .select(
+            *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
+            F.col("_slice").alias("_of"),
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+        )
     )
-    inside = Window.partitionBy(*keys, "_slice").orderBy(ord_col)
+    same = F.col("_slice") == F.col("_of")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order, "_tie")
     return (
-        sliced.join(offsets, [*keys, "_slice"])
-        .withColumn(name, F.row_number().over(inside) + F.col("_offset"))
-        .drop("_slice", "_offset")
+        dealt.withColumn("_place", F.row_number().over(inside))
+        .join(offsets, same)
+        .withColumn(name, F.col("_place") + F.col("_offset"))
+        .select(*[c for c in df.columns if c != name], name)
     )
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+WRITTEN = "written"
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -38,12 +43,16 @@ def local_session(cpus: int = 8, memory: str = "16g", **conf: str) -> SparkSessi
 def shared_folder(spark: SparkSession) -> str:
     """The folder for written intermediates: ``spark.checkpoint.dir``.
 
-    Only a session without one, as in tests, gets a temporary folder of its own.
+    Only a local session without one, as in tests, gets a temporary folder of its own; a cluster
+    has to name a folder that all its machines see.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="siftmark-")
         spark.sparkContext.setCheckpointDir(folder)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 
@@ -54,6 +63,16 @@ def written(df: DataFrame) -> DataFrame:
     executors, and is computed once.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{WRITTEN}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard_written(spark: SparkSession) -> None:
+    """Delete all tables that ``written`` has made in this application; their readers end."""
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    files = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    prefix = f"{WRITTEN}-{spark.sparkContext.applicationId}-"
+    for status in files.listStatus(base):
+        if status.getPath().getName().startswith(prefix):
+            files.delete(status.getPath(), True)
