@@ -2,20 +2,59 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftmark.llm import quality, sharding
+from siftmark.llm import attribution, decontamination, lines, packing, quality, sharding, simhash, warc
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def decontamination_digests(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    found = decontamination.find_matches(docs.select("doc_id", "text"), benchmark, **options)
+    names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return found.withColumn("n_hit", decontamination.n_hit()).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
+        decontamination.contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
+        "longest",
+    )
+
+
+def op1_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digests(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.quality_verdicts(docs, labels).drop("n_lines")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_offset_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.section_tokens(table(spark, sf_dir, "documents"), TOKENIZER, rule="most")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
@@ -93,7 +132,13 @@ def _quality_sql() -> str:
 
 
 QUERIES = {
+    "op1_suffix_decontamination": (op1_suffix_decontamination, None),
+    "op2_binary_packing": (op2_binary_packing, None),
+    "op3_line_dedup": (op3_line_dedup, None),
     "op4_quality_rules": (op4_quality_rules, _quality_sql()),
+    "op5_simhash": (op5_simhash, None),
+    "op7_offset_token_counts": (op7_offset_token_counts, None),
+    "op9_warc": (op9_warc, None),
     "op10_rendezvous_shards": (op10_rendezvous_shards, None),
 }
 
