@@ -121,7 +121,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
                 yield pa.Table.from_batches(held)
                 held, size, start = [], 0, i
             size += int(n)
-        held.append(batch.slice(start))
+        if batch.num_rows:
+            held.append(batch.slice(start))
     if held:
         yield pa.Table.from_batches(held)
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmark.llm import attribution, decontamination, lines, packing, quality, sharding, simhash, warc
+from siftmark.llm import attribution, decontamination, lines, packing, quality, runindex, sharding, simhash, warc, windows
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -47,10 +47,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_offset_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.section_tokens(table(spark, sf_dir, "documents"), TOKENIZER, rule="most")
 
 
+def op8_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.window_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -137,7 +145,9 @@ QUERIES = {
     "op3_line_dedup": (op3_line_dedup, None),
     "op4_quality_rules": (op4_quality_rules, _quality_sql()),
     "op5_simhash": (op5_simhash, None),
+    "op6_run_index_dedup": (op6_run_index_dedup, None),
     "op7_offset_token_counts": (op7_offset_token_counts, None),
+    "op8_window_dedup": (op8_window_dedup, None),
     "op9_warc": (op9_warc, None),
     "op10_rendezvous_shards": (op10_rendezvous_shards, None),
 }

@@ -236,12 +236,12 @@ def merge_runs(entries: DataFrame, ranges: int | None = None) -> DataFrame:
     cols = ["url_key", "time", "run", "offset"]
     dealt = entries.repartitionByRange(ranges, *cols) if ranges else entries.repartitionByRange(*cols)
     dealt = dealt.withColumn("part", F.spark_partition_id()).sortWithinPartitions("run", "url_key", "time", "offset")
-    names = dealt.columns
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches, schema) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
+        held = list(batches)
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         runs: dict[str, list] = {}
         keys = zip(*(table[c].to_pylist() for c in cols), range(table.num_rows), strict=True)
         for key in keys:
@@ -250,8 +250,6 @@ def merge_runs(entries: DataFrame, ranges: int | None = None) -> DataFrame:
         merged = table.take(order).append_column("ordinal", pa.array(range(len(order)), pa.int64()))
         yield from merged.combine_chunks().to_batches(max_chunksize=10_000)
 
-    schema = pa.schema([*ENTRY_SCHEMA, pa.field("part", pa.int32())])
-    assert names == schema.names
     return dealt.mapInArrow(merge, f"{ENTRY}, part int, ordinal bigint")
 
 

@@ -132,7 +132,7 @@ def words_base(text):
             len(lines) - len(set(lines)), len(repeat))
 
 
-def line_dedup(docs, rare_share=0.05):
+def lines_cut(docs, rare_share=0.05):
     """Order is doc_id; each shared rare line pairs a text with the first that has it."""
     from siftmark.llm.lines import patience_blocks
 
@@ -159,7 +159,7 @@ def line_dedup(docs, rare_share=0.05):
         for _, j, n in patience_blocks(split[before], split[t]):
             if rare & set(split[t][j : j + n]):
                 gone[t].update(range(j, j + n))
-    out = []
+    out, texts = [], []
     for k, (doc, text) in enumerate(docs):
         parts = (text or "").split("\n") if text else []
         removed = gone[text] if text and first[text] == k else set()
@@ -167,7 +167,21 @@ def line_dedup(docs, rare_share=0.05):
             removed = set(range(len(parts)))
         left = [x for i, x in enumerate(parts) if i not in removed]
         out.append((doc, len(parts), len(removed), sha("\n".join(left))))
-    return out
+        kept = "\n".join(left) if removed else text
+        texts.append((doc, None if removed and not WORD.search(kept) else kept))
+    return out, texts
+
+
+def line_dedup(docs):
+    return lines_cut(docs)[0]
+
+
+def line_texts(docs):
+    """(doc_id, text) with None for documents that go."""
+    return [(d, t if t is not None or had is not None else "") for (d, t), (_, had) in
+            zip(lines_cut(docs)[1], docs, strict=True)]
+
+
 
 
 def section_tokens(docs, tokenizer, rule):
