@@ -10,17 +10,6 @@ ECOSYSTEMS = [
 
 ECOSYSTEM_NAMES = [row[0] for row in ECOSYSTEMS]
 
-# Display name and file id of each scanner.
-TOOL_FILE_IDS = [
-    ("Dependency-Track", "dtrack"),
-    ("OSV", "osv"),
-    ("GitHub", "github"),
-    ("Snyk", "snyk"),
-    ("Trivy", "trivy"),
-    ("OSS Index", "ossindex"),
-    ("NVD", "nvd"),
-]
-
 # Words in a description that point at a product, not a library.
 PRODUCT_WORDS = [
     "server",

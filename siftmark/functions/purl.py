@@ -11,8 +11,9 @@ from siftmark.functions.text import filled, null_to_blank, strip
 
 
 def percent_decode(c: Column) -> Column:
-    """Decode %XX only; a plus sign stays, broken escapes leave the text as it is."""
-    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+    """Decode %XX only; a plus sign and a ``%`` without two hexadecimal digits stay."""
+    whole = F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(F.replace(whole, F.lit("+"), F.lit("%2B"))), c)
 
 
 def percent_encode(c: Column) -> Column:

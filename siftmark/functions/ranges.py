@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftmark.functions import versions as V
-from siftmark.functions.text import null_to_blank, strip
+from siftmark.functions.text import BLANKS, null_to_blank, strip
 
 
 def _bind(value: Column, body) -> Column:
@@ -140,9 +140,9 @@ def in_specifier_set(version: Column, spec: Column) -> Column:
 
 # --- normalised specifiers --------------------------------------------------------
 
-MAVEN = r"^([\[(])([^,]*),([^)\]]*)([\])])$"
-HYPHEN = r"^([^ ]+)\s*-\s*([^ ]+)$"
-NORMAL_PART = r"^(~=|==|!=|<=|>=|<|>)(.*)$"
+#: Operators that the rewritten notation keeps; two-character ones are looked for first.
+NORMAL_OPERATORS = sorted(["<", ">", "<=", ">=", "==", "!=", "~="], key=lambda x: (-len(x), x))
+NORMAL_PART = f"^({'|'.join(NORMAL_OPERATORS)})(.*)$"
 
 
 def bare_token(c: Column) -> Column:
@@ -151,46 +151,72 @@ def bare_token(c: Column) -> Column:
     return F.substring_index(F.regexp_replace(t, "^[vV]", ""), "+", 1)
 
 
-def normalized_specifier(spec: Column) -> Column:
-    """Rewrite bracket, hyphen and operator ranges to one specifier set; else null."""
-    s = strip(null_to_blank(spec))
-    low = bare_token(F.regexp_extract(s, MAVEN, 2))
-    high = bare_token(F.regexp_extract(s, MAVEN, 3))
-    opening, closing = F.regexp_extract(s, MAVEN, 1), F.regexp_extract(s, MAVEN, 4)
-    ge = F.when(opening == "[", F.lit(">=")).otherwise(F.lit(">"))
-    le = F.when(closing == "]", F.lit("<=")).otherwise(F.lit("<"))
-    brackets = F.nullif(
-        F.concat_ws(
-            ",", F.when(low != "", F.concat(ge, low)), F.when(high != "", F.concat(le, high))
-        ),
-        F.lit(""),
+def _interval(s: Column) -> tuple[Column, Column, Column]:
+    """Whether a text is an interval like ``[1,2)``, and the texts of its ends.
+
+    Its first and last characters are brackets, and the first comma in between parts the ends;
+    there is no closing bracket after it. An end without a version is open.
+    """
+    inner = F.substring(s, F.lit(2), F.length(s) - 2)
+    left = F.substring_index(inner, ",", 1)
+    right = F.substring(inner, F.length(left) + 2, F.length(inner))
+    found = (
+        F.left(s, F.lit(1)).isin("[", "(") & F.right(s, F.lit(1)).isin("]", ")")
+        & inner.contains(",") & ~right.contains(")") & ~right.contains("]")
     )
+    return found, left, right
 
-    a = bare_token(F.regexp_extract(s, HYPHEN, 1))
-    b = bare_token(F.regexp_extract(s, HYPHEN, 2))
-    hyphen = F.when(
-        (a != "") & (b != ""), F.concat(F.lit(">="), a, F.lit(",<="), b)
+
+def _bracketed(s: Column) -> tuple[Column, Column]:
+    """Whether a text is an interval, and the specifier set it stands for."""
+    found, left, right = _interval(s)
+    low, high = bare_token(left), bare_token(right)
+    ends = F.concat_ws(
+        ",",
+        F.when(low != "", F.concat(F.when(s.startswith("["), ">=").otherwise(">"), low)),
+        F.when(high != "", F.concat(F.when(s.endswith("]"), "<=").otherwise("<"), high)),
     )
+    return found, F.nullif(ends, F.lit(""))
 
-    rewritten = F.transform(
-        F.filter(F.transform(F.split(s, ","), strip), lambda p: p != ""),
-        lambda p: F.when(
-            bare_token(F.regexp_extract(p, NORMAL_PART, 2)) != "",
-            F.concat(
-                F.regexp_extract(p, NORMAL_PART, 1),
-                bare_token(F.regexp_extract(p, NORMAL_PART, 2)),
-            ),
-        ),
+
+def _hyphenated(s: Column) -> tuple[Column, Column]:
+    """Whether a text is two versions around a hyphen, and the specifier set it stands for.
+
+    The hyphen with blanks beside it parts them; in a text without blanks the last one does.
+    """
+    spaced = F.split(s, f"(?:{BLANKS}-{BLANKS[:-1]}*)|(?:-{BLANKS})")
+    last = F.substring_index(s, "-", -1)
+    parts = F.when(s.rlike(BLANKS), spaced).when(
+        s.contains("-"), F.array(F.substring(s, F.lit(1), F.length(s) - F.length(last) - 1), last)
     )
-    operators = F.when(
-        (F.size(rewritten) > 0) & ~F.exists(rewritten, lambda p: p.isNull()),
-        F.array_join(rewritten, ","),
+    low, high = F.get(parts, 0), F.get(parts, 1)
+    found = F.coalesce(
+        (F.size(parts) == 2) & (low != "") & (high != "") & ~low.rlike(BLANKS) & ~high.rlike(BLANKS), F.lit(False)
     )
-    return (
-        F.when(s.rlike(MAVEN), brackets)
-        .when(s.rlike(HYPHEN), hyphen)
-        .when(s.rlike("[<>=~^]"), operators)
+    low, high = bare_token(low), bare_token(high)
+    return found, F.when((low != "") & (high != ""), F.concat(F.lit(">="), low, F.lit(",<="), high))
+
+
+def _listed(s: Column) -> Column:
+    """The set of comma-separated comparisons; null if one has no known operator or no version."""
+    parts = F.filter(F.transform(F.split(s, ","), strip), lambda p: p != "")
+    bare = F.transform(
+        parts,
+        lambda p: F.struct(
+            F.regexp_extract(p, NORMAL_PART, 1).alias("operator"),
+            bare_token(F.regexp_extract(p, NORMAL_PART, 2)).alias("version"),
+        ),
     )
+    usable = (F.size(bare) > 0) & F.forall(bare, lambda x: x["version"] != "")
+    return F.when(usable, F.array_join(F.transform(bare, lambda x: F.concat(x["operator"], x["version"])), ","))
+
+
+def normalized_specifier(spec: Column) -> Column:
+    """Rewrite bracket, hyphen and operator ranges to one specifier set; else null."""
+    s = strip(null_to_blank(spec))
+    is_interval, interval = _bracketed(s)
+    is_pair, pair = _hyphenated(s)
+    return F.when(is_interval, interval).when(is_pair, pair).when(s.rlike("[<>=~^]"), _listed(s))
 
 
 def in_normalized_range(version: Column, spec: Column) -> Column:
@@ -339,16 +365,15 @@ def semver_range(expr: Column, join_spaced: bool = False) -> Column:
     norm = strip(F.regexp_replace(F.replace(raw, F.lit(","), F.lit(" ")), r"\s+", " "))
     if join_spaced:
         norm = F.regexp_replace(norm, r"(<=|<|>=|>|=|\^|~) ", "$1")
-    low, high = strip(F.regexp_extract(raw, MAVEN, 2)), strip(F.regexp_extract(raw, MAVEN, 3))
-    opening, closing = F.regexp_extract(raw, MAVEN, 1), F.regexp_extract(raw, MAVEN, 4)
+    is_maven, left, right = _interval(raw)
+    low, high = strip(left), strip(right)
     lkey, ukey = semver_key(low), semver_key(high)
     lower = F.when(low == "", F.lit(V.LOWEST)).otherwise(
-        F.when(opening == "[", V.end_before(lkey)).otherwise(V.end_after(lkey))
+        F.when(raw.startswith("["), V.end_before(lkey)).otherwise(V.end_after(lkey))
     )
     upper = F.when(high == "", F.lit(V.HIGHEST)).otherwise(
-        F.when(closing == "]", V.end_after(ukey)).otherwise(V.end_before(ukey))
+        F.when(raw.endswith("]"), V.end_after(ukey)).otherwise(V.end_before(ukey))
     )
-    is_maven = raw.rlike(MAVEN)
     return F.struct(
         norm.alias("text"),
         is_maven.alias("is_maven"),
@@ -472,29 +497,32 @@ def is_affected(version: Column, affected: Column) -> Column:
 # --- CPE bounds -------------------------------------------------------------------
 
 
-def in_cpe_bounds(version: Column, node: Column) -> Column:
-    """Whether a CPE node covers the version.
+def cpe_interval(node: Column) -> Column:
+    """(lower, upper) ends of what a CPE node covers on the version axis.
 
-    A pinned version must be equal; a node without version and bounds covers all;
-    a version or bound that cannot be read is not covered.
+    A pinned version is an interval around it, a node without version and bounds holds the whole
+    axis. A version or bound that cannot be read covers nothing: its ends are null.
     """
-    key = V.version_key(version)
-    bound = lambda name: F.nullif(node[name], F.lit(""))
 
-    def side(open_name: str, closed_name: str, test_open, test_closed) -> Column:
-        ok_open = F.when(bound(open_name).isNull(), F.lit(True)).otherwise(
-            F.coalesce(test_open(V.version_key(bound(open_name))), F.lit(False))
-        )
-        ok_closed = F.when(bound(closed_name).isNull(), F.lit(True)).otherwise(
-            F.coalesce(test_closed(V.version_key(bound(closed_name))), F.lit(False))
-        )
-        return ok_open & ok_closed
-
-    low = side("version_start_excluding", "version_start_including",
-               lambda b: key > b, lambda b: key >= b)
-    high = side("version_end_excluding", "version_end_including",
-                lambda b: key < b, lambda b: key <= b)
-    pinned = F.when(node["version"].isNull(), F.lit(True)).otherwise(
-        F.coalesce(key == V.version_key(node["version"]), F.lit(False))
-    )
-    return key.isNotNull() & pinned & low & high
+    def end(name: str, place, otherwise: str) -> Column:
+        given = F.nullif(node[name], F.lit(""))
+        return F.when(given.isNull(), F.lit(otherwise)).otherwise(place(V.version_key(given)))
+
+    lowers = [end("version_start_including", V.end_before, V.LOWEST), end("version_start_excluding", V.end_after, V.LOWEST)]
+    uppers = [end("version_end_including", V.end_after, V.HIGHEST), end("version_end_excluding", V.end_before, V.HIGHEST)]
+    pinned = V.version_key(node["version"])
+    lowers.append(F.when(node["version"].isNull(), F.lit(V.LOWEST)).otherwise(V.end_before(pinned)))
+    uppers.append(F.when(node["version"].isNull(), F.lit(V.HIGHEST)).otherwise(V.end_after(pinned)))
+    # array_max skips nulls, so a null end is looked for first.
+    known = lambda ends, pick: F.when(~F.exists(F.array(*ends), lambda e: e.isNull()), pick(F.array(*ends)))
+    return F.struct(known(lowers, F.array_max).alias("lower"), known(uppers, F.array_min).alias("upper"))
+
+
+def in_cpe_interval(position: Column, interval: Column) -> Column:
+    """Whether a version's place lies inside; false for a null place or end."""
+    return F.coalesce((interval["lower"] < position) & (position < interval["upper"]), F.lit(False))
+
+
+def in_cpe_bounds(version: Column, node: Column) -> Column:
+    """Whether a CPE node covers the version."""
+    return in_cpe_interval(V.point(V.version_key(version)), cpe_interval(node))

@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WHITESPACE = " \t\n\r\x0b\x0c"
+#: Every character that counts as white space in texts, not only the ASCII ones.
+WHITESPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+BLANKS = f"[{WHITESPACE}]+"
 
 
 def strip(c: Column) -> Column:
-    """Trim every kind of ASCII whitespace, not only blanks."""
+    """Trim every kind of white space, not only blanks."""
     return F.btrim(c, F.lit(WHITESPACE))
 
 
@@ -36,12 +42,12 @@ def clean_description(summary: Column, details: Column, limit: int = 300) -> Col
         F.nullif(summary, F.lit("")),
         F.substring_index(null_to_blank(details), ".", 1),
     )
-    one_line = strip(F.regexp_replace(text, r"\s+", " "))
+    one_line = strip(F.regexp_replace(text, BLANKS, " "))
     return F.substring(one_line, 1, limit)
 
 
 def shorten(c: Column, limit: int = 240) -> Column:
     """One line of at most ``limit`` characters, ended by an ellipsis if cut."""
-    one_line = strip(F.regexp_replace(null_to_blank(c), r"\s+", " "))
+    one_line = strip(F.regexp_replace(null_to_blank(c), BLANKS, " "))
     cut = F.concat(F.rtrim(F.substring(one_line, 1, limit - 1)), F.lit("…"))
     return F.when(F.length(one_line) > limit, cut).otherwise(one_line)

@@ -73,33 +73,6 @@ def version_key(version: Column) -> Column:
     return F.get(F.call_function("transform", F.array(fields), F.expr(_ASSEMBLE)), F.lit(0))
 
 
-def key_section(key: Column, i: int) -> Column:
-    """Section ``i`` (from 1) of a key: epoch, release, pre, post, dev, local."""
-    return F.split_part(key, F.lit("!"), F.lit(i))
-
-
-def base_of(key: Column) -> Column:
-    """Epoch and release only."""
-    return F.substring_index(key, "!", 2)
-
-
-def public_of(key: Column) -> Column:
-    """The key without its local label."""
-    return F.concat(F.substring_index(key, "!", 5), F.lit("!"))
-
-
-def is_prerelease(key: Column) -> Column:
-    return (key_section(key, 3) != "9") | (key_section(key, 5) != "9")
-
-
-def is_postrelease(key: Column) -> Column:
-    return key_section(key, 4) != "0"
-
-
-def has_local(key: Column) -> Column:
-    return key_section(key, 6) != ""
-
-
 def is_stable(version: Column) -> Column:
     """A parseable version that is neither a pre-release nor a development release."""
     return F.coalesce(version_key(version).rlike(r"^[^!]*![^!]*!9![^!]*!9!"), F.lit(False))

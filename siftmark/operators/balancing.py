@@ -35,6 +35,8 @@ def allotments(rows: DataFrame, ecosystems: list[str], strategy: str = "min") ->
     sizes = written(
         _prepared(rows, ecosystems).groupBy(*COORDINATE).agg(F.count("*").alias("size"))
     )
+    if sizes.isEmpty():
+        raise ValueError("no rows to balance")
     totals = sizes.groupBy(*COMPONENT).agg(F.sum("size").alias("component_rows"))
     groups = sizes.join(totals, COMPONENT)
 

@@ -12,15 +12,19 @@ from pyspark.sql import functions as F
 from siftmark.functions import ranges as R
 from siftmark.functions.text import blank_to_null, clean_description, filled, null_to_blank, strip
 from siftmark.operators.metrics import ratio
-from siftmark.operators.ranking import first_row_per, first_rows_per
+from siftmark.operators.ranking import first_row_per, first_rows_per, row_number_within
 
 COORDINATE = ["ecosystem", "component_name", "component_version"]
 COMPONENT = ["ecosystem", "component_name"]
 
 
 def enrich(rows: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Add the description of each row's advisory; advisories: id, summary, details."""
-    texts = advisories.select(
+    """Add the description of each row's advisory; advisories: id, summary, details.
+
+    An id that is landed several times counts once, by its least texts.
+    """
+    once = first_row_per(advisories, ["id"], "summary", "details")
+    texts = once.select(
         F.col("id").alias("vulnerability_id"),
         clean_description(F.col("summary"), F.col("details")).alias("vulnerability_description"),
     )
@@ -50,7 +54,7 @@ def cap_versions(rows: DataFrame, limit: int) -> DataFrame:
 
 def target_prefix(rows: DataFrame, target: int) -> DataFrame:
     """The first ``target`` rows of each ecosystem in collection order."""
-    return first_rows_per(rows, ["ecosystem"], target, "ord")
+    return _first_of_ecosystem(rows, target)
 
 
 def check_rows(rows: DataFrame, responses: DataFrame) -> DataFrame:
@@ -91,11 +95,10 @@ def validated(rows: DataFrame, responses: DataFrame) -> DataFrame:
 def verify_kinds(rows: DataFrame, advisories: DataFrame) -> DataFrame:
     """Number of rows per verdict against the advisories: ok, cve_mismatch, not_affected.
 
-    ``advisories``: id, aliases, affected, one row per id.
+    ``advisories``: id, aliases, affected; of an id that is landed several times one counts.
     """
-    joined = rows.join(
-        advisories.withColumnRenamed("id", "vulnerability_id"), "vulnerability_id", "left"
-    )
+    once = first_row_per(advisories, ["id"], F.to_json(F.struct("aliases", "affected")))
+    joined = rows.join(once.withColumnRenamed("id", "vulnerability_id"), "vulnerability_id", "left")
     wrong_cve = filled(F.col("cve")) & ~F.coalesce(
         F.array_contains("aliases", F.col("cve")), F.lit(False)
     )
@@ -291,7 +294,20 @@ def universe_check(packages: DataFrame) -> DataFrame:
 
 def universe_prefix(packages: DataFrame, samples: int) -> DataFrame:
     """The first ``samples`` packages of each ecosystem's list."""
-    return first_rows_per(packages, ["ecosystem"], samples, "ord")
+    return _first_of_ecosystem(packages, samples)
+
+
+def universe_sizes(packages: DataFrame, expected: dict[str, int]) -> DataFrame:
+    """Ecosystems whose list has another size than expected; any row is an input error."""
+    wanted = F.create_map(*[F.lit(x) for pair in expected.items() for x in pair])
+    have = packages.groupBy("ecosystem").agg(F.count("*").alias("size"))
+    return have.withColumn("expected", F.try_element_at(wanted, F.col("ecosystem"))).where("size <> expected")
+
+
+def _first_of_ecosystem(rows: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of each of the few ecosystems, however large ``n`` is."""
+    places = row_number_within(rows.select("ecosystem", "ord"), ["ecosystem"], "ord", "_place")
+    return rows.join(places.where(F.col("_place") <= n), ["ecosystem", "ord"], "left_semi")
 
 
 # --- written forms ----------------------------------------------------------------
@@ -364,26 +380,24 @@ def bom_envelope(rows: DataFrame, dataset_type: str, timestamp: str) -> DataFram
 
 
 def gt_meta(rows: DataFrame, start_date: str | None, end_date: str | None) -> DataFrame:
-    """One row: totals, window and the per-ecosystem breakdown as JSON."""
+    """One row: totals, and the sidecar of a dataset as a JSON text with nested window and breakdown."""
     stats = ecosystem_stats(rows)
-    return stats.agg(
+    entry = F.struct("ecosystem", F.struct("components", "vulnerabilities").alias("counts"))
+    totals = stats.agg(
         F.sum("components").alias("components_total"),
         F.sum("vulnerabilities").alias("vulnerabilities_total"),
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("ecosystem", "components", "vulnerabilities"))),
-                lambda s: F.concat_ws(":", s["ecosystem"], s["components"], s["vulnerabilities"]),
-            ),
-            ";",
-        ).alias("ecosystem_breakdown"),
-    ).withColumns(
-        {
-            "schema_version": F.lit("1.1"),
-            "source": F.lit("osv"),
-            "start_date": F.lit(start_date).cast("string"),
-            "end_date": F.lit(end_date).cast("string"),
-        }
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("ecosystem_breakdown"),
+    )
+    window = F.struct(
+        F.lit(start_date).cast("string").alias("start_date"), F.lit(end_date).cast("string").alias("end_date")
     )
+    # Field names, version, source and query mode of the sidecar.
+    meta = F.struct(
+        "components_total", "ecosystem_breakdown", F.lit("component+version").alias("osv_query_mode"),
+        F.lit("1.1").alias("schema_version"), F.lit("osv").alias("source"), window.alias("time_window"),
+        "vulnerabilities_total",
+    )
+    return totals.select("components_total", "vulnerabilities_total", F.to_json(meta).alias("meta"))
 
 
 def write_ground_truth(rows: DataFrame, path: str, fmt: str = "csv") -> None:
@@ -418,8 +432,3 @@ def findings_snapshot(findings: DataFrame) -> DataFrame:
     return findings.select(
         *[F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("-")).alias(c) for c in columns]
     )
-
-
-def load_columns(df: DataFrame) -> DataFrame:
-    """Blank ids and purls of a written ground truth back to null."""
-    return df.withColumns({c: blank_to_null(F.col(c)) for c in ("purl", "vulnerability_id", "cve")})

@@ -150,22 +150,6 @@ def fingerprint(df: DataFrame, by: list[str]) -> DataFrame:
     return sums.select(*by, "n_rows", F.sha2(joined, 256).alias("fingerprint"))
 
 
-def exact_digest(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """SHA-256 of the sorted compact JSON of all rows, as archived runs carry it.
-
-    The value is defined over one sorted text, so it exists only for sets that fit one
-    task; beyond ``max_rows`` this raises, and ``fingerprint`` is the way.
-    """
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"more than {max_rows} rows; use fingerprint()")
-    row = F.array(
-        *[null_to_blank(F.col(c)) for c in ("ecosystem", "component", "version")],
-        preferred_id(F.col("cve"), F.col("osv_id")),
-    )
-    return df.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(row))), 256).alias("sha256"))
-
-
 def repeat_stability(findings: DataFrame) -> DataFrame:
     """Per tool: whether all repeats hold the same findings, and their fingerprints in order."""
     hashed = fingerprint(findings, ["tool", "repeat"])

@@ -20,6 +20,7 @@ from siftmark.functions import versions as V
 from siftmark.functions.identity import id_set
 from siftmark.functions.text import filled
 from siftmark.operators.intervals import covered, covering
+from siftmark.session import written
 
 # The finer column first: sorts compare its leading bytes before anything else.
 PACKAGE = ["component", "ecosystem"]
@@ -69,10 +70,19 @@ def with_position(versions: DataFrame) -> DataFrame:
     )
 
 
+def folded(findings: DataFrame, owner: list[str]) -> DataFrame:
+    """Distinct (owner, package, version, ids, range) with the least ``ord``, written once.
+
+    Exact and range matching and the range texts all read it, so findings are scanned once.
+    """
+    keys = [*owner, *PACKAGE, "version", *IDS, "affected_version_range"]
+    return written(findings.groupBy(*keys).agg(F.min("ord").alias("ord")))
+
+
 def candidates(sigs: DataFrame, findings: DataFrame, owner: list[str]) -> DataFrame:
     """(owner, package, version, id, kind, ord): kind 0 same version, 1 by range.
 
-    The least (kind, ord) of a version and id is the finding to choose.
+    The least (kind, ord) of a version and id is the finding to choose. ``findings`` are folded.
     """
     by_id = _by_id(findings, *owner, "ord", *PACKAGE, "version", "affected_version_range")
     exact = (
@@ -100,10 +110,10 @@ def matched_signatures(gt: DataFrame, findings: DataFrame, owner: list[str]) ->
     The chosen finding is the first with the same version, else the first whose range
     holds the version, in finding order.
     """
-    sigs = signatures(gt)
+    sigs = written(signatures(gt))
     return (
         _by_id(sigs, *SIGNATURE, "n_rows")
-        .join(candidates(sigs, findings, owner), [*PACKAGE, "version", "id"])
+        .join(candidates(sigs, folded(findings, owner), owner), [*PACKAGE, "version", "id"])
         .groupBy(*SIGNATURE, *owner)
         .agg(
             F.min(F.struct("kind", "finding_ord")).alias("best"),
@@ -125,9 +135,37 @@ def for_each_tool(gt: DataFrame, tools: list[str]) -> DataFrame:
 
 
 def match(gt: DataFrame, findings: DataFrame, tools: list[str]) -> DataFrame:
-    """Every ground-truth row under every tool, with match_type and finding_ord (null: missed)."""
-    hits = matched_signatures(gt, findings, ["tool"]).drop("n_rows")
-    return for_each_tool(with_signature(gt), tools).join(hits, ["tool", *SIGNATURE], "left")
+    """Every ground-truth row under every tool, with match_type and finding_ord (null: missed).
+
+    Rows join once, with what all tools say of their signature, and are copied afterwards.
+    """
+    hits = matched_signatures(gt, findings, ["tool"])
+    verdicts = _per_signature(hits, F.struct("match_type", "finding_ord"))
+    rows = for_each_tool(with_signature(gt).join(verdicts, SIGNATURE, "left"), tools)
+    return rows.withColumn("_said", F.try_element_at("said", F.col("tool"))).select(
+        "tool", *gt.columns, "_said.match_type", "_said.finding_ord"
+    )
+
+
+def _per_signature(rows: DataFrame, value: Column) -> DataFrame:
+    """``said``: a map from tool to value, with at most one entry per tool."""
+    return rows.groupBy(*SIGNATURE).agg(
+        F.map_from_entries(F.collect_list(F.struct("tool", value))).alias("said")
+    )
+
+
+def classified_misses(gt: DataFrame, findings: DataFrame, tools: list[str]) -> DataFrame:
+    """Every missed row under every tool, with ``fn_class``.
+
+    Signatures are matched and classified once, and written; rows join the result once.
+    """
+    hits = matched_signatures(gt, findings, ["tool"]).select("tool", *SIGNATURE)
+    missed = written(for_each_tool(signatures(gt), tools).join(hits, ["tool", *SIGNATURE], "left_anti"))
+    classes = _per_signature(classify_misses(missed, folded(findings, ["tool"])), F.col("fn_class"))
+    rows = with_signature(gt).join(classes, SIGNATURE)
+    return rows.select(*gt.columns, F.explode("said").alias("tool", "fn_class")).where(
+        F.col("tool").isin(tools)
+    )
 
 
 def false_positives(findings: DataFrame, matched: DataFrame) -> DataFrame:

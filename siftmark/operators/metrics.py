@@ -433,3 +433,25 @@ def call_stats(calls: DataFrame) -> DataFrame:
             "calls", "total_ms", "avg_ms",
         )
     )
+
+
+def comparison_payload(summary: DataFrame, deltas: DataFrame) -> DataFrame:
+    """One row: the tool summaries, their ranking and all deltas as one JSON text.
+
+    There is one entry per tool and per pair of tools.
+    """
+    rows = lambda df: df.agg(F.array_sort(F.collect_list(F.struct(*sorted(df.columns)))).alias("rows"))
+    ranking = summary.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tool"))), lambda r: r["tool"]))
+    payload = F.struct(
+        rows(summary).scalar().alias("per_tool"), ranking.scalar().alias("ranking_by_avg_recall"),
+        rows(deltas).scalar().alias("pairwise_deltas"),
+    )
+    return summary.agg(F.count("*").alias("tools")).select(F.to_json(payload).alias("payload"))
+
+
+def extra_outside(findings: DataFrame, gt: DataFrame) -> DataFrame:
+    """Findings per tool in ecosystems that the ground truth lacks; the metrics leave these out."""
+    known = gt.select("ecosystem").distinct()
+    return findings.join(known, "ecosystem", "left_anti").groupBy("tool", "ecosystem").agg(
+        F.count("*").alias("findings")
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmark.session import written
@@ -45,7 +45,7 @@ def row_number_within(df: DataFrame, keys: list[str], order: str | list[str], na
     )
 
 
-def first_row_per(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+def first_row_per(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
     """The first row of each key. Spark keeps one row per key and task before the shuffle."""
     rank = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(rank)).where("_rank = 1").drop("_rank")

@@ -29,13 +29,8 @@ def detection_vector(gt: DataFrame, findings: DataFrame, tools: list[str]) -> Da
     A key with no hit is all 0 and a key with as many hits as rows is all 1; only keys in
     between need their rows numbered.
     """
-    keyed = with_signature(gt).withColumn("vuln_id", preferred_id(F.col("cve"), F.col("osv_id")))
-    hits = matched_signatures(gt, findings, ["tool"]).withColumn(
-        "vuln_id", preferred_id(F.col("cve"), F.col("osv_id"))
-    )
-    n_hits = hits.groupBy("tool", *VECTOR_KEY).agg(F.sum("n_rows").alias("n_hits"))
-    n_rows = keyed.groupBy(*VECTOR_KEY).agg(F.count("*").alias("n_rows"))
-    tally = n_hits.join(n_rows, VECTOR_KEY)
+    keyed = _keyed(gt)
+    tally = _hits_per_key(gt, findings).join(_rows_per_key(gt), VECTOR_KEY)
     rows = for_each_tool(keyed.select("ord", *VECTOR_KEY), tools).join(
         tally, ["tool", *VECTOR_KEY], "left"
     )
@@ -49,6 +44,55 @@ def detection_vector(gt: DataFrame, findings: DataFrame, tools: list[str]) -> Da
     return settled.unionByName(open_rows)
 
 
+def _keyed(gt: DataFrame) -> DataFrame:
+    return with_signature(gt).withColumn("vuln_id", preferred_id(F.col("cve"), F.col("osv_id")))
+
+
+def _rows_per_key(gt: DataFrame) -> DataFrame:
+    return _keyed(gt).groupBy(*VECTOR_KEY).agg(F.count("*").alias("n_rows"))
+
+
+def _hits_per_key(gt: DataFrame, findings: DataFrame) -> DataFrame:
+    return _keyed(matched_signatures(gt, findings, ["tool"])).groupBy("tool", *VECTOR_KEY).agg(
+        F.sum("n_rows").alias("n_hits")
+    )
+
+
+def key_patterns(gt: DataFrame, findings: DataFrame, tools: list[str]) -> DataFrame:
+    """What ``patterns`` gives for the vectors of ``detection_vector``, without making them.
+
+    Hits mark the first rows of a key, so with n rows and h hits of each tool the rows between
+    two neighbouring values of h (and n) all have one pattern: a key has at most one more
+    pattern than there are tools, and no row is numbered or shuffled.
+    """
+    said = _hits_per_key(gt, findings).groupBy(*VECTOR_KEY).agg(
+        F.map_from_entries(F.collect_list(F.struct("tool", "n_hits"))).alias("said")
+    )
+    keys = _rows_per_key(gt).join(said, VECTOR_KEY, "left")
+    n, tools = F.col("n_rows"), sorted(tools)
+    marked = {t: F.least(n, F.coalesce(F.try_element_at("said", F.lit(t)), F.lit(0))) for t in tools}
+    ends = F.array_sort(F.array_distinct(F.array(*marked.values(), n)))
+    parts = keys.select(
+        F.struct(*[c.alias(t) for t, c in marked.items()]).alias("h"), F.posexplode(ends).alias("i", "end"), ends.alias("ends")
+    ).withColumn("start", F.when(F.col("i") > 0, F.get("ends", F.col("i") - 1)).otherwise(F.lit(0)))
+    pattern = F.array(*[
+        F.struct(F.lit(t).alias("tool"), (F.col("h").getField(t) >= F.col("end")).cast("int").alias("detected"))
+        for t in tools
+    ])
+    return (
+        parts.where("end > start").groupBy(pattern.alias("pattern"))
+        .agg(F.sum(F.col("end") - F.col("start")).alias("n"))
+    )
+
+
+def combined_patterns(repeats: list[DataFrame]) -> DataFrame:
+    """The pattern counts of several repeats as one."""
+    out = repeats[0]
+    for more in repeats[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("pattern").agg(F.sum("n").alias("n"))
+
+
 def combine_vectors(vectors: list[DataFrame]) -> DataFrame:
     """All repeats one after the other, told apart by ``repeat``."""
     out = None

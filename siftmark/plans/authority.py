@@ -11,7 +11,13 @@ from siftmark.sources.authority import records
 
 
 def cover(gt: DataFrame, raw: DataFrame) -> dict[str, DataFrame]:
-    """Bucket of each distinct observation, counts per ecosystem and completeness."""
+    """Bucket of each distinct observation, counts per ecosystem and completeness.
+
+    Raises for a ground truth without rows or without ecosystems.
+    """
+    status = coverage.gt_checks(gt).first()["status"]
+    if status != "ok":
+        raise ValueError(f"ground truth is {status}")
     verdicts = written(coverage.classify(gt, records(raw)))
     counts = coverage.bucket_counts(verdicts, "bucket", COVERAGE_BUCKETS)
     precise = coverage.bucket_counts(

@@ -13,13 +13,21 @@ def compare(
 ) -> dict[str, DataFrame]:
     """Cochran's Q, corrected McNemar tests, markers and tool summaries over all repeats.
 
-    The pattern counts behind all tests are a few rows; they are written once.
+    The pattern counts behind all tests are a few rows; they are written once. Raises when a
+    tool lacks a vector in some repeat, or vectors differ in length.
     """
     from pyspark.sql import functions as F
 
     vectors = [significance.detection_vector(gt, f, tools) for f in repeats]
     detections = significance.combine_vectors(vectors)
-    counted = written(significance.patterns(detections))
+    lacking = significance.missing_vectors(detections, tools, len(repeats)).collect()
+    if lacking:
+        raise ValueError(f"no detections of {[(r['tool'], r['repeat']) for r in lacking]}")
+    if not significance.uneven_vectors(detections).isEmpty():
+        raise ValueError("detections of the tools differ in length")
+    counted = written(
+        significance.combined_patterns([significance.key_patterns(gt, f, tools) for f in repeats])
+    )
     tests = significance.holm(significance.mcnemar(significance.mcnemar_counts(counted)))
     runs = None
     for i, findings in enumerate(repeats, start=1):
@@ -39,4 +47,5 @@ def compare(
         "tool_summary": summary,
         "tool_table": metrics.tool_table(runs, metrics.gt_summary(gt), markers),
         "deltas": metrics.tool_deltas(summary),
+        "payload": metrics.comparison_payload(summary, metrics.tool_deltas(summary)),
     }

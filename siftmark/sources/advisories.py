@@ -239,10 +239,16 @@ def osv(raw: DataFrame, gt: DataFrame) -> DataFrame:
         *key, "ord", "package", F.explode(id_set(*[F.col(c) for c in ids])).alias("any_id")
     )
     pairs = asked_ids.join(link, ["ecosystem", "package", "any_id"]).drop("any_id", "package").distinct()
-    checked = pairs.join(advisories.drop("ecosystem", "package"), "adv_ord").withColumn(
-        "m", _confirmation(F.col("version"), F.col("affected"))
+    # Whether an advisory holds a version is asked once for each two of them.
+    asked_versions = pairs.select("adv_ord", "version").distinct()
+    held = (
+        asked_versions.join(advisories.select("adv_ord", "affected"), "adv_ord")
+        .select("adv_ord", "version", F.explode(F.array(_confirmation(F.col("version"), F.col("affected")))).alias("m"))
+        .where("m is not null")
     )
-    first = first_row_per(checked.where("m is not null").drop("affected"), [*key, "ord"], "adv_ord")
+    chosen = first_row_per(pairs.join(held, ["adv_ord", "version"]), [*key, "ord"], "adv_ord")
+    texts = advisories.select("adv_ord", "id", "aliases", "summary", "details")
+    first = chosen.join(texts, "adv_ord")
     own = lambda c: F.nullif(F.col(c), F.lit(""))
     found = first.select(
         "ord",
@@ -257,8 +263,7 @@ def osv(raw: DataFrame, gt: DataFrame) -> DataFrame:
         F.col("m.spec").alias("affected_version_range"),
         F.col("m.match_type").alias("match_type"),
     )
-    out = deduplicated(finding_columns(found, "osv"))
-    return out.join(found.select("ord", "match_type"), "ord")
+    return deduplicated(finding_columns(found, "osv", "match_type"))
 
 
 # --- observations: which advisories hit which release -----------------------------

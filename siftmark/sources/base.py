@@ -60,18 +60,52 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Landed JSON lines; the place of a line is its file and its byte block order."""
-    return spark.read.text(path).select(
-        F.col("value").alias("payload"),
-        F.concat_ws(
-            "|",
-            F.col("_metadata.file_path"),
-            F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"),
-            F.sha2("value", 256),
-        ).alias("ord"),
+    """Landed JSON lines, in the order of files and lines."""
+    return spark.read.text(path).select(F.col("value").alias("payload"), landed_place().alias("ord"))
+
+
+def landed_place() -> Column:
+    """The unique, sortable place of a row read from files: file, block, and number in the task.
+
+    One task reads the rows of a block, in order, so the numbers that it gives rise along the
+    block, and a task that is run again gives the same ones.
+    """
+    digits = lambda c: F.lpad(c.cast("string"), 20, "0")
+    return F.concat_ws(
+        "|",
+        F.col("_metadata.file_path"),
+        digits(F.col("_metadata.file_block_start")),
+        digits(F.monotonically_increasing_id()),
     )
 
 
+def rejected(raw: DataFrame, field: str) -> DataFrame:
+    """Documents that are no JSON object with a list (or object) in ``field``: ord and reason.
+
+    A report that can't be read would otherwise look like one without findings.
+    """
+    body = F.try_parse_json("payload")
+    part = F.try_variant_get(body, f"$.{field}", "variant")
+    kind = F.schema_of_variant(part)
+    reason = (
+        F.when(body.isNull(), "no JSON")
+        .when(part.isNull(), F.lit(f"no {field}"))
+        .when(~(kind.startswith("ARRAY") | kind.startswith("OBJECT")), F.lit(f"{field} is no list"))
+    )
+    return raw.select("ord", reason.alias("reason")).where("reason is not null")
+
+
+def accepted(raw: DataFrame, field: str) -> DataFrame:
+    """The same documents; the job fails at the first that ``rejected`` would name."""
+    bad = rejected(raw, field).withColumnRenamed("ord", "_of")
+    checked = raw.join(bad, F.col("ord") == F.col("_of"), "left")
+    return checked.where(
+        F.when(F.col("reason").isNull(), F.lit(True)).otherwise(
+            F.raise_error(F.concat_ws(": ", "ord", "reason")).cast("boolean")
+        )
+    ).drop("_of", "reason")
+
+
 def sub_ord(pos: Column, ord_col: str = "ord") -> Column:
     """The place of an array element inside its document."""
     return F.concat(F.col(ord_col), F.lit("|"), F.lpad(pos.cast("string"), 8, "0"))
@@ -86,12 +120,13 @@ def exploded(df: DataFrame, array: Column, name: str, *keep: str) -> DataFrame:
     )
 
 
-def finding_columns(df: DataFrame, source_name: str) -> DataFrame:
-    """Findings in the common columns; what a source does not know is null."""
+def finding_columns(df: DataFrame, source_name: str, *more: str) -> DataFrame:
+    """Findings in the common columns, and ``more``; what a source does not know is null."""
     have = set(df.columns)
     return df.withColumn("source", F.lit(source_name)).select(
         *[F.col(c) if c in have or c == "source" else F.lit(None).cast("string").alias(c)
-          for c in FINDING_COLUMNS]
+          for c in FINDING_COLUMNS],
+        *more,
     )
 
 

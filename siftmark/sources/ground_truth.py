@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftmark.functions.identity import normalize_component, normalize_identifier, normalize_version
 from siftmark.functions.text import blank_to_null, null_to_blank, strip
+from siftmark.sources.base import landed_place
 
 GROUND_TRUTH = (
     "ecosystem string, component_name string, component_version string, purl string, "
@@ -21,15 +22,14 @@ RESULT_NAMES = ["experimental_results.json", "results.json"]
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a ground-truth CSV with ``ord``; columns are found by name.
 
-    File order is not a column, so ``ord`` is the written row itself: equal rows are
-    interchangeable, and any other order has to be in the data.
+    ``ord`` is the row's place: files are not split here, so it follows the file.
     """
     df = spark.read.options(header=True, multiLine=True, escape='"').csv(path)
     names = [field.split()[0] for field in GROUND_TRUTH.split(", ")]
-    rows = df.select(
-        *[F.col(n) if n in df.columns else F.lit(None).cast("string").alias(n) for n in names]
+    return df.select(
+        *[F.col(n) if n in df.columns else F.lit(None).cast("string").alias(n) for n in names],
+        landed_place().alias("ord"),
     )
-    return rows.withColumn("ord", F.sha2(F.to_json(F.struct(*names)), 256))
 
 
 def ground_truth(rows: DataFrame) -> DataFrame:

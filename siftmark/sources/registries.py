@@ -41,8 +41,13 @@ def npm(raw: DataFrame) -> DataFrame:
 
 
 def maven(raw: DataFrame) -> DataFrame:
-    """Stable versions of all ``version`` elements, wherever they stand."""
-    rows = raw.select("package", F.explode(F.xpath("payload", F.lit("//version/text()"))).alias("version"))
+    """Stable versions of all ``version`` elements, wherever they stand, outside comments.
+
+    Elements are read by pattern, so a document that is cut off gives those before the cut.
+    """
+    plain = F.regexp_replace("payload", "(?s)<!--.*?-->", "")
+    found = F.regexp_extract_all(plain, F.lit(r"<version\s*>\s*([^<]*?)\s*</version\s*>"), F.lit(1))
+    rows = raw.select("package", F.explode(found).alias("version")).where("version <> ''")
     return _releases(rows.where(is_stable(F.col("version"))), "maven")
 
 

@@ -91,6 +91,11 @@ def universe_check(spark, d):
     return datasets.universe_check(listed)
 
 
+def universe_prefix(spark, d):
+    listed = rows(spark, d).groupBy("ecosystem", "component_name").agg(F.min("ord").alias("ord"))
+    return datasets.universe_prefix(listed, 20)
+
+
 def stable_key(spark, d):
     c = F.col
     raw = rows(spark, d).withColumn("component_name", F.concat(F.lit(" "), F.upper("component_name")))
@@ -287,8 +292,14 @@ from r group by 1, 2 order by samples desc, min(ord) limit 20"""),
     "gt_meta": (gt_meta, f"""{_R},
 s as (select ecosystem, count(distinct ({_CV})) as components, count(*) as vulnerabilities from r group by 1)
 select cast(sum(components) as bigint) as components_total, cast(sum(vulnerabilities) as bigint) as vulnerabilities_total,
-  string_agg(concat(ecosystem, ':', components, ':', vulnerabilities), ';' order by ecosystem) as ecosystem_breakdown,
-  '1.1' as schema_version, 'osv' as source, '1995-01-01' as start_date, '2001-12-31' as end_date from s"""),
+  concat('{{"components_total":', sum(components), ',"ecosystem_breakdown":{{', string_agg(concat('"', ecosystem,
+    '":{{"components":', components, ',"vulnerabilities":', vulnerabilities, '}}'), ',' order by ecosystem),
+    '}},"osv_query_mode":"component+version","schema_version":"1.1","source":"osv",',
+    '"time_window":{{"start_date":"1995-01-01","end_date":"2001-12-31"}},"vulnerabilities_total":',
+    sum(vulnerabilities), '}}') as meta from s"""),
+    "universe_prefix": (universe_prefix, f"""{_R},
+p as (select ecosystem, component_name, min(ord) as ord from r group by all)
+select * from p qualify row_number() over (partition by ecosystem order by ord) <= 20"""),
     "gt_checks": (gt_checks, f"""with {ctes('gt0')} select count(*) as n_rows,
   count(*) filter (trim(ecosystem) <> '') as n_with_ecosystem, 'ok' as status from gt0"""),
     "bom_components": (bom_components, f"""{_R} select ecosystem, {_CV}, purl,

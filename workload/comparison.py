@@ -41,7 +41,7 @@ def detection_matrix(spark, d):
 
 
 def _patterns(spark, d):
-    return significance.patterns(_one_repeat(spark, d))
+    return significance.key_patterns(view(spark, d, "gt0"), view(spark, d, "findings"), TOOLS)
 
 
 def cochran_q(spark, d):

@@ -36,8 +36,7 @@ def false_negatives(spark, d):
 
 def fn_taxonomy(spark, d):
     gt, f = _inputs(spark, d)
-    misses = matching.false_negatives(matching.match(gt, f, TOOLS))
-    return matching.classify_misses(misses, f).select("tool", "ord", "fn_class")
+    return matching.classified_misses(gt, f, TOOLS).select("tool", "ord", "fn_class")
 
 
 def _aliases(spark, d):
