@@ -22,7 +22,6 @@ def decontamination_digests(docs: DataFrame, benchmark: DataFrame, **options) ->
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
         decontamination.contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
-        "longest",
     )
 
 
@@ -139,17 +138,84 @@ def _quality_sql() -> str:
     """.replace("r.doc_id is null", "r.hit_id is null")
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_DECONTAMINATION_SQL = rf"""
+    with d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+    i as (select item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+    item_windows as (
+      select distinct item_id, n, array_to_string(w[p:p + n - 1], ' ') as win
+      from (select item_id, w, least(13, len(w)) as n, unnest(range(1, len(w) - least(13, len(w)) + 2)) as p
+            from i where len(w) > 0)),
+    sizes as (select distinct n from item_windows),
+    doc_windows as (
+      select doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') as win
+      from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from d cross join sizes)),
+    hits as (select doc_id, p, n, item_id from doc_windows join item_windows using (n, win)),
+    hit_words as (
+      select doc_id, count(distinct q) as n_hit
+      from (select doc_id, unnest(range(p, p + n)) as q from hits) group by doc_id),
+    hit_items as (
+      select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids
+      from (select distinct doc_id, cast(item_id as varchar) as id from hits) group by doc_id)
+    select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+           sha256(coalesce(ids, '')) as items_sha256,
+           coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+    from d left join hit_words using (doc_id) left join hit_items using (doc_id)
+    """
+_WINDOW_SQL = r"""
+    with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+    windows as (
+      select doc_id, p, array_to_string(w[p:p + 19], ' ') as win
+      from (select doc_id, w, unnest(range(1, len(w) - 18)) as p from d)),
+    later as (
+      select doc_id, p from windows
+      qualify row_number() over (partition by win order by doc_id, p) > 1),
+    gone as (select distinct doc_id, unnest(range(p, p + 20)) as place from later),
+    words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as place from d),
+    marked as (
+      select words.*, gone.place is not null as removed
+      from words left join gone on words.doc_id = gone.doc_id and words.place = gone.place),
+    kept as (
+      select doc_id, count(*) filter (removed) as n_removed,
+             string_agg(word, ' ' order by place) filter (not removed) as text
+      from marked group by doc_id)
+    select doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+    from d left join kept using (doc_id)
+    """
+_SHARD_SQL = """
+    with codes as (
+      select list_transform(range(0, 256), lambda n: list_reduce(range(0, 8), lambda c, k:
+        case when c % 2 = 1 then xor(3988292384, c >> 1) else c >> 1 end, n)) as code),
+    d as (
+      select doc_id, cast(strlen(coalesce(text, '')) as bigint) + 16 as size,
+             xor(list_reduce(list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'),
+                   lambda x: cast('0x' || x as bigint)),
+                 lambda c, b: xor(code[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) as text_crc32
+      from documents, codes),
+    scored as (
+      select doc_id, s, -ln((cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null') || '/' || s), 1, 13)
+                              as bigint) + 0.5) / 4503599627370496.0) as score
+      from documents, range(0, 41) t(s)),
+    placed as (
+      select doc_id, cast(arg_min(s, score) filter (s < 40) as integer) as shard,
+             cast(arg_min(s, score) as integer) as grown_shard
+      from scored group by doc_id)
+    select doc_id, size, text_crc32, 'key' as law, shard,
+           row_number() over (partition by shard order by doc_id) - 1 as slot, grown_shard
+    from d join placed using (doc_id)
+    """
+
 QUERIES = {
-    "op1_suffix_decontamination": (op1_suffix_decontamination, None),
+    "op1_suffix_decontamination": (op1_suffix_decontamination, _DECONTAMINATION_SQL),
     "op2_binary_packing": (op2_binary_packing, None),
     "op3_line_dedup": (op3_line_dedup, None),
     "op4_quality_rules": (op4_quality_rules, _quality_sql()),
     "op5_simhash": (op5_simhash, None),
     "op6_run_index_dedup": (op6_run_index_dedup, None),
     "op7_offset_token_counts": (op7_offset_token_counts, None),
-    "op8_window_dedup": (op8_window_dedup, None),
+    "op8_window_dedup": (op8_window_dedup, _WINDOW_SQL),
     "op9_warc": (op9_warc, None),
-    "op10_rendezvous_shards": (op10_rendezvous_shards, None),
+    "op10_rendezvous_shards": (op10_rendezvous_shards, _SHARD_SQL),
 }
 
 
