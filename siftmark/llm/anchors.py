@@ -18,7 +18,7 @@ from siftmark.llm.common import mixed
 
 #: Low bits of a key that hold a place; the rest of the hash orders grams.
 PLACE_BITS = np.uint64(28)
-FILTER_BITS = 1 << 28
+FILTER_BITS = 1 << 27
 SLICES = 64
 
 

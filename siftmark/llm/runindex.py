@@ -36,10 +36,10 @@ from siftmark.session import written
 LENGTH = 400
 GRAM = 32
 MOST = 2048
-BATCH = 2 << 20
-SLICE = 4 << 20  # string starts of one text that are looked at together
-BIN_BYTES = 3 << 19
-PART_WINDOWS = 1 << 22
+BATCH = 1 << 20
+SLICE = 1 << 20  # string starts of one text that are looked at together
+BIN_BYTES = 1 << 19
+PART_WINDOWS = 1 << 20
 
 
 # --- the index ----------------------------------------------------------------------
