@@ -6,9 +6,12 @@ versions and the ranges of one group. Inputs are already distinct.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftmark.operators.ranking import running
+
+
 def _canonical_blocks(first: Column, past: Column) -> Column:
     """Aligned power-of-two blocks that tile ``[first, past)``: at most two per level."""
     def at(level: Column) -> Column:
@@ -76,13 +79,8 @@ def covering(
     marks = spans.unionByName(
         points.select(*group, tag, n(1), F.col("position").alias("at")), allowMissingColumns=True
     )
-    running = Window.partitionBy(*group).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*group)
-    ranked = marks.select(
-        "*",
-        F.sum("is_point").over(running).alias("before"),
-        F.sum("is_point").over(whole).alias("n_points"),
-    ).where("n_points > 0")
+    sizes = points.groupBy(*group).agg(F.count("*").alias("n_points"))
+    ranked = running(marks.join(sizes, group), group, "at", "is_point", "sum", "before")
     located = ranked.where("is_point = 1").select(
         *group, tag, F.inline(_enclosing_blocks(F.col("before") - 1, F.col("n_points")))
     )
@@ -105,7 +103,7 @@ def covered(points: DataFrame, intervals: DataFrame, group: list[str]) -> DataFr
     """The points that at least one interval of their group covers.
 
     Sorted along the axis, a point is covered exactly when the farthest upper end among
-    the intervals that started before it lies behind it: one window, no pairs.
+    the intervals that started before it lies behind it: one running maximum, no pairs.
     """
     none = F.lit(None).cast("string")
     starts = intervals.groupBy(*group, "lower").agg(F.max("upper").alias("reach"))
@@ -113,9 +111,8 @@ def covered(points: DataFrame, intervals: DataFrame, group: list[str]) -> DataFr
                           none.alias("reach")).unionByName(
         starts.select(*group, F.col("lower").alias("at"), F.lit(False).alias("is_point"), "reach")
     )
-    running = Window.partitionBy(*group).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        marks.withColumn("reach", F.max("reach").over(running))
+        running(marks, group, "at", "reach", "max", "reach")
         .where(F.col("is_point") & (F.col("reach") > F.col("at")))
         .select(*group, F.col("at").alias("position"))
     )

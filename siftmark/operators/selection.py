@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmark.functions.versions import is_stable, version_key
+from siftmark.operators.ranking import row_number_within
 
 PACKAGE = ["ecosystem", "package"]
 
@@ -47,9 +48,8 @@ def evenly(releases: DataFrame, limit: int | None) -> DataFrame:
     decides alone once its rank and its package's size are known.
     """
     keyed = stable_only(releases).withColumn("key", version_key(F.col("version")))
-    ranked = _ranked(keyed, F.desc("key"), F.col("version")).withColumn(
-        "n", F.count("*").over(Window.partitionBy(*PACKAGE))
-    )
+    sizes = keyed.groupBy(*PACKAGE).agg(F.count("*").alias("n"))
+    ranked = row_number_within(keyed.join(sizes, PACKAGE), PACKAGE, [F.desc("key"), F.col("version")], "rank")
     return ranked.where(sampled(F.col("rank") - 1, F.col("n"), limit)).drop("key", "n")
 
 
