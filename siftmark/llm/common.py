@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 BATCH_BYTES = 16 << 20
 #: Bytes that are worked on at a time; a longer text is a piece of its own.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 #: The blank bytes between words: space and \\t to \\r.
 NOT_BLANK = np.ones(256, bool)

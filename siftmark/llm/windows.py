@@ -26,7 +26,7 @@ from siftmark.llm.common import (
 
 WINDOW = 20
 GRAM = 6
-BATCH = 4 << 20
+BATCH = 1 << 20
 
 
 class Words:
