@@ -129,7 +129,8 @@ def deletions(hashed: DataFrame, rare_share: float = RARE_SHARE) -> DataFrame:
     most = F.greatest(F.lit(2), F.floor(distinct.agg(F.count("*")).scalar() * rare_share))
     held = distinct.select("place", "doc_id", F.explode("worded").alias("line"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "place")
-    rare = (
+    # Written, so that the join below has a common line's rows in an exchange that can be split.
+    rare = written(
         held.groupBy("line").agg(F.count("*").alias("n"), F.min(order).alias("first"))
         .where((F.col("n") > 1) & (F.col("n") <= most))
         .select(F.col("line").alias("of"), F.col("first.place").alias("earlier"))
