@@ -28,6 +28,7 @@ from siftmark.session import written
 BLANK = r"[ \t-\r]+"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
+BROADCAST_STRATA = 10_000  # of a few hundred bytes each
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
 #: rule -> (measure, base, cutoffs per 1000 of the base from lenient to strict, too much or too little)
@@ -203,12 +204,20 @@ def calibrate(
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang", name: str = "measures") -> DataFrame:
-    """The rows with base_failed and kept; a stratum without cutoffs only has the base rules."""
+    """The rows with base_failed and kept; a stratum without cutoffs only has the base rules.
+
+    Cutoffs are one small row for each stratum that has hundreds of labels. Up to
+    ``BROADCAST_STRATA`` of them are broadcast, so that rows with their texts stay where they
+    are; beyond it, rows and cutoffs are joined by a shuffle.
+    """
+    cutoffs = written(cutoffs)
     m = F.col(f"`{name}`")
     rejected = F.lit(False)
     for rule in RULES:
         rejected = rejected | F.coalesce(_rejects(m, rule, F.col("_cutoffs")[rule]), F.lit(False))
     limits = cutoffs.select(F.col("stratum").alias("_stratum"), F.col("cutoffs").alias("_cutoffs"))
+    if cutoffs.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA:
+        limits = F.broadcast(limits)
     columns = [c for c in measured.columns if c not in ("base_failed", "kept")]
     return (
         measured.join(limits, F.coalesce(F.col(stratum), F.lit("")) == F.col("_stratum"), "left")
