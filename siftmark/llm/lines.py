@@ -1,12 +1,11 @@
 """Line deduplication by pairwise alignment.
 
-Documents are lists of lines. A line with a word is rare when at most ``rare_share`` of the
-distinct texts (two at least) have it. Texts that share a rare line overlap: each later text is
+Documents are lists of lines. Texts that share a line with a word overlap: each later text is
 paired with the earliest text that has the line, which reaches every later text and makes at most
 one pair for each line of a document, however many documents have it. A pair is aligned by
 patience diff: lines that occur once on both sides, longest increasing chain, runs of equal lines
-around them, and the same again in the gaps. Common blocks that hold a shared rare line are
-deleted from the later text. The earlier side is always the text as it came in, not what is left.
+around them, and the same again in the gaps. Common blocks that hold a shared line are deleted
+from the later text. The earlier side is always the text as it came in, not what is left.
 
 Equal texts are one text for all this; all but the first document of it align with the first as a
 whole and lose all their lines. Order is that of doc_id, nulls last, then of place in the input.
@@ -26,8 +25,6 @@ from pyspark.sql import functions as F
 from siftmark.llm.common import packed, small_batches
 from siftmark.session import written
 
-RARE_SHARE = 0.05
-
 
 def _chain(a: list, b: list, a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
     """The longest chain, rising on both sides, of lines that occur once in each range."""
@@ -98,9 +95,9 @@ def _aligned(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for a, b, shared in zip(*(batch.column(c).to_pylist() for c in ("before", "after", "shared")), strict=True):
-                rare = set(shared)
+                held = set(shared)
                 out.append([
-                    k for _, j, n in patience_blocks(a, b) if any(x in rare for x in b[j : j + n])
+                    k for _, j, n in patience_blocks(a, b) if any(x in held for x in b[j : j + n])
                     for k in range(j, j + n)
                 ])
             yield pa.RecordBatch.from_arrays(
@@ -110,7 +107,7 @@ def _aligned(pairs: DataFrame) -> DataFrame:
     return pairs.select("later", "before", "after", "shared").mapInArrow(align, "later bigint, gone array<int>")
 
 
-def deletions(hashed: DataFrame, rare_share: float = RARE_SHARE) -> DataFrame:
+def deletions(hashed: DataFrame) -> DataFrame:
     """(place, whole, gone): documents that lose all lines, or the places of the lines they lose.
 
     ``hashed`` has place (unique), doc_id, text_hash, lines (hashes) and worded (hashes of lines
@@ -126,17 +123,16 @@ def deletions(hashed: DataFrame, rare_share: float = RARE_SHARE) -> DataFrame:
         "place", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("gone")
     )
     distinct = texts.where("leader is not null")
-    most = F.greatest(F.lit(2), F.floor(distinct.agg(F.count("*")).scalar() * rare_share))
     held = distinct.select("place", "doc_id", F.explode("worded").alias("line"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "place")
     # Written, so that the join below has a common line's rows in an exchange that can be split.
-    rare = written(
+    common = written(
         held.groupBy("line").agg(F.count("*").alias("n"), F.min(order).alias("first"))
-        .where((F.col("n") > 1) & (F.col("n") <= most))
+        .where("n > 1")
         .select(F.col("line").alias("of"), F.col("first.place").alias("earlier"))
     )
     pairs = (
-        held.join(rare, F.col("line") == F.col("of")).where("place <> earlier")
+        held.join(common, F.col("line") == F.col("of")).where("place <> earlier")
         .groupBy(F.col("place").alias("later"), "earlier").agg(F.collect_list("line").alias("shared"))
     )
     before = distinct.select(F.col("place").alias("b_place"), F.col("lines").alias("before"))
@@ -151,7 +147,7 @@ def deletions(hashed: DataFrame, rare_share: float = RARE_SHARE) -> DataFrame:
     return copies.union(gone.select(F.col("later").alias("place"), F.lit(False).alias("whole"), "gone"))
 
 
-def cut_lines(docs: DataFrame, rare_share: float = RARE_SHARE, text: str = "text", key: str = "doc_id") -> DataFrame:
+def cut_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows with n_lines, removed (sorted places of deleted lines) and kept_text.
 
     A null or empty text has no lines (n_lines 0) and stays as it is. ``docs`` must not have
@@ -170,7 +166,7 @@ def cut_lines(docs: DataFrame, rare_share: float = RARE_SHARE, text: str = "text
             F.array_distinct(F.transform(with_word, lambda x: F.xxhash64(x))).alias("worded"),
         )
     )
-    found = deletions(hashed, rare_share).withColumnRenamed("place", "of")
+    found = deletions(hashed).withColumnRenamed("place", "of")
     n = F.when(F.length(text) > 0, F.size(lines)).otherwise(0)
     everything = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     cut = rows.join(found, F.col("place") == F.col("of"), "left").withColumns({
