@@ -1,11 +1,15 @@
 """Line deduplication by pairwise alignment.
 
-Documents are lists of lines. Texts that share a line with a word overlap: each later text is
-paired with the earliest text that has the line, which reaches every later text and makes at most
-one pair for each line of a document, however many documents have it. A pair is aligned by
-patience diff: lines that occur once on both sides, longest increasing chain, runs of equal lines
-around them, and the same again in the gaps. Common blocks that hold a shared line are deleted
-from the later text. The earlier side is always the text as it came in, not what is left.
+Documents are lists of lines. Two texts that share a line with a word are aligned by patience diff:
+lines that occur once on both sides, longest increasing chain, runs of equal lines around them, and
+the same again in the gaps. Common blocks that hold a line with a word are deleted from the later
+text, and a text loses what any of its alignments with earlier texts deletes.
+
+Most of these pairs would change nothing and are not made. Each later text first meets the earliest
+text with the same key: a line with a word, or a line without one together with the nearest line
+with a word on one side and the distance to it, for only blocks that hold both can delete it. Where
+a key still stands, the text meets the next holder of the key, then the next two, four, ..., until
+it is deleted or has met all earlier holders. The earlier side is always the text as it came in, not what is left.
 
 Equal texts are one text for all this; all but the first document of it align with the first as a
 whole and lose all their lines. Order is that of doc_id, nulls last, then of place in the input.
@@ -18,11 +22,14 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from siftmark.llm.common import packed, small_batches
+from siftmark.llm.common import list_array, mixed, packed, small_batches
+from siftmark.operators.ranking import row_number_within
 from siftmark.session import written
 
 
@@ -88,30 +95,85 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _keys_of(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, place in the text) of lists of line hashes, which are odd for lines with a word.
+
+    The key of a line with a word is its hash. Other lines have an even key for the nearest line
+    with a word on each side, made of that line's hash and the distance.
+    """
+    flat = lines.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = lines.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.cumsum(counts) - counts
+    row, at = np.repeat(np.arange(len(counts)), counts), np.arange(len(flat))
+    word = flat & 1 == 1
+    before = np.maximum.accumulate(np.where(word, at, -1))
+    after = np.minimum.accumulate(np.where(word, at, len(flat))[::-1])[::-1]
+    back = np.flatnonzero(~word & (before >= starts[row]))
+    ahead = np.flatnonzero(~word & (after < (starts + counts)[row]))
+    own = np.flatnonzero(word)
+    near = np.concatenate([before[back], after[ahead]])
+    apart = np.concatenate([back, ahead]) - near
+    even = mixed(flat[near].view(np.uint64) ^ mixed(apart.astype(np.uint64))) & ~np.uint64(1)
+    places = np.concatenate([own, back, ahead])
+    return row[places], np.concatenate([flat[own], even.view(np.int64)]), (places - starts[row[places]])
+
+
+def _with_keys(hashed: DataFrame) -> DataFrame:
+    """The rows with ``keys``, the distinct keys of their lines."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, key, _ = _keys_of(batch.column("lines"))
+            order = np.lexsort((key, row))
+            row, key = row[order], key[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+            keys = list_array(pa.array(key[new]), np.bincount(row[new], minlength=batch.num_rows))
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "keys"])
+
+    return hashed.mapInArrow(add, T.StructType([*hashed.schema.fields, T.StructField("keys", T.ArrayType(T.LongType()))]))
+
+
 def _aligned(pairs: DataFrame) -> DataFrame:
-    """For each pair the places of the later text's lines that the alignment deletes."""
+    """For each pair the places of the later text's lines that the alignment deletes, and the key
+    and place of those it leaves of the keys in ``shared``."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for a, b, shared in zip(*(batch.column(c).to_pylist() for c in ("before", "after", "shared")), strict=True):
+            gone, left = [], []
+            row, key, place = _keys_of(batch.column("after"))
+            order = np.argsort(row, kind="stable")
+            ends = np.cumsum(np.bincount(row, minlength=batch.num_rows))
+            spots = np.split(order, ends[:-1])
+            for k, (a, b, shared) in enumerate(
+                zip(*(batch.column(c).to_pylist() for c in ("before", "after", "shared")), strict=True)
+            ):
+                out = {
+                    p for _, j, n in patience_blocks(a, b) if any(x & 1 for x in b[j : j + n])
+                    for p in range(j, j + n)
+                }
+                gone.append(sorted(out))
                 held = set(shared)
-                out.append([
-                    k for _, j, n in patience_blocks(a, b) if any(x in held for x in b[j : j + n])
-                    for k in range(j, j + n)
+                left.append([
+                    {"key": x, "k": p} for x, p in zip(key[spots[k]].tolist(), place[spots[k]].tolist(), strict=True)
+                    if x in held and p not in out
                 ])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("later"), pa.array(out, pa.list_(pa.int32()))], names=["later", "gone"]
+                [batch.column("later"), pa.array(gone, pa.list_(pa.int32())),
+                 pa.array(left, pa.list_(pa.struct([("key", pa.int64()), ("k", pa.int32())])))],
+                names=["later", "gone", "left"],
             )
 
-    return pairs.select("later", "before", "after", "shared").mapInArrow(align, "later bigint, gone array<int>")
+    return pairs.select("later", "before", "after", "shared").mapInArrow(
+        align, "later bigint, gone array<int>, left array<struct<key:bigint,k:int>>"
+    )
 
 
 def deletions(hashed: DataFrame) -> DataFrame:
     """(place, whole, gone): documents that lose all lines, or the places of the lines they lose.
 
-    ``hashed`` has place (unique), doc_id, text_hash, lines (hashes) and worded (hashes of lines
-    with a word, distinct); it is read several times.
+    ``hashed`` has place (unique), doc_id, text_hash, lines (hashes, odd for lines with a word) and
+    keys; it is read several times.
     """
     first = Window.partitionBy("text_hash").orderBy(F.asc_nulls_last("doc_id"), "place")
     leaders = (
@@ -119,32 +181,61 @@ def deletions(hashed: DataFrame) -> DataFrame:
         .where("rank = 1").select(F.col("place").alias("leader"))
     )
     texts = written(hashed.join(leaders, F.col("place") == F.col("leader"), "left"))
-    copies = texts.where("leader is null and size(worded) > 0").select(
+    copies = texts.where("leader is null and size(keys) > 0").select(
         "place", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("gone")
     )
     distinct = texts.where("leader is not null")
-    held = distinct.select("place", "doc_id", F.explode("worded").alias("line"))
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "place")
+    held = distinct.select("place", F.col("doc_id").isNull().alias("no_id"), "doc_id", F.explode("keys").alias("key"))
+    before = distinct.select(F.col("place").alias("b_place"), F.col("lines").alias("before"))
+    after = distinct.select(F.col("place").alias("a_place"), F.col("lines").alias("after"))
+
+    def align(pairs: DataFrame) -> DataFrame:
+        """Written: what the pairs (later, earlier, key) delete and leave."""
+        pairs = pairs.groupBy("later", "earlier").agg(F.collect_list("key").alias("shared"))
+        return written(_aligned(
+            pairs.join(before, F.col("earlier") == F.col("b_place")).join(after, F.col("later") == F.col("a_place"))
+        ))
+
+    def places(aligned: DataFrame) -> DataFrame:
+        return aligned.select("later", F.explode("gone").alias("k"))
+
     # Written, so that the join below has a common line's rows in an exchange that can be split.
     common = written(
-        held.groupBy("line").agg(F.count("*").alias("n"), F.min(order).alias("first"))
+        held.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("no_id", "doc_id", "place")).alias("first"))
         .where("n > 1")
-        .select(F.col("line").alias("of"), F.col("first.place").alias("earlier"))
+        .select(F.col("key").alias("of"), F.col("first.place").alias("earlier"))
     )
-    pairs = (
-        held.join(common, F.col("line") == F.col("of")).where("place <> earlier")
-        .groupBy(F.col("place").alias("later"), "earlier").agg(F.collect_list("line").alias("shared"))
+    found = align(
+        held.join(common, F.col("key") == F.col("of")).where("place <> earlier")
+        .select(F.col("place").alias("later"), "earlier", "key")
     )
-    before = distinct.select(F.col("place").alias("b_place"), F.col("lines").alias("before"))
-    after = distinct.select(F.col("place").alias("a_place"), F.col("lines").alias("after"))
-    gone = (
-        _aligned(
-            pairs.join(before, F.col("earlier") == F.col("b_place")).join(after, F.col("later") == F.col("a_place"))
+    gone = places(found)
+    left = found.select("later", F.explode("left").alias("x")).select("later", "x.key", "x.k")
+    stands = written(left.join(gone, ["later", "k"], "left_anti"))
+    if not stands.isEmpty():
+        # Holders of the keys that stand, numbered from 1; a text's own number tells how many are before it.
+        of = stands.select(F.col("key").alias("of")).distinct()
+        holders = written(
+            row_number_within(
+                held.join(of, F.col("key") == F.col("of"), "left_semi"), ["key"], ["no_id", "doc_id", "place"], "number"
+            ).select("key", "number", F.col("place").alias("earlier"))
         )
-        .where(F.size("gone") > 0)
-        .select("later", F.explode("gone").alias("k")).groupBy("later").agg(F.collect_set("k").alias("gone"))
-    )
-    return copies.union(gone.select(F.col("later").alias("place"), F.lit(False).alias("whole"), "gone"))
+        own = holders.select("key", F.col("number").alias("own"), F.col("earlier").alias("later"))
+        stands = stands.join(own, ["later", "key"])
+        at, end = 2, 3
+        while not (stands := written(stands.where(F.col("own") > at))).isEmpty():
+            number = F.explode(F.sequence(F.lit(at), F.least(F.col("own") - 1, F.lit(end - 1)))).alias("number")
+            # Written, so that the few pairs are known to be few.
+            few = written(
+                stands.select("later", "key", "own").distinct().select("later", "key", number)
+                .join(holders, ["key", "number"]).select("later", "earlier", "key")
+            )
+            more = places(align(few))
+            gone = gone.union(more)
+            stands = stands.join(more, ["later", "k"], "left_anti")
+            at, end = end, end + 2 * (end - at)
+    gone = gone.groupBy(F.col("later").alias("place")).agg(F.collect_set("k").alias("gone"))
+    return copies.union(gone.select("place", F.lit(False).alias("whole"), "gone"))
 
 
 def cut_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -157,15 +248,21 @@ def cut_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     small_batches(docs.sparkSession)
     rows = written(docs.withColumn("place", F.monotonically_increasing_id()))
     lines = _lines(F.col(text))
-    with_word = F.filter(lines, lambda x: x.rlike(r"[^ \t-\r]"))
-    hashed = written(
+    odd, even = F.lit(1).cast("bigint"), F.lit(-2).cast("bigint")
+
+    def hashed_line(x: Column) -> Column:
+        return F.when(x.rlike(r"[^ \t-\r]"), F.xxhash64(x).bitwiseOR(odd)).otherwise(F.xxhash64(x).bitwiseAND(even))
+
+    hashed = written(_with_keys(
         rows.where(F.length(text) > 0).select(
             "place", F.col(key).alias("doc_id"),
-            F.struct(F.xxhash64(text), F.length(text), F.crc32(F.col(text).cast("binary"))).alias("text_hash"),
-            F.transform(lines, lambda x: F.xxhash64(x)).alias("lines"),
-            F.array_distinct(F.transform(with_word, lambda x: F.xxhash64(x))).alias("worded"),
+            F.struct(
+                F.xxhash64(text).alias("hash"), F.length(text).alias("length"),
+                F.crc32(F.col(text).cast("binary")).alias("crc"),
+            ).alias("text_hash"),
+            F.transform(lines, hashed_line).alias("lines"),
         )
-    )
+    ))
     found = deletions(hashed).withColumnRenamed("place", "of")
     n = F.when(F.length(text) > 0, F.size(lines)).otherwise(0)
     everything = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))

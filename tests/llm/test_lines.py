@@ -1,6 +1,9 @@
 """Line deduplication against alignments with earlier texts."""
 
+import random
+
 from siftmark.llm import lines
+from tests.llm.data import SF
 
 
 def removed(spark, texts):
@@ -8,8 +11,49 @@ def removed(spark, texts):
     return [list(r["removed"]) for r in lines.cut_lines(docs).orderBy("doc_id").collect()]
 
 
+def every_earlier(texts):
+    """What distinct texts lose in alignments with each text before them."""
+    split, out = [t.split("\n") for t in texts], []
+    for i, b in enumerate(split):
+        gone = set()
+        for a in split[:i]:
+            for _, j, n in lines.patience_blocks(a, b):
+                if any(x.strip(" \t\n\x0b\x0c\r") for x in b[j : j + n]):
+                    gone.update(range(j, j + n))
+        out.append(sorted(gone))
+    return out
+
+
 def test_lines_of_most_texts(spark):
     """A family of near copies and a line of all texts lose what the first text has."""
     family = [f"all have it\nbody of the family\n\nown line {i}" for i in range(9)]
     others = [f"another text {i}\nall have it" for i in range(9)]
     assert removed(spark, family + others) == [[]] + [[0, 1, 2]] * 8 + [[1]] * 9
+
+
+def test_next_holders(spark):
+    """A line that crosses the chain with its first holder aligns with a later one."""
+    texts = ["A\nB", "B\nA", "B\nA\nC", "C\nA\nB", "D\nB\nA", "D\nC\nA\nx"]
+    assert removed(spark, texts) == every_earlier(texts)
+    assert removed(spark, texts)[2] == [0, 1]
+
+
+def test_blank_lines_of_a_nearer_copy(spark):
+    """R1 and R2 are first seen in two texts, the line between them only in the third."""
+    texts = ["R1\nx", "R2\ny", "z\nR1\n\nR2", "w\nR1\n\nR2"]
+    assert removed(spark, texts) == [[], [], [1, 3], [1, 2, 3]] == every_earlier(texts)
+
+
+def test_all_earlier_texts(spark):
+    rnd = random.Random(3)
+    texts = list(dict.fromkeys(
+        "\n".join(rnd.choice(["a", "b", "c", "d", "e", "f", "", " "]) for _ in range(rnd.randint(1, 9)))
+        for _ in range(120)
+    ))
+    assert removed(spark, [t for t in texts if t]) == every_earlier([t for t in texts if t])
+
+
+def test_all_earlier_texts_of_a_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 0").orderBy("doc_id")
+    texts = list(dict.fromkeys(r["text"] for r in docs.collect()))
+    assert removed(spark, texts) == every_earlier(texts)
