@@ -2,7 +2,8 @@
 
 Documents are lists of lines. Two texts that share a line with a word are aligned by patience diff:
 lines that occur once on both sides, longest increasing chain, runs of equal lines around them, and
-the same again in the gaps. Common blocks that hold a line with a word are deleted from the later
+the same again in the gaps. A gap without such lines pairs the k-th occurrences of its lines, so none
+is left with a common line. Common blocks that hold a line with a word are deleted from the later
 text, and a text loses what any of its alignments with earlier texts deletes.
 
 Most of these pairs would change nothing and are not made. Each later text first meets the earliest
@@ -34,16 +35,27 @@ from siftmark.session import written
 
 
 def _chain(a: list, b: list, a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
-    """The longest chain, rising on both sides, of lines that occur once in each range."""
+    """The longest chain, rising on both sides, of lines that occur once in each range.
+
+    Where there are none, the k-th occurrence of a line on one side goes with the k-th on the other.
+    """
     times_a, times_b = Counter(a[a0:a1]), Counter(b[b0:b1])
-    at_b = {x: j for j, x in enumerate(b[b0:b1], b0) if times_b[x] == 1}
+    once = any(n == 1 and times_b[x] == 1 for x, n in times_a.items())
+    seen_a, seen_b = Counter(), Counter()
+    at_b: dict[tuple, int] = {}
+    for j in range(b0, b1):
+        x = b[j]
+        if x in times_a and (not once or times_a[x] == times_b[x] == 1):
+            at_b[x, seen_b[x]] = j
+            seen_b[x] += 1
     piles: list[int] = []
     top: list[int] = []
     back: list[int] = []
     pairs: list[tuple[int, int]] = []
     for i in range(a0, a1):
-        j = at_b.get(a[i])
-        if j is None or times_a[a[i]] != 1:
+        j = at_b.get((a[i], seen_a[a[i]]))
+        seen_a[a[i]] += 1
+        if j is None:
             continue
         pile = bisect_left(piles, j)
         back.append(top[pile - 1] if pile else -1)

@@ -57,3 +57,20 @@ def test_all_earlier_texts_of_a_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 0").orderBy("doc_id")
     texts = list(dict.fromkeys(r["text"] for r in docs.collect()))
     assert removed(spark, texts) == every_earlier(texts)
+
+
+def test_repeated_lines(spark):
+    assert removed(spark, ["x\nL\ny", "p\nL\nq\nL\nr"]) == [[], [1]]
+    assert removed(spark, ["x\nL\ny\nL\nz", "p\nL\nq\nL\nr"]) == [[], [1, 3]]
+
+
+def test_no_gap_has_a_common_line():
+    """Chains rise on both sides, hold equal lines, and leave nothing common between them."""
+    rnd = random.Random(5)
+    for _ in range(3000):
+        a, b = ([rnd.choice("abcdef"[: rnd.randint(1, 6)]) for _ in range(rnd.randint(0, 12))] for _ in "ab")
+        at = [(i + k, j + k) for i, j, n in lines.patience_blocks(a, b) for k in range(n)]
+        assert all(a[i] == b[j] for i, j in at)
+        edges = [(-1, -1), *at, (len(a), len(b))]
+        for (i, j), (k, m) in zip(edges, edges[1:], strict=False):
+            assert i < k and j < m and not set(a[i + 1 : k]) & set(b[j + 1 : m])
