@@ -40,7 +40,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece, with the CRC-32 of its ids."""
-    return packing.digests(packing.pack_documents(docs, TOKENIZER))
+    return packing.digests(packing.pack_documents(docs, TOKENIZER, added_tokens=True))
 
 
 STAGES = [

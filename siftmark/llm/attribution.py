@@ -66,7 +66,7 @@ def _line_sections(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def section_tokens(
-    docs: DataFrame, tokenizer: str, rule: str = "most", sections: str | None = None,
+    docs: DataFrame, tokenizer: str, rule: str = "most", sections: str | None = None, added_tokens: bool = False,
 ) -> DataFrame:
     """One row per document and section: doc_id, section (0, 1, ...), start, end, n_tokens,
     n_crossing and doc_tokens.
@@ -76,7 +76,8 @@ def section_tokens(
     are lines, each with its line break. ``n_tokens`` is a whole number unless the rule is
     ``split``; ``n_crossing`` counts tokens allotted to the section (or shared) that overlap
     others. A document without sections has one row with a null section and no tokens in it.
-    Repeated rows count each; an empty table gives none; other columns are left out.
+    Repeated rows count each; an empty table gives none; other columns are left out. With
+    ``added_tokens`` a string of one of the file's added tokens is one token, else ordinary text.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -84,7 +85,7 @@ def section_tokens(
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made_by = encoder(tokenizer)
+        made_by = encoder(tokenizer, added_tokens)
         for table in pieces(batches, "text", BATCH):
             texts = texts_of(table["text"].combine_chunks())
             ids = [np.frombuffer(made_by.encode(t.decode()), "<u4") for t in texts]

@@ -41,12 +41,15 @@ def _cut(counts: np.ndarray, max_len: int) -> tuple[np.ndarray, np.ndarray]:
     return lengths, number
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end: int = END) -> DataFrame:
+def tokenize_pieces(
+    docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end: int = END, added_tokens: bool = False
+) -> DataFrame:
     """Each row's doc_id with its pieces.
 
     doc_tokens counts the ids of the text and the closing id ``end``. ``pieces`` is a list of
     structs: start, length and ids (little-endian unsigned 32-bit integers). A null or empty text
-    has the closing id alone. Repeated rows are packed each.
+    has the closing id alone. Repeated rows are packed each. With ``added_tokens`` strings of the
+    file's added tokens get their ids; else they are ordinary text.
     """
     if max_len & (max_len - 1) or max_len < 1:
         raise ValueError("max_len must be a power of two")
@@ -55,7 +58,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end
     closing = np.array([end], "<u4").tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, added_tokens).encode
         for table in pieces(batches, "text", BATCH):
             ids = [encode(t or "") + closing for t in table["text"].to_pylist()]
             counts = np.fromiter((len(x) >> 2 for x in ids), np.int64, len(ids))
@@ -82,13 +85,15 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end: int = END) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end: int = END, added_tokens: bool = False
+) -> DataFrame:
     """One row per piece: doc_id, doc_tokens, start, length (the bucket), ids, sequence_id, offset.
 
     ``sequence_id`` is unique within one result; as every piece is a whole sequence, ``offset`` is
     0. An empty table gives an empty one. Columns other than doc_id and text are left out.
     """
-    rows = tokenize_pieces(docs, tokenizer, max_len, end)
+    rows = tokenize_pieces(docs, tokenizer, max_len, end, added_tokens)
     return rows.select("doc_id", "doc_tokens", F.explode("pieces").alias("p")).select(
         "doc_id", "doc_tokens", "p.*",
         F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"),

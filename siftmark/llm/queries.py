@@ -30,7 +30,7 @@ def op1_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digests(packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER))
+    return packing.digests(packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, added_tokens=True))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op6_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_offset_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attribution.section_tokens(table(spark, sf_dir, "documents"), TOKENIZER, rule="most")
+    return attribution.section_tokens(table(spark, sf_dir, "documents"), TOKENIZER, rule="most", added_tokens=True)
 
 
 def op8_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

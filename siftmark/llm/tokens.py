@@ -4,8 +4,9 @@ The file is a ``tokenizers`` JSON file. Its pre-tokenizer never joins text acros
 that stands between two visible characters, so a text is cut there and the ids of each cut are
 kept in a bounded cache: words recur. Cuts are encoded with ``tiktoken``, built from the same
 vocabulary, which gives the ids of ``tokenizers`` and is several times faster. Texts in which a
-space has other neighbours are cut only where the rule holds. Strings of special tokens inside a
-text are ordinary text.
+space has other neighbours are cut only where the rule holds. Strings of the file's added tokens
+inside a text get their ids, as in ``tokenizers``, or are ordinary text, as there with
+``encode_special_tokens``.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def _plain(c: str) -> bool:
 class Encoder:
     """``encode(text)``: the ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -63,22 +64,37 @@ class Encoder:
         kind = (model.get("pre_tokenizer") or {}).get("type")
         if model["model"]["type"] != "BPE" or kind != "ByteLevel" or model.get("normalizer"):
             raise ValueError(f"not a byte-level BPE file: {path}")
-        special = {x["content"] for x in model.get("added_tokens", [])}
+        added = model.get("added_tokens", [])
+        if added_tokens and any(x[k] for x in added for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"added tokens that take in or depend on their neighbours: {path}")
+        special = {x["content"]: x["id"] for x in added}
         byte_of = _byte_of()
         ranks = {
             bytes(byte_of[c] for c in token): i
             for token, i in model["model"]["vocab"].items() if token not in special
         }
         self._bpe = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)  # bytes of each id
+        self.lengths = np.zeros(max(*ranks.values(), *special.values()) + 1, np.int64)  # bytes of each id
         for token, i in ranks.items():
             self.lengths[i] = len(token)
+        for token, i in special.items():
+            self.lengths[i] = len(token.encode())
+        self._added = {x: np.array([i], "<u4").tobytes() for x, i in special.items()} if added_tokens else {}
+        # The longest of those that begin at one place, as in ``tokenizers``.
+        longest = sorted(self._added, key=len, reverse=True)
+        self._split = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
         self._first, self._later = _Known(self._direct, ""), _Known(self._direct, " ")
 
     def _direct(self, text: str) -> bytes:
         return np.array(self._bpe.encode_ordinary(text), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        if self._split is None or not self._split.search(text):
+            return self._plain_text(text)
+        parts = self._split.split(text)  # every second one is an added token
+        return b"".join(self._added[x] if i % 2 else self._plain_text(x) for i, x in enumerate(parts))
+
+    def _plain_text(self, text: str) -> bytes:
         if not text:
             return b""
         cuts = text.split(" ")
@@ -106,11 +122,11 @@ class Encoder:
         return self._direct(" " + cut) if known is None else known
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each file and Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, added_tokens: bool = False) -> Encoder:
+    """One encoder for each file, reading of added tokens and Python worker."""
+    if (path, added_tokens) not in _ENCODERS:
+        _ENCODERS[path, added_tokens] = Encoder(path, added_tokens)
+    return _ENCODERS[path, added_tokens]
