@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmark.llm import attribution, decontamination, lines, packing, quality, runindex, sharding, simhash, warc, windows
+from siftmark.llm import (
+    attribution, decontamination, lines, packing, periodic, quality, runindex, sharding, simhash, warc, windows,
+)
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -66,6 +68,10 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(periodic.with_repeated_tails(table(spark, sf_dir, "documents")))
+
+
 def _quality_sql() -> str:
     """The rules as rows of a VALUES list; windows are compared as texts, tails by lgamma."""
     grid = ", ".join(
@@ -182,6 +188,44 @@ _WINDOW_SQL = r"""
     select doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
     from d left join kept using (doc_id)
     """
+#: The CRC-32 of the decimal doc_id, then runs as islands of places that equal the one a period later.
+_RUNS_SQL = r"""
+    with codes as (
+      select list_transform(range(0, 256), lambda n: list_reduce(range(0, 8), lambda c, k:
+        case when c % 2 = 1 then xor(3988292384, c >> 1) else c >> 1 end, n)) as code),
+    d as (
+      select row_number() over () as r, doc_id, w, len(w) as n, h // 10 as g, coalesce(h % 10 = 0, false) as hit
+      from (
+        select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+               xor(list_reduce(list_transform(regexp_extract_all(hex(cast(doc_id as varchar)), '..'),
+                     lambda x: cast('0x' || x as bigint)),
+                   lambda c, b: xor(code[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) as h
+        from documents, codes)),
+    places as (
+      select r, n, w, unnest(range(0, n)) as i, hit, g % n as a,
+             1 + (n - g % n) // (3 + g % 8) as p from d where n > 0),
+    words as (
+      select r, n, i, case when hit and i >= a then w[a + (i - a) % p + 1] else w[i + 1] end as word from places),
+    equal as (
+      select x.r, x.i, y.i - x.i as p from words x join words y on x.r = y.r and x.word = y.word
+      and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+    islands as (
+      select r, p, min(i) as s, count(*) + p as l
+      from (select *, i - row_number() over (partition by r, p order by i) as island from equal) group by r, p, island),
+    runs as (
+      select r, s, l, min(p) as p from islands where l >= 6 and l >= 4 * p group by r, s, l),
+    told as (
+      select r, count(*) as n_runs, string_agg(s || ',' || l || ',' || p || chr(10), '' order by s, p) as lines,
+             min(struct_pack(minus := -l, s := s, p := p)) as best from runs group by r),
+    dropped as (select distinct r, unnest(range(s + p, s + l)) as i from runs),
+    kept as (
+      select words.r, string_agg(word, ' ' order by words.i) filter (dropped.i is null) as text
+      from words left join dropped on words.r = dropped.r and words.i = dropped.i group by words.r)
+    select doc_id, coalesce(n_runs, 0) as n_runs, best.s as start, -best.minus as length, best.p as period,
+           cast(floor(1000 * -best.minus / best.p) as bigint) as exponent_milli,
+           sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept.text, '')) as collapsed_sha256
+    from d left join told using (r) left join kept using (r)
+    """
 _SHARD_SQL = """
     with codes as (
       select list_transform(range(0, 256), lambda n: list_reduce(range(0, 8), lambda c, k:
@@ -216,6 +260,7 @@ QUERIES = {
     "op8_window_dedup": (op8_window_dedup, _WINDOW_SQL),
     "op9_warc": (op9_warc, None),
     "op10_rendezvous_shards": (op10_rendezvous_shards, _SHARD_SQL),
+    "op12_periodic_runs": (op12_periodic_runs, _RUNS_SQL),
 }
 
 
