@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmark.llm import (
-    attribution, decontamination, lines, packing, periodic, quality, runindex, sharding, simhash, warc, windows,
+    attribution, bytenet, decontamination, lines, packing, periodic, quality, runindex, sharding, simhash, warc, windows,
 )
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -72,6 +72,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(periodic.with_repeated_tails(table(spark, sf_dir, "documents")))
 
 
+def op13_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bytenet.quality_scores(docs, bytenet.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def _quality_sql() -> str:
     """The rules as rows of a VALUES list; windows are compared as texts, tails by lgamma."""
     grid = ", ".join(
@@ -261,6 +266,7 @@ QUERIES = {
     "op9_warc": (op9_warc, None),
     "op10_rendezvous_shards": (op10_rendezvous_shards, _SHARD_SQL),
     "op12_periodic_runs": (op12_periodic_runs, _RUNS_SQL),
+    "op13_byte_network": (op13_byte_network, None),
 }
 
 
