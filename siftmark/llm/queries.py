@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmark.llm import (
-    attribution, bytenet, decontamination, lines, packing, periodic, quality, runindex, sharding, simhash, warc, windows,
+    attribution, bytenet, decontamination, hardneg, lines, packing, periodic, quality, runindex, sharding, simhash, warc, windows,
 )
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -68,6 +68,12 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hardneg.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(periodic.with_repeated_tails(table(spark, sf_dir, "documents")))
 
@@ -231,6 +237,27 @@ _RUNS_SQL = r"""
            sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept.text, '')) as collapsed_sha256
     from d left join told using (r) left join kept using (r)
     """
+_NEGATIVES_SQL = """
+    with v as (
+      select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+             list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q
+      from embeddings
+      where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    scored as (
+      select a.r as anchor, a.vec_id as anchor_id, b.r, b.vec_id, a.label = b.label as same,
+             cast(list_dot_product(a.q, b.q) as bigint) as score
+      from v a join v b on a.r <> b.r where a.vec_id % 100 = 0),
+    positives as (
+      select anchor, anchor_id, r as positive, vec_id as positive_id, score as positive_score from scored where same
+      qualify row_number() over (partition by anchor order by score desc, vec_id, r) <= 5),
+    ranked as (
+      select p.anchor_id, p.positive_id, n.vec_id as negative_id, positive_score, n.score as negative_score,
+             cast(row_number() over (partition by anchor, positive order by n.score desc, n.vec_id, n.r) as integer) as rank
+      from positives p join scored n using (anchor, anchor_id)
+      where not n.same and 80 * positive_score <= 100 * n.score and 100 * n.score <= 100 * positive_score)
+    select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from ranked where rank <= 5
+    """
 _SHARD_SQL = """
     with codes as (
       select list_transform(range(0, 256), lambda n: list_reduce(range(0, 8), lambda c, k:
@@ -265,6 +292,7 @@ QUERIES = {
     "op8_window_dedup": (op8_window_dedup, _WINDOW_SQL),
     "op9_warc": (op9_warc, None),
     "op10_rendezvous_shards": (op10_rendezvous_shards, _SHARD_SQL),
+    "op11_hard_negatives": (op11_hard_negatives, _NEGATIVES_SQL),
     "op12_periodic_runs": (op12_periodic_runs, _RUNS_SQL),
     "op13_byte_network": (op13_byte_network, None),
 }
