@@ -132,33 +132,63 @@ def words_base(text):
             len(lines) - len(set(lines)), len(repeat))
 
 
-def lines_cut(docs, rare_share=0.05):
-    """Order is doc_id; each shared rare line pairs a text with the first that has it."""
-    from siftmark.llm.lines import patience_blocks
-
-    first, order = {}, []
+def aligned(a, b):
+    """Pairs of places that a patience diff of two lists of lines matches, by plain recursion.
+
+    Of equally long chains it takes the one that comes latest in ``a``, looked at from its end.
+    """
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0)] + [(i + 1, j + 1) for i, j in aligned(a[1:], b[1:])]
+    if a[-1] == b[-1]:
+        return aligned(a[:-1], b[:-1]) + [(len(a) - 1, len(b) - 1)]
+    common = [x for x in dict.fromkeys(a) if x in b]
+    single = [x for x in common if a.count(x) == b.count(x) == 1]
+    places = lambda side, x: [i for i, y in enumerate(side) if y == x]
+    pairs = sorted(p for x in single or common for p in zip(places(a, x), places(b, x), strict=False))
+    if not pairs:
+        return []
+    longest = []
+    for i, j in pairs:
+        longest.append(1 + max((n for (_, m), n in zip(pairs, longest, strict=False) if m < j), default=0))
+    chain, want, before = [], max(longest), len(b)
+    for (i, j), n in reversed(list(zip(pairs, longest, strict=True))):
+        if n == want and j < before:
+            chain.append((i, j))
+            want, before = n - 1, j
+    chain.reverse()
+    out, last = [], (-1, -1)
+    for i, j in [*chain, (len(a), len(b))]:
+        gap = aligned(a[last[0] + 1 : i], b[last[1] + 1 : j])
+        out += [(last[0] + 1 + x, last[1] + 1 + y) for x, y in gap] + [(i, j)]
+        last = i, j
+    return out[:-1]
+
+
+def lines_cut(docs):
+    """A text loses what its alignment with any earlier text deletes: common blocks with a word.
+
+    Order is doc_id, nulls last, then place; equal texts are one text, of which the first stays.
+    """
+    first = {}
     for k, (_, text) in sorted(enumerate(docs), key=lambda x: (x[1][0] is None, x[1][0], x[0])):
         if text:
-            if text not in first:
-                order.append(text)
             first.setdefault(text, k)
-    split = {t: t.split("\n") for t in order}
-    held = defaultdict(list)
-    for t in order:
-        for x in dict.fromkeys(split[t]):
-            if WORD.search(x):
-                held[x].append(t)
-    most = max(2, int(len(order) * rare_share))
-    shared = defaultdict(set)
-    for x, texts in held.items():
-        if 1 < len(texts) <= most:
-            for t in texts[1:]:
-                shared[t, texts[0]].add(x)
+    split = {t: t.split("\n") for t in first}
+    words = {t: {x for x in lines if WORD.search(x)} for t, lines in split.items()}
     gone = defaultdict(set)
-    for (t, before), rare in shared.items():
-        for _, j, n in patience_blocks(split[before], split[t]):
-            if rare & set(split[t][j : j + n]):
-                gone[t].update(range(j, j + n))
+    for n, t in enumerate(split):
+        for before in list(split)[:n]:
+            if not words[t] & words[before]:
+                continue
+            block = []
+            for i, j in [*aligned(split[before], split[t]), (-9, -9)]:
+                if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
+                    if any(WORD.search(split[t][y]) for _, y in block):
+                        gone[t].update(y for _, y in block)
+                    block = []
+                block.append((i, j))
     out, texts = [], []
     for k, (doc, text) in enumerate(docs):
         parts = (text or "").split("\n") if text else []
@@ -182,8 +212,6 @@ def line_texts(docs):
             zip(lines_cut(docs)[1], docs, strict=True)]
 
 
-
-
 def section_tokens(docs, tokenizer, rule):
     """Lines with their breaks; offsets of the tokenizer itself."""
     out = []

@@ -3,6 +3,7 @@
 import random
 
 from siftmark.llm import lines
+from tests.llm import brute
 from tests.llm.data import SF
 
 
@@ -64,6 +65,14 @@ def test_repeated_lines(spark):
     assert removed(spark, ["x\nL\ny\nL\nz", "p\nL\nq\nL\nr"]) == [[], [1, 3]]
 
 
+def test_alignments_are_those_of_a_plain_recursion():
+    rnd = random.Random(11)
+    for _ in range(3000):
+        a, b = ([rnd.choice("abcdefgh"[: rnd.randint(1, 8)]) for _ in range(rnd.randint(0, 12))] for _ in "ab")
+        got = [(i + k, j + k) for i, j, n in lines.patience_blocks(a, b) for k in range(n)]
+        assert got == brute.aligned(a, b)
+
+
 def test_no_gap_has_a_common_line():
     """Chains rise on both sides, hold equal lines, and leave nothing common between them."""
     rnd = random.Random(5)
