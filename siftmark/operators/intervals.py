@@ -43,15 +43,10 @@ def _enclosing_blocks(index: Column, count: Column) -> Column:
     )
 
 
-def covering(
-    points: DataFrame, intervals: DataFrame, group: list[str], tag: str, owner: list[str], order: str
-) -> DataFrame:
-    """(group, tag, owner, order): the intervals' orders that reach each point.
-
-    ``points``: group columns, ``tag`` and ``position``. ``intervals``: group and owner
-    columns, ``lower``, ``upper`` and ``order``. The least ``order`` per point and owner is
-    that of the first interval over the point; a point meets at most one row per owner and
-    power of two, not one per interval.
+def _tiled(
+    points: DataFrame, intervals: DataFrame, group: list[str], tag: str, owner: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Points by the blocks that hold them, and intervals by the blocks that tile them.
 
     Points are numbered along the axis inside their group; an interval then spans a run of
     numbers, which splits into at most two aligned blocks per power of two, and a point lies
@@ -66,7 +61,6 @@ def covering(
         none.alias(tag),
         n(0),
         *owner,
-        order,
         "lower",
         "upper",
         F.inline(
@@ -79,24 +73,54 @@ def covering(
     marks = spans.unionByName(
         points.select(*group, tag, n(1), F.col("position").alias("at")), allowMissingColumns=True
     )
-    sizes = points.groupBy(*group).agg(F.count("*").alias("n_points"))
+    # Groups without points or without intervals have no part.
+    sizes = (
+        marks.groupBy(*group).agg(F.sum("is_point").alias("n_points"), F.count("*").alias("_all"))
+        .where("n_points > 0 and n_points < _all").drop("_all")
+    )
     ranked = running(marks.join(sizes, group), group, "at", "is_point", "sum", "before")
     located = ranked.where("is_point = 1").select(
         *group, tag, F.inline(_enclosing_blocks(F.col("before") - 1, F.col("n_points")))
     )
     tiles = (
         ranked.where("is_point = 0")
-        .groupBy(*group, *owner, "lower", "upper", order)
+        .groupBy(*group, *owner, "lower", "upper")
         .agg(
             F.min(F.when(F.col("is_lower"), F.col("before"))).alias("first"),
             F.max(F.when(~F.col("is_lower"), F.col("before"))).alias("past"),
         )
         .where("first < past")
-        .select(*group, *owner, order, F.inline(_canonical_blocks(F.col("first"), F.col("past"))))
-        .groupBy(*group, *owner, "level", "block")
-        .agg(F.min(order).alias(order))
+        .select(*group, *owner, F.inline(_canonical_blocks(F.col("first"), F.col("past"))))
     )
-    return located.join(tiles, [*group, "level", "block"]).select(*group, tag, *owner, order)
+    return located, tiles
+
+
+def covering(
+    points: DataFrame, intervals: DataFrame, group: list[str], tag: str, owner: list[str], order: str
+) -> DataFrame:
+    """(group, tag, owner, order): the intervals' orders that reach each point.
+
+    ``points``: group columns, ``tag`` and ``position``. ``intervals``: group and owner
+    columns, ``lower``, ``upper`` and ``order``. The least ``order`` per point and owner is
+    that of the first interval over the point; a point meets at most one row per owner and
+    power of two, not one per interval.
+    """
+    located, tiles = _tiled(points, intervals, group, tag, [*owner, order])
+    first = tiles.groupBy(*group, *owner, "level", "block").agg(F.min(order).alias(order))
+    return located.join(first, [*group, "level", "block"]).select(*group, tag, *owner, order)
+
+
+def stabbing(
+    points: DataFrame, intervals: DataFrame, group: list[str], tag: str, owner: list[str]
+) -> DataFrame:
+    """(group, tag, owner) for every interval over each point.
+
+    The blocks of an interval are disjoint and a point is in one of each size, so an interval
+    meets each of its points once and no pair is formed that does not hold: the rows made are
+    those of the result. Intervals of one owner in one group must be disjoint.
+    """
+    located, tiles = _tiled(points, intervals, group, tag, owner)
+    return located.join(tiles, [*group, "level", "block"]).select(*group, tag, *owner)
 
 
 def covered(points: DataFrame, intervals: DataFrame, group: list[str]) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.functions import constants as K
+from siftmark.functions import interval_sets as I
 from siftmark.functions import ranges as R
+from siftmark.functions import versions as V
 from siftmark.functions.identity import (
     canonical_id,
     first_with_prefix,
@@ -16,7 +18,9 @@ from siftmark.functions.identity import (
 )
 from siftmark.functions.purl import build_coordinate, build_purl, coordinate_parts, percent_decode
 from siftmark.functions.text import filled, first_line, null_to_blank, strip
+from siftmark.operators.intervals import stabbing
 from siftmark.operators.ranking import first_row_per
+from siftmark.session import written
 from siftmark.sources.base import (
     FindingSource,
     deduplicated,
@@ -83,18 +87,100 @@ def github_advisories(raw: DataFrame) -> DataFrame:
     ).drop("_id")
 
 
+def _github_rules(advisories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What each advisory says of the versions of its package: intervals, and classes of versions.
+
+    Every range is compiled once. ``intervals``: ecosystem, component, lane, lower, upper and the
+    advisory's ``adv`` and ``_id``. ``classes``: the versions for which nothing can be decided,
+    which are all without a semantic key (``none``), those with one (``keyed``), or those that
+    only a PyPI specifier set cannot read (``unread``); ``text:`` and a version are the one
+    version that an arbitrary equality may take.
+    """
+    text, is_maven, groups = (F.col(f"rng.{c}") for c in ("text", "is_maven", "groups"))
+    pypi = F.lower(strip(F.col("ecosystem"))) == "pypi"
+    by_specifier = (text != "") & ~is_maven & groups.isNull() & pypi
+    read = advisories.select(
+        F.col("ord").alias("adv"), "_id", "ecosystem", "component", F.col("affected_version_range").alias("text"),
+        F.explode(F.array(R.semver_range(F.col("affected_version_range")))).alias("rng"),
+    )
+    ruled = read.select(
+        "adv", "_id", "ecosystem", "component", "rng", by_specifier.alias("by_specifier"),
+        F.explode(F.array(F.when(by_specifier, I.specifier_set(text)))).alias("set"),
+    )
+    lane = lambda prefix, i: F.struct(
+        F.concat(F.lit(prefix), i["lane"]).alias("lane"), i["lower"].alias("lower"), i["upper"].alias("upper")
+    )
+    # A lower end that can be read decides for all versions below it.
+    brackets = F.array(F.struct(
+        F.lit(I.EVERY).alias("lane"), F.col("rng.lower").alias("lower"),
+        F.coalesce("rng.upper", F.lit(V.HIGHEST)).alias("upper"),
+    ))
+    told = F.size("set.texts") > 0
+    intervals = (
+        F.when(is_maven, brackets).when(groups.isNotNull(), I.npm_set(groups))
+        .when(~told, F.transform(I.disjoint(F.col("set.intervals")), lambda i: lane("pep", i)))
+    )
+    open_range = (
+        (text == "") | (is_maven & F.col("rng.lower").isNull())
+        | (~is_maven & groups.isNull() & (~F.col("by_specifier") | F.col("set").isNull()))
+    )
+    classes = F.array_compact(F.array(
+        F.lit("none"),
+        F.when(open_range, "keyed"),
+        F.when(F.col("by_specifier") & F.col("set").isNotNull(), "unread"),
+        F.when(told, F.concat(F.lit("text:"), F.get("set.texts", 0))),
+    ))
+    key = ["ecosystem", "component"]
+    return (
+        ruled.where(~open_range).select(*key, "adv", "_id", F.inline(intervals)).where("lower < upper"),
+        ruled.select(*key, "adv", "_id", "rng", F.explode(classes).alias("class")),
+    )
+
+
 def github(raw: DataFrame, gt: DataFrame) -> DataFrame:
     """Advisories of each ground-truth component that do not exclude its version.
 
-    A version out of range drops; a missing range or one that cannot be decided stays.
+    A version out of range drops; a missing range or one that cannot be decided stays. Versions
+    meet the intervals that hold them (``intervals.stabbing``) and the advisories that cannot be
+    decided for their class, so no pair is made that is dropped again; only the versions that an
+    arbitrary equality names are looked at once more.
     """
-    advisories = github_advisories(raw).withColumn(
-        "rng", R.semver_range(F.col("affected_version_range"))
+    advisories = written(
+        github_advisories(raw).withColumn("_id", canonical_id(F.col("cve"), F.col("ghsa")))
+    )
+    key = ["ecosystem", "component"]
+    intervals, classes = _github_rules(advisories)
+    versions = gt.select("version").distinct().select(
+        "version",
+        F.explode(F.array(F.struct(
+            R.semver_key(F.col("version")).alias("semver"), V.version_key(F.col("version")).alias("pep")
+        ))).alias("k"),
     )
-    wanted = gt.select(*COORDINATE).distinct().withColumn("key", R.semver_key(F.col("version")))
-    verdict = R.semver_verdict(F.col("ecosystem"), F.col("version"), F.col("key"), F.col("rng"))
-    kept = wanted.join(advisories, ["ecosystem", "component"]).where(verdict != R.OUT_OF_RANGE)
-    return deduplicated(finding_columns(kept, "github-advisory-db"))
+    wanted = written(
+        gt.select(*COORDINATE).distinct().join(versions.select("version", "k.*"), "version")
+        .withColumn("is_pypi", F.lower(strip(F.col("ecosystem"))) == "pypi")
+    )
+    place = lambda lane, at: F.struct(lane.alias("lane"), at.alias("position"))
+    keyed = wanted.where("semver is not null")
+    on_semver = F.transform(I.semver_lanes(F.col("semver")), lambda x: place(x, V.point(F.col("semver"))))
+    on_pep = F.when(
+        F.col("is_pypi") & F.col("pep").isNotNull(),
+        F.array(place(F.concat(F.lit("pep"), I.specifier_lane(F.col("pep"))), V.point(F.col("pep")))),
+    ).otherwise(F.array().cast("array<struct<lane:string,position:string>>"))
+    points = keyed.select(*COORDINATE, F.inline(F.concat(on_semver, on_pep)))
+    held = stabbing(points, intervals, [*key, "lane"], "version", ["adv", "_id"]).drop("lane")
+    unread = F.col("is_pypi") & F.col("pep").isNull()
+    of = F.when(F.col("semver").isNull(), F.array(F.lit("none"))).otherwise(F.array_compact(F.array(
+        F.lit("keyed"), F.when(unread, "unread"),
+        F.when(F.col("is_pypi"), F.concat(F.lit("text:"), F.lower(F.trim("version")))),
+    )))
+    met = wanted.select(*COORDINATE, "semver", F.explode(of).alias("class")).join(classes, [*key, "class"])
+    verdict = R.semver_verdict(F.col("ecosystem"), F.col("version"), F.col("semver"), F.col("rng"))
+    undecided = met.where(~F.col("class").startswith("text:") | (verdict != R.OUT_OF_RANGE))
+    pairs = held.unionByName(undecided.select(*held.columns))
+    first = pairs.groupBy(*COORDINATE, "_id").agg(F.min("adv").alias("ord"))
+    kept = first.drop("_id").join(advisories.drop(*key, "_id"), "ord")
+    return finding_columns(kept, "github-advisory-db")
 
 
 # --- component reports by coordinate ----------------------------------------------
@@ -192,30 +278,35 @@ def osv_advisories(raw: DataFrame) -> DataFrame:
     )
 
 
-def _confirmation(version: Column, affected: Column) -> Column:
-    """The first affected entry that names the version (EXACT) or holds it (RANGE)."""
-    def of(entry: Column) -> Column:
-        specs = F.transform(entry["ranges"], lambda r: R.events_to_specifier(r["events"]))
-        holding = F.get(
-            F.filter(
-                specs, lambda s: F.coalesce(R.in_specifier_set(version, s), F.lit(False))
-            ),
-            F.lit(0),
-        )
-        exact = F.coalesce(F.array_contains(entry["versions"], version), F.lit(False))
-        pair = lambda kind, spec: F.struct(kind.alias("match_type"), spec.alias("spec"))
-        return F.when(exact, pair(F.lit("EXACT"), F.lit(None).cast("string"))).when(
-            holding.isNotNull(), pair(F.lit("RANGE"), holding)
-        )
+def _affected(advisories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Listed versions, and intervals of event ranges, with their ``place`` in the advisory.
 
-    return F.get(F.filter(F.transform(affected, of), lambda m: m.isNotNull()), F.lit(0))
+    Places are (entry, 0 for a listed version and 1 for a range, range, specifier set). Each
+    different specifier set is compiled once.
+    """
+    entries = advisories.select("adv_ord", F.posexplode("affected").alias("entry", "a"))
+    zero, none = F.lit(0), F.lit(None).cast("string")
+    place = lambda kind, at, spec: F.struct(
+        F.col("entry"), kind.alias("kind"), at.alias("range"), spec.alias("spec")
+    ).alias("place")
+    listed = entries.select("adv_ord", F.explode("a.versions").alias("version"), place(zero, zero, none))
+    ranges = entries.select("adv_ord", "entry", F.posexplode("a.ranges").alias("at", "r")).select(
+        "adv_ord", "entry", "at", R.events_to_specifier(F.col("r.events")).alias("spec")
+    ).where("spec is not null")
+    sets = ranges.select("spec").distinct().select(
+        "spec", F.explode(F.array(I.specifier_set(F.col("spec")))).alias("set")
+    ).where("set is not null and size(set.texts) = 0").select("spec", F.inline(I.disjoint(F.col("set.intervals"))))
+    intervals = ranges.join(sets, "spec").select("adv_ord", "lane", "lower", "upper", place(F.lit(1), F.col("at"), F.col("spec")))
+    return listed, intervals
 
 
 def osv(raw: DataFrame, gt: DataFrame) -> DataFrame:
     """Ground-truth rows that an advisory sharing an id confirms, by the first such advisory.
 
     Rows that agree on everything the lookup reads are looked up once. Ids are exploded on
-    both sides, so that sharing one is an equality join.
+    both sides, so that sharing one is an equality join. Ranges of events are compiled once to
+    intervals, a short list per advisory and lane, and a version that an advisory is asked for is
+    compared with their ends. Ranges that name a text by ``===`` hold nothing.
     """
     ids = ["cve", "ghsa", "osv_id"]
     key = [*COORDINATE, "purl", *ids]
@@ -226,7 +317,7 @@ def osv(raw: DataFrame, gt: DataFrame) -> DataFrame:
         .withColumn("package", osv_package(F.col("ecosystem"), F.col("component"), F.col("purl")))
         .where("package is not null")
     )
-    advisories = osv_advisories(raw)
+    advisories = written(osv_advisories(raw))
     link = advisories.select(
         "ecosystem",
         "package",
@@ -239,12 +330,25 @@ def osv(raw: DataFrame, gt: DataFrame) -> DataFrame:
         *key, "ord", "package", F.explode(id_set(*[F.col(c) for c in ids])).alias("any_id")
     )
     pairs = asked_ids.join(link, ["ecosystem", "package", "any_id"]).drop("any_id", "package").distinct()
+    pairs = written(pairs)
     # Whether an advisory holds a version is asked once for each two of them.
     asked_versions = pairs.select("adv_ord", "version").distinct()
+    listed, intervals = _affected(advisories)
+    keys = asked_versions.select("version").distinct().select(
+        "version", F.explode(F.array(V.version_key(F.col("version")))).alias("key")
+    ).where("key is not null")
+    points = asked_versions.join(keys, "version").select(
+        "adv_ord", "version", I.specifier_lane(F.col("key")).alias("lane"), V.point(F.col("key")).alias("position")
+    )
+    sets = intervals.groupBy("adv_ord", "lane").agg(F.collect_list(F.struct("lower", "upper", "place")).alias("set"))
+    at = F.col("position")
+    over = F.filter("set", lambda i: (i["lower"] < at) & (at < i["upper"]))
+    inside = points.join(sets, ["adv_ord", "lane"]).select(
+        "adv_ord", "version", F.explode(F.array(F.array_min(F.transform(over, lambda i: i["place"])))).alias("place")
+    ).where("place is not null")
     held = (
-        asked_versions.join(advisories.select("adv_ord", "affected"), "adv_ord")
-        .select("adv_ord", "version", F.explode(F.array(_confirmation(F.col("version"), F.col("affected")))).alias("m"))
-        .where("m is not null")
+        inside.unionByName(listed.join(asked_versions, ["adv_ord", "version"]).select(*inside.columns))
+        .groupBy("adv_ord", "version").agg(F.min("place").alias("m"))
     )
     chosen = first_row_per(pairs.join(held, ["adv_ord", "version"]), [*key, "ord"], "adv_ord")
     texts = advisories.select("adv_ord", "id", "aliases", "summary", "details")
@@ -261,7 +365,7 @@ def osv(raw: DataFrame, gt: DataFrame) -> DataFrame:
             "description"
         ),
         F.col("m.spec").alias("affected_version_range"),
-        F.col("m.match_type").alias("match_type"),
+        F.when(F.col("m.kind") == 0, "EXACT").otherwise("RANGE").alias("match_type"),
     )
     return deduplicated(finding_columns(found, "osv", "match_type"))
 
