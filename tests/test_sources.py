@@ -62,6 +62,24 @@ def test_cve_records(spark):
                    "CVE-4": [("v", "p", "1.0")]}
 
 
+def test_deep_and_odd_cve_records(spark):
+    def nested(levels):
+        return '{"children": [' * levels + '{"cpeMatch": [{"criteria": "cpe:2.3:a:deep:er:1"}]}' + "]}" * levels
+
+    docs = [
+        ("deep", '{"id": "D", "configurations": %s}' % nested(120)), ("deepest", '{"id": "E", "configurations": %s}' % nested(100_000)),
+        ("odd", '{"id": 7, "configurations": [[{"nodes": {"cpeMatch": ["x", {"vulnerable": 0}, {"vulnerable": ""}, {"vulnerable": "no", "criteria": 5},'
+                '{"vulnerable": 1, "criteria": "cpe:2.3:a:v:p:*:*", "versionEndExcluding": 2}]}}]]}'),
+        ("empty", ""), ("broken", "{"), ("null", None), ("list", "[1]"), ("none", '{"x": 1}'), ("no object", '{"vulnerabilities": [3]}'),
+        ("wrapped", '{"vulnerabilities": [{"cve": null, "id": "W"}]}'),
+    ]
+    found, rejects = authority.landed_records(spark.createDataFrame(docs, RAW))
+    got = {r.ord: (r.cve, [(n.vendor, n.product, n.version, n.version_end_excluding) for n in r.cpe_nodes]) for r in found.collect()}
+    assert got == {"deep": ("D", [("deep", "er", "1", None)]), "wrapped": ("W", []),
+                   "odd": ("7", [("", "", None, None), ("v", "p", None, "2")])}
+    assert sorted(r.ord for r in rejects.collect()) == ["broken", "deepest"]
+
+
 def test_reports_with_missing_parts(spark):
     assert scanners.snyk(raw(spark, {"vulnerabilities": [{}, {"name": "x"}]}, {})).count() == 0
     assert scanners.trivy(raw(spark, {"Results": None}, {"Results": [{"Vulnerabilities": None}]})).count() == 0
