@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from siftmark.operators import matching, metrics, taxonomy
 from siftmark.session import written
 from siftmark.sources.base import source
 
 
-def collect_findings(raw: dict[str, DataFrame], gt: DataFrame) -> DataFrame:
-    """Findings of several tools, read by their registered sources and tagged with ``tool``."""
-    from pyspark.sql import functions as F
-
-    parts = [source(t).read(df, gt).withColumn("tool", F.lit(t)) for t, df in raw.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
+def collect_findings(raw: dict[str, DataFrame], gt: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Findings of several tools, read by their registered sources and tagged with ``tool``, and
+    the documents of each that could not be read (tool, ord, reason)."""
+    read = {t: source(t).collect(df, gt) for t, df in raw.items()}
+    findings, rejected = (
+        [parts[i].withColumn("tool", F.lit(t)) for t, parts in read.items()] for i in (0, 1)
+    )
+    together = lambda x, y: x.unionByName(y, allowMissingColumns=True)
+    return reduce(together, findings), reduce(together, rejected).select("tool", "ord", "reason")
 
 
 def score(

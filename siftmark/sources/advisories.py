@@ -26,6 +26,7 @@ from siftmark.sources.base import (
     deduplicated,
     exploded,
     finding_columns,
+    landed,
     register,
     sub_ord,
 )
@@ -42,6 +43,7 @@ OSV = """struct<vulns: array<struct<id: string, aliases: array<string>, summary:
         ranges: array<struct<type: string, events: array<struct<
             introduced: string, fixed: string, last_affected: string>>>>>>>>>"""
 
+GITHUB_PATH = ("data", "securityVulnerabilities", "nodes")
 COORDINATE = ["ecosystem", "component", "version"]
 
 
@@ -63,8 +65,8 @@ def github_advisories(raw: DataFrame) -> DataFrame:
     ``raw``: ord, github_ecosystem, package, payload.
     """
     nodes = exploded(
-        raw,
-        F.from_json("payload", GITHUB)["data"]["securityVulnerabilities"]["nodes"],
+        landed(raw, GITHUB, *GITHUB_PATH),
+        F.col("body"),
         "n",
         "github_ecosystem",
         "package",
@@ -205,7 +207,7 @@ def oss_index(raw: DataFrame, gt: DataFrame) -> DataFrame:
     An unknown coordinate is read as a package URL. The CVE comes from a field, else the
     references, else the text; the GHSA id from the references, else the text.
     """
-    reports = exploded(raw, F.from_json("payload", OSS_INDEX), "r")
+    reports = exploded(landed(raw, OSS_INDEX), F.col("body"), "r")
     coordinate = strip(
         F.coalesce(F.nullif(F.col("r.coordinates"), F.lit("")), null_to_blank(F.col("r.coordinate")))
     )
@@ -269,7 +271,7 @@ def osv_package(ecosystem: Column, component: Column, purl: Column) -> Column:
 def osv_advisories(raw: DataFrame) -> DataFrame:
     """Advisories of the landed answers. ``raw``: ord, osv_ecosystem, package, payload."""
     return exploded(
-        raw, F.from_json("payload", OSV)["vulns"], "v", "osv_ecosystem", "package"
+        landed(raw, OSV, "vulns"), F.col("body"), "v", "osv_ecosystem", "package"
     ).select(
         F.col("ord").alias("adv_ord"),
         F.coalesce(_spelled("osv_ecosystem", 2), F.col("osv_ecosystem")).alias("ecosystem"),
@@ -379,12 +381,12 @@ def observations(raw: DataFrame, limit: int) -> DataFrame:
     ``raw``: ord, ecosystem, package, version, payload. Advisories without an id and
     repeats of an id inside the answer drop after the cut.
     """
-    first = F.slice(F.from_json("payload", OSV)["vulns"], 1, limit)
+    first = F.slice("body", 1, limit)
     ids = F.transform(first, lambda v: v["id"])
     fresh = F.filter(
         first, lambda v, i: filled(v["id"]) & (F.array_position(ids, v["id"]) == i + 1)
     )
-    rows = exploded(raw, fresh, "v", "ecosystem", "package", "version")
+    rows = exploded(landed(raw, OSV, "vulns"), fresh, "v", "ecosystem", "package", "version")
     return rows.select(
         "ord",
         "ecosystem",
@@ -403,6 +405,6 @@ def expand_aliases(advisories: DataFrame) -> DataFrame:
     return advisories.select(F.col("id").alias("vulnerability_id"), F.explode_outer(cves).alias("cve"))
 
 
-register(FindingSource("github", github))
-register(FindingSource("oss-index", oss_index))
-register(FindingSource("osv", osv))
+register(FindingSource("github", github, GITHUB, GITHUB_PATH))
+register(FindingSource("oss-index", oss_index, OSS_INDEX))
+register(FindingSource("osv", osv, OSV, ("vulns",)))

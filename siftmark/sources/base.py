@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from siftmark.functions.identity import canonical_id
 from siftmark.operators.ranking import first_row_per
+from siftmark.session import written
 
 FINDING_COLUMNS = [
     "ord", "ecosystem", "component", "version", "purl", "cve", "ghsa", "osv_id",
@@ -25,14 +26,24 @@ FINDING_COLUMNS = [
 class FindingSource:
     """One scanner: how to read its raw documents.
 
-    ``read(raw, gt)`` returns findings; sources that do not look at the ground truth
-    ignore ``gt``. A source with ``security_findings`` off is scored as all zeros.
+    ``read(rows, gt)`` turns raw documents, or documents that ``landed`` has parsed, into
+    findings; sources that do not look at the ground truth ignore ``gt``. ``schema``, ``path``
+    and ``required`` say how documents are parsed. A source with ``security_findings`` off is
+    scored as all zeros.
     """
 
     name: str
     read: Callable[[DataFrame, DataFrame | None], DataFrame]
+    schema: str
+    path: tuple[str, ...] = ()
+    required: bool = False
     security_findings: bool = True
 
+    def collect(self, raw: DataFrame, gt: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """Findings, and the documents that could not be read (ord, reason), from one written parse."""
+        rows = written(landed(raw, self.schema, *self.path, required=self.required))
+        return self.read(rows.where("reason is null"), gt), rejects(rows)
+
 
 _SOURCES: dict[str, FindingSource] = {}
 
@@ -79,31 +90,47 @@ def landed_place() -> Column:
     )
 
 
-def rejected(raw: DataFrame, field: str) -> DataFrame:
-    """Documents that are no JSON object with a list (or object) in ``field``: ord and reason.
+def landed(raw: DataFrame, schema: str, *path: str, required: bool = False) -> DataFrame:
+    """Raw documents parsed once: ``body``, the part that ``path`` leads to, and ``reason``.
 
-    A report that can't be read would otherwise look like one without findings.
+    ``reason`` is null for a document that can be read. A text that is no JSON, or whose part is
+    of another kind, is none; without such a part it is one only if that is ``required``, since
+    a report without it would otherwise look like one without findings. What a document has
+    besides ``payload`` stays. Parsed rows come back as they are.
     """
-    body = F.try_parse_json("payload")
-    part = F.try_variant_get(body, f"$.{field}", "variant")
-    kind = F.schema_of_variant(part)
-    reason = (
-        F.when(body.isNull(), "no JSON")
-        .when(part.isNull(), F.lit(f"no {field}"))
-        .when(~(kind.startswith("ARRAY") | kind.startswith("OBJECT")), F.lit(f"{field} is no list"))
-    )
-    return raw.select("ord", reason.alias("reason")).where("reason is not null")
-
-
-def accepted(raw: DataFrame, field: str) -> DataFrame:
-    """The same documents; the job fails at the first that ``rejected`` would name."""
-    bad = rejected(raw, field).withColumnRenamed("ord", "_of")
-    checked = raw.join(bad, F.col("ord") == F.col("_of"), "left")
-    return checked.where(
+    if "body" in raw.columns:
+        return raw
+    body = F.col("_parsed")
+    for name in path:
+        body = body[name]
+    # Only looked at for documents without a body.
+    tree = F.try_parse_json("payload")
+    there = F.try_variant_get(tree, "$" + "".join(f".{name}" for name in path), "variant")
+    part = ".".join(path) or "document"
+    absent = there.isNull() | F.coalesce(F.is_variant_null(there), F.lit(True))
+    reason = F.when(body.isNull(), (
+        F.when(tree.isNull(), F.lit("no JSON"))
+        .when(absent, F.lit(f"no {part}") if required else F.lit(None).cast("string"))
+        .otherwise(F.lit(f"{part} is of another kind"))
+    ))
+    kept = [c for c in raw.columns if c != "payload"]
+    parsed = raw.select("*", F.explode(F.array(F.from_json("payload", schema))).alias("_parsed"))
+    return parsed.select(*kept, body.alias("body"), reason.alias("reason"))
+
+
+def rejects(rows: DataFrame) -> DataFrame:
+    """The documents of ``landed`` that could not be read: ord and reason."""
+    return rows.where("reason is not null").select("ord", "reason")
+
+
+def accepted(raw: DataFrame, schema: str, *path: str) -> DataFrame:
+    """Parsed documents; the job fails at the first that cannot be read."""
+    rows = landed(raw, schema, *path, required=True)
+    return rows.where(
         F.when(F.col("reason").isNull(), F.lit(True)).otherwise(
             F.raise_error(F.concat_ws(": ", "ord", "reason")).cast("boolean")
         )
-    ).drop("_of", "reason")
+    )
 
 
 def sub_ord(pos: Column, ord_col: str = "ord") -> Column:

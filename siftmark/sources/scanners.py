@@ -15,7 +15,7 @@ from siftmark.functions.identity import (
 )
 from siftmark.functions.purl import drop_qualifiers, percent_decode, purl_body, purl_ecosystem
 from siftmark.functions.text import filled, first_line, null_to_blank, strip
-from siftmark.sources.base import FindingSource, deduplicated, exploded, finding_columns, register
+from siftmark.sources.base import FindingSource, deduplicated, exploded, finding_columns, landed, register
 
 DTRACK = """array<struct<
     component: struct<purl: string>,
@@ -37,7 +37,7 @@ def dtrack(raw: DataFrame, gt: DataFrame | None = None) -> DataFrame:
     The component is read from the package URL, which must name a supported ecosystem and
     a version; the id must be a CVE or GHSA.
     """
-    rows = exploded(raw, F.from_json("payload", DTRACK), "f")
+    rows = exploded(landed(raw, DTRACK), F.col("body"), "f")
     purl = strip(F.col("f.component.purl"))
     body = purl_body(purl)
     name = strip(percent_decode(F.substring_index(body, "@", 1)))
@@ -71,7 +71,7 @@ def dtrack(raw: DataFrame, gt: DataFrame | None = None) -> DataFrame:
 
 def snyk(raw: DataFrame, gt: DataFrame | None = None) -> DataFrame:
     """Findings of a test report; several ranges are joined with commas."""
-    rows = exploded(raw, F.from_json("payload", SNYK)["vulnerabilities"], "v")
+    rows = exploded(landed(raw, SNYK, "vulnerabilities"), F.col("body"), "v")
     name = F.coalesce(F.nullif(F.col("v.packageName"), F.lit("")), F.col("v.name"))
     ranges = F.col("v.semver.vulnerable")
     eco = F.col("ecosystem")
@@ -97,7 +97,7 @@ def snyk(raw: DataFrame, gt: DataFrame | None = None) -> DataFrame:
 
 def trivy(raw: DataFrame, gt: DataFrame | None = None) -> DataFrame:
     """Findings of a scan report; the range is everything below the fixed version."""
-    results = exploded(raw, F.from_json("payload", TRIVY)["Results"], "r")
+    results = exploded(landed(raw, TRIVY, "Results"), F.col("body"), "r")
     rows = exploded(results, F.col("r.Vulnerabilities"), "v")
     name, version, purl = F.col("v.PkgName"), F.col("v.InstalledVersion"), F.col("v.PkgIdentifier.PURL")
     vuln_id = null_to_blank(F.col("v.VulnerabilityID"))
@@ -127,6 +127,6 @@ def trivy(raw: DataFrame, gt: DataFrame | None = None) -> DataFrame:
     return deduplicated(finding_columns(known, "trivy"))
 
 
-register(FindingSource("dtrack", dtrack))
-register(FindingSource("snyk", snyk))
-register(FindingSource("trivy", trivy))
+register(FindingSource("dtrack", dtrack, DTRACK))
+register(FindingSource("snyk", snyk, SNYK, ("vulnerabilities",), required=True))
+register(FindingSource("trivy", trivy, TRIVY, ("Results",)))

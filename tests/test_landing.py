@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from siftmark.functions import purl, ranges, text
 from siftmark.operators import balancing, coverage, datasets, matching, ranking, significance
 from siftmark.plans import authority as authority_plan
-from siftmark.plans import comparison
+from siftmark.plans import comparison, scoring
 from siftmark.session import discard_written, shared_folder, written
-from siftmark.sources import authority, base, ground_truth, registries
+from siftmark.sources import authority, base, ground_truth, registries, scanners
 
 FINDING = ("tool string, ord string, ecosystem string, component string, version string, cve string, "
            "ghsa string, osv_id string, affected_version_range string")
@@ -49,19 +49,43 @@ def test_equal_findings_count_like_their_rows(spark, tmp_path):
 
 
 def test_documents_that_are_no_reports_are_named(spark):
-    docs = [("1", '{"vulnerabilities": []}'), ("2", "oops"), ("3", "{}"), ("4", '{"vulnerabilities": "x"}'), ("5", "[]")]
+    docs = [("1", '{"vulnerabilities": []}'), ("2", "oops"), ("3", "{}"), ("4", '{"vulnerabilities": "x"}'), ("5", "[]"), ("6", None)]
     raw = spark.createDataFrame(docs, "ord string, payload string")
-    assert [r.ord for r in base.rejected(raw, "vulnerabilities").orderBy("ord").collect()] == ["2", "3", "4", "5"]
-    assert base.accepted(raw.where("ord = '1'"), "vulnerabilities").count() == 1
+    findings, rejects = base.source("snyk").collect(raw)
+    assert findings.count() == 0
+    assert {r.ord: r.reason for r in rejects.collect()} == {
+        "2": "no JSON", "3": "no vulnerabilities", "4": "vulnerabilities is of another kind", "5": "no vulnerabilities", "6": "no JSON"}
+    assert base.accepted(raw.where("ord = '1'"), scanners.SNYK, "vulnerabilities").count() == 1
     with pytest.raises(Exception, match="no JSON"):
-        base.accepted(raw.where("ord in ('1', '2')"), "vulnerabilities").collect()
-
-
-def test_a_broken_registry_document_does_not_end_the_job(spark):
-    docs = [("p", "<metadata><versioning><versions><version> 1.0 </version><!-- <version>9</version> --></versions></versioning></metadata>"),
-            ("q", "<bad"), ("r", "<a><version>2.0</version><version>3.0-rc1</version>")]
-    raw = spark.createDataFrame(docs, "package string, payload string")
-    assert {(r.package, r.version) for r in registries.maven(raw).collect()} == {("p", "1.0"), ("r", "2.0")}
+        base.accepted(raw.where("ord in ('1', '2')"), scanners.SNYK, "vulnerabilities").collect()
+    _, rejects = base.source("trivy").collect(spark.createDataFrame(
+        [("1", "{}"), ("2", '{"Results": null}'), ("3", '{"Results": 3}'), ("4", '{"Results": [')], "ord string, payload string"))
+    assert {r.ord: r.reason for r in rejects.collect()} == {"3": "Results is of another kind", "4": "no JSON"}
+
+
+def test_findings_and_rejects_of_several_tools(spark):
+    v = {"packageName": "a", "version": "1", "packageUrl": "pkg:npm/a@1", "identifiers": {"CVE": ["CVE-1"]}}
+    t = {"PkgName": "b", "InstalledVersion": "2", "PkgIdentifier": {"PURL": "pkg:npm/b@2"}, "VulnerabilityID": "CVE-2"}
+    raw = {
+        "snyk": spark.createDataFrame([("1", json.dumps({"vulnerabilities": [v]})), ("2", "{")], "ord string, payload string"),
+        "trivy": spark.createDataFrame([("1", json.dumps({"Results": [{"Vulnerabilities": [t]}]})), ("2", "{")], "ord string, payload string"),
+    }
+    findings, rejects = scoring.collect_findings(raw, None)
+    assert {(r.tool, r.component, r.cve) for r in findings.collect()} == {("snyk", "a", "CVE-1"), ("trivy", "b", "CVE-2")}
+    assert {tuple(r) for r in rejects.collect()} == {("snyk", "2", "no JSON"), ("trivy", "2", "no JSON")}
+
+
+def test_maven_metadata_is_read_as_xml(spark):
+    docs = [
+        ("p", "<metadata><versioning><versions><version> 1.0 </version><!-- <version>9</version> --></versions></versioning></metadata>"),
+        ("q", "<bad"), ("r", "<a><version>2.0</version><version>3.0-rc1</version>"), ("s", None), ("t", ""),
+        ("u", "<a xmlns:m='x'><version><![CDATA[4.0]]></version><version>5&#46;0</version><m:version>6.0</m:version>"
+              "<b><version k='1'>7.0</version><version/></b><versions>8.0</versions></a>"),
+    ]
+    raw = spark.createDataFrame([(p, p, x) for p, x in docs], "ord string, package string, payload string")
+    parsed = registries.landed_xml(raw)
+    assert {(r.package, r.version) for r in registries.maven(parsed).collect()} == {("p", "1.0"), ("u", "4.0"), ("u", "5.0"), ("u", "7.0")}
+    assert {(r.ord, r.reason) for r in base.rejects(parsed).collect()} == {(x, "no XML") for x in "qrst"}
 
 
 def test_every_white_space_counts(spark):

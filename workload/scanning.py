@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftmark.plans.scoring import collect_findings
 from siftmark.sources import advisories, ground_truth, registries, scanners
 from workload.views import ORD, VERSION, VKEY, ctes, table, view
 
@@ -28,7 +29,7 @@ def _when(condition: str, value):
     return F.when(F.expr(condition), value)
 
 
-def scan_snyk(spark, d):
+def _snyk_raw(spark, d):
     name = F.expr("case eco when 'maven' then concat('org.acme/pkg-', n) else concat('Pkg_', n) end")
     v = F.struct(
         _when("o % 13 <> 0", name).alias("packageName"),
@@ -45,11 +46,14 @@ def scan_snyk(spark, d):
         ).alias("semver"),
     )
     listed = F.when(F.expr("o % 19 = 0"), F.array(v, v)).otherwise(F.array(v))
-    raw = _lines(spark, d).select("ord", F.to_json(F.struct(listed.alias("vulnerabilities"))).alias("payload"))
-    return scanners.snyk(raw).select(*_SHOWN)
+    return _lines(spark, d).select("ord", "o", F.to_json(F.struct(listed.alias("vulnerabilities"))).alias("payload"))
 
 
-def scan_trivy(spark, d):
+def scan_snyk(spark, d):
+    return scanners.snyk(_snyk_raw(spark, d).drop("o")).select(*_SHOWN)
+
+
+def _trivy_raw(spark, d):
     name = F.expr("case eco when 'maven' then concat('org.acme/pkg-', n) else concat('Pkg_', n) end")
     v = F.struct(
         name.alias("PkgName"),
@@ -65,8 +69,21 @@ def scan_trivy(spark, d):
     results = F.array(
         F.struct(F.array(v).alias("Vulnerabilities")), F.struct(empty.alias("Vulnerabilities"))
     )
-    raw = _lines(spark, d).select("ord", F.to_json(F.struct(results.alias("Results"))).alias("payload"))
-    return scanners.trivy(raw).select(*_SHOWN)
+    return _lines(spark, d).select("ord", "o", F.to_json(F.struct(results.alias("Results"))).alias("payload"))
+
+
+def scan_trivy(spark, d):
+    return scanners.trivy(_trivy_raw(spark, d).drop("o")).select(*_SHOWN)
+
+
+def landed_reports(spark, d):
+    """Findings and rejects of reports of which some are cut off, of another kind or empty."""
+    broken = F.expr("""case when o % 23 = 0 then substr(payload, 1, 20)
+        when o % 29 = 0 then '{"vulnerabilities": 3, "Results": "x"}' when o % 31 = 0 then '{}' else payload end""")
+    raw = {t: made(spark, d).select("ord", broken.alias("payload")) for t, made in (("snyk", _snyk_raw), ("trivy", _trivy_raw))}
+    findings, rejects = collect_findings(raw, None)
+    said = findings.select("tool", F.lit("finding").alias("what")).unionByName(rejects.select("tool", F.col("reason").alias("what")))
+    return said.groupBy("tool", "what").agg(F.count("*").alias("n"))
 
 
 def scan_dtrack(spark, d):
@@ -267,16 +284,26 @@ _PLAIN_NAME = "case eco when 'maven' then concat('org.acme:pkg-', n) else concat
 _STABLE = "not contains(version, 'rc')"
 _PKG = "concat(ecosystem, '/', package)"
 
-QUERIES = {
-    "scan_snyk": (scan_snyk, _first(f"""select concat(ord, '|00000000') as ord, eco as ecosystem, {_PLAIN_NAME} as component, version,
+_SNYK = f"""select concat(ord, '|00000000') as ord, eco as ecosystem, {_PLAIN_NAME} as component, version,
   case when o % 10 < 7 then concat('CVE-2024-', o % 60) end as cve, case when o % 10 >= 5 then concat('GHSA-AB', o % 50) end as ghsa,
   case when o % 3 = 0 then concat('>=1.0,<', top, '.0') end as affected_version_range, concat('Flaw in ', n) as description
-  from l where line < 7 and o % 17 <> 0""")),
-    "scan_trivy": (scan_trivy, _first(f"""select concat(ord, '|00000000|00000000') as ord, eco as ecosystem, {_PLAIN_NAME} as component, version,
+  from l where line < 7 and o % 17 <> 0"""
+_TRIVY = f"""select concat(ord, '|00000000|00000000') as ord, eco as ecosystem, {_PLAIN_NAME} as component, version,
   case when o % 10 < 6 then concat('CVE-2024-', o % 60) end as cve,
   case when o % 10 in (6, 7) then concat('GHSA-AB', o % 50) when o % 4 = 0 then concat('GHSA-CD', n) end as ghsa,
   case when o % 3 = 0 then concat('< ', top, '.0.0') end as affected_version_range, concat('Flaw in ', n) as description
-  from l where line < 7 and o % 17 <> 0""")),
+  from l where line < 7 and o % 17 <> 0"""
+_WHOLE = " and o % 23 <> 0 and o % 29 <> 0 and o % 31 <> 0"
+
+QUERIES = {
+    "scan_snyk": (scan_snyk, _first(_SNYK)),
+    "scan_trivy": (scan_trivy, _first(_TRIVY)),
+    "landed_reports": (landed_reports, " union all ".join(
+        f"""select '{tool}' as tool, 'finding' as what, count(*) as n from ({_first(body + _WHOLE)}) having count(*) > 0
+union all select '{tool}', reason, count(*) from (select case when l_orderkey % 23 = 0 then 'no JSON'
+  when l_orderkey % 29 = 0 then '{part} is of another kind' when l_orderkey % 31 = 0 then '{none}' end as reason from lineitem)
+where reason <> '' group by all"""
+        for tool, body, part, none in (("snyk", _SNYK, "vulnerabilities", "no vulnerabilities"), ("trivy", _TRIVY, "Results", "")))),
     "scan_dtrack": (scan_dtrack, _first("""select concat(ord, '|00000000') as ord, eco as ecosystem,
   case eco when 'maven' then concat('org.acme:pkg-', n) when 'npm' then concat('@acme/pkg+', n)
     when 'pypi' then concat('pkg-', n) else concat('Pkg_', n) end as component, version,
