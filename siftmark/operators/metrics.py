@@ -75,9 +75,15 @@ def outcome_counts(
     )
 
 
-def ecosystem_metrics(gt: DataFrame, findings: DataFrame, tools: list[str]) -> DataFrame:
-    """Counts, recall and overlap per tool and ecosystem of the ground truth."""
-    matched = matched_signatures(gt, findings, ["tool"])
+def ecosystem_metrics(
+    gt: DataFrame, findings: DataFrame, tools: list[str], matched: DataFrame | None = None
+) -> DataFrame:
+    """Counts, recall and overlap per tool and ecosystem of the ground truth.
+
+    ``matched`` is what ``matched_signatures`` gives for these findings, if it is there already.
+    """
+    if matched is None:
+        matched = matched_signatures(gt, findings, ["tool"])
     counts = outcome_counts(gt, findings, matched, tools, ["ecosystem"]).where("n_gt > 0")
     return counts.join(gt_summary(gt), "ecosystem").select(
         "tool",

@@ -8,9 +8,10 @@ before the shuffle and number at most two to the power of the tools.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,31 +20,44 @@ from siftmark.operators.matching import SIGNATURE, with_signature
 from siftmark.operators.metrics import ordered_pairs
 from siftmark.operators.ranking import row_number_within
 from siftmark.functions.identity import preferred_id
+from siftmark.session import written
 
 VECTOR_KEY = ["ecosystem", "component", "version", "vuln_id"]
 
 
 def detection_vector(gt: DataFrame, findings: DataFrame, tools: list[str]) -> DataFrame:
-    """0/1 per tool and ground-truth row; hits of a key mark the key's first rows.
+    """0/1 per tool and ground-truth row; hits of a key mark the key's first rows."""
+    matched = matched_signatures(gt, findings, ["tool"]).withColumn("repeat", F.lit(1))
+    return detection_vectors(gt, matched, tools, 1).drop("repeat")
+
+
+def detection_vectors(gt: DataFrame, matched: DataFrame, tools: list[str], repeats: int) -> DataFrame:
+    """The vectors of all tools and repeats (1, 2, ...) from one match with owners tool, repeat.
 
     A key with no hit is all 0 and a key with as many hits as rows is all 1; only keys in
     between need their rows numbered.
     """
-    keyed = _keyed(gt)
-    tally = _hits_per_key(gt, findings).join(_rows_per_key(gt), VECTOR_KEY)
-    rows = for_each_tool(keyed.select("ord", *VECTOR_KEY), tools).join(
-        tally, ["tool", *VECTOR_KEY], "left"
+    tally = _hits_per_key(matched).join(_rows_per_key(gt), VECTOR_KEY)
+    copies = for_each_tool(_keyed(gt).select("ord", *VECTOR_KEY), tools)
+    rows = copies.withColumn("repeat", F.explode(_numbers(repeats))).join(
+        tally, ["tool", "repeat", *VECTOR_KEY], "left"
     )
     partial = F.coalesce(F.col("n_hits") < F.col("n_rows"), F.lit(False))
     settled = rows.where(~partial).select(
-        "tool", "ord", F.when(F.col("n_hits") > 0, 1).otherwise(0).alias("detected")
+        "tool", "repeat", "ord", F.when(F.col("n_hits") > 0, 1).otherwise(0).alias("detected")
     )
     open_rows = row_number_within(
-        rows.where(partial), ["tool", *VECTOR_KEY], "ord", "place"
-    ).select("tool", "ord", F.when(F.col("place") <= F.col("n_hits"), 1).otherwise(0).alias("detected"))
+        rows.where(partial), ["tool", "repeat", *VECTOR_KEY], "ord", "place"
+    ).select(
+        "tool", "repeat", "ord", F.when(F.col("place") <= F.col("n_hits"), 1).otherwise(0).alias("detected")
+    )
     return settled.unionByName(open_rows)
 
 
+def _numbers(repeats: int) -> Column:
+    return F.array(*[F.lit(i + 1) for i in range(repeats)])
+
+
 def _keyed(gt: DataFrame) -> DataFrame:
     return with_signature(gt).withColumn("vuln_id", preferred_id(F.col("cve"), F.col("osv_id")))
 
@@ -52,23 +66,29 @@ def _rows_per_key(gt: DataFrame) -> DataFrame:
     return _keyed(gt).groupBy(*VECTOR_KEY).agg(F.count("*").alias("n_rows"))
 
 
-def _hits_per_key(gt: DataFrame, findings: DataFrame) -> DataFrame:
-    return _keyed(matched_signatures(gt, findings, ["tool"])).groupBy("tool", *VECTOR_KEY).agg(
-        F.sum("n_rows").alias("n_hits")
-    )
+def _hits_per_key(matched: DataFrame) -> DataFrame:
+    return _keyed(matched).groupBy("tool", "repeat", *VECTOR_KEY).agg(F.sum("n_rows").alias("n_hits"))
 
 
 def key_patterns(gt: DataFrame, findings: DataFrame, tools: list[str]) -> DataFrame:
-    """What ``patterns`` gives for the vectors of ``detection_vector``, without making them.
+    """What ``patterns`` gives for the vectors of ``detection_vector``, without making them."""
+    matched = matched_signatures(gt, findings, ["tool"]).withColumn("repeat", F.lit(1))
+    return run_patterns(gt, matched, tools, 1)
+
+
+def run_patterns(gt: DataFrame, matched: DataFrame, tools: list[str], repeats: int) -> DataFrame:
+    """The pattern counts of all repeats together, from one match with owners tool, repeat.
 
     Hits mark the first rows of a key, so with n rows and h hits of each tool the rows between
     two neighbouring values of h (and n) all have one pattern: a key has at most one more
     pattern than there are tools, and no row is numbered or shuffled.
     """
-    said = _hits_per_key(gt, findings).groupBy(*VECTOR_KEY).agg(
+    said = _hits_per_key(matched).groupBy("repeat", *VECTOR_KEY).agg(
         F.map_from_entries(F.collect_list(F.struct("tool", "n_hits"))).alias("said")
     )
-    keys = _rows_per_key(gt).join(said, VECTOR_KEY, "left")
+    keys = _rows_per_key(gt).withColumn("repeat", F.explode(_numbers(repeats))).join(
+        said, ["repeat", *VECTOR_KEY], "left"
+    )
     n, tools = F.col("n_rows"), sorted(tools)
     marked = {t: F.least(n, F.coalesce(F.try_element_at("said", F.lit(t)), F.lit(0))) for t in tools}
     ends = F.array_sort(F.array_distinct(F.array(*marked.values(), n)))
@@ -85,33 +105,38 @@ def key_patterns(gt: DataFrame, findings: DataFrame, tools: list[str]) -> DataFr
     )
 
 
-def combined_patterns(repeats: list[DataFrame]) -> DataFrame:
-    """The pattern counts of several repeats as one."""
-    out = repeats[0]
-    for more in repeats[1:]:
-        out = out.unionByName(more)
-    return out.groupBy("pattern").agg(F.sum("n").alias("n"))
+def watched_runs(df: DataFrame, runs: list[tuple[str, int]]) -> tuple[DataFrame, Callable[[], dict]]:
+    """The same rows, and how many of them each (tool, repeat) had, to be asked for when an
+    action has read them: the counts are made in its pass."""
+    seen = Observation()
+    counts = [
+        F.count_if((F.col("tool") == tool) & (F.col("repeat") == repeat)).alias(f"run{i}")
+        for i, (tool, repeat) in enumerate(runs)
+    ]
+    watched = df.observe(seen, F.count(F.lit(1)).alias("all"), *counts)
+    return watched, lambda: {None: seen.get["all"]} | {r: seen.get[f"run{i}"] for i, r in enumerate(runs)}
 
 
-def combine_vectors(vectors: list[DataFrame]) -> DataFrame:
-    """All repeats one after the other, told apart by ``repeat``."""
-    out = None
-    for i, v in enumerate(vectors, start=1):
-        one = v.withColumn("repeat", F.lit(i))
-        out = one if out is None else out.unionByName(one)
-    return out
-
+def combine_vectors(detections: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Detection vectors of archived runs (tool, repeat, ord, detected), written and checked.
 
-def missing_vectors(detections: DataFrame, tools: list[str], repeats: int) -> DataFrame:
-    """(tool, repeat) pairs without a vector; any row is an input error."""
-    wanted = F.array(
-        *[F.struct(F.lit(t).alias("tool"), F.lit(r + 1).alias("repeat"))
-          for t in tools for r in range(repeats)]
-    )
-    have = detections.select("tool", "repeat").distinct()
-    return have.agg(F.collect_list(F.struct("tool", "repeat")).alias("have")).select(
-        F.inline(F.array_except(wanted, F.col("have")))
-    )
+    ``manifest`` says what there has to be: a row (tool, repeat, length) for each run, which is
+    a short list. Lengths are counted while the vectors are written. Raises for a run without a
+    vector, one of another length, and rows of no run in the manifest.
+    """
+    expected = {(r["tool"], r["repeat"]): r["length"] for r in manifest.select("tool", "repeat", "length").collect()}
+    watched, counted = watched_runs(detections, list(expected))
+    out = written(watched)
+    seen = counted()
+    lacking = sorted(r for r in expected if seen[r] == 0 and expected[r])
+    if lacking:
+        raise ValueError(f"no detections of {lacking}")
+    uneven = sorted(r for r in expected if seen[r] != expected[r])
+    if uneven:
+        raise ValueError(f"detections of another length: {[(*r, seen[r], expected[r]) for r in uneven]}")
+    if seen[None] != sum(expected.values()):
+        raise ValueError("detections of runs that the manifest does not list")
+    return out
 
 
 def detection_matrix(detections: DataFrame, tools: list[str]) -> DataFrame:
@@ -123,13 +148,6 @@ def detection_matrix(detections: DataFrame, tools: list[str]) -> DataFrame:
     )
 
 
-def uneven_vectors(detections: DataFrame) -> DataFrame:
-    """Vector length per tool where lengths differ; any row is an input error."""
-    return detections.groupBy("tool").agg(F.count("*").alias("length")).groupBy().agg(
-        F.min("length").alias("shortest"), F.max("length").alias("longest")
-    ).where("shortest <> longest")
-
-
 def patterns(detections: DataFrame) -> DataFrame:
     """How often each combination of detections over one row occurs.
 

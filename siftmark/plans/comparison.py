@@ -2,38 +2,51 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from siftmark.operators import metrics, significance
+from siftmark.operators import matching, metrics, significance
 from siftmark.session import written
 
 
 def compare(
-    gt: DataFrame, repeats: list[DataFrame], tools: list[str], baseline: str
+    gt: DataFrame,
+    repeats: list[DataFrame],
+    tools: list[str],
+    baseline: str,
+    manifest: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Cochran's Q, corrected McNemar tests, markers and tool summaries over all repeats.
 
-    The pattern counts behind all tests are a few rows; they are written once. Raises when a
-    tool lacks a vector in some repeat, or vectors differ in length.
+    All repeats are matched once, with the repeat among the owners, and vectors, pattern counts
+    and metrics read that one written match. ``manifest`` (tool, repeat, and maybe more) lists the
+    runs that took place; a tool without findings in a repeat is one that found nothing only if it
+    is listed there, else the repeat is missing and this raises. Findings are counted in the pass
+    that folds them for the match. Without a manifest every run counts as made.
     """
-    from pyspark.sql import functions as F
-
-    vectors = [significance.detection_vector(gt, f, tools) for f in repeats]
-    detections = significance.combine_vectors(vectors)
-    lacking = significance.missing_vectors(detections, tools, len(repeats)).collect()
-    if lacking:
-        raise ValueError(f"no detections of {[(r['tool'], r['repeat']) for r in lacking]}")
-    if not significance.uneven_vectors(detections).isEmpty():
-        raise ValueError("detections of the tools differ in length")
-    counted = written(
-        significance.combined_patterns([significance.key_patterns(gt, f, tools) for f in repeats])
+    n = len(repeats)
+    runs = [(t, i) for i in range(1, n + 1) for t in tools]
+    findings = reduce(
+        DataFrame.unionByName, [f.withColumn("repeat", F.lit(i)) for i, f in enumerate(repeats, start=1)]
     )
+    watched, counted = significance.watched_runs(findings, runs)
+    matched = written(matching.matched_signatures(gt, watched, ["tool", "repeat"]))
+    if manifest is not None:
+        made = {(r["tool"], r["repeat"]) for r in manifest.select("tool", "repeat").distinct().collect()}
+        seen = counted()
+        lacking = [r for r in runs if r not in made and not seen[r]]
+        if lacking:
+            raise ValueError(f"no detections of {lacking}")
+    detections = significance.detection_vectors(gt, matched, tools, n)
+    counted = written(significance.run_patterns(gt, matched, tools, n))
     tests = significance.holm(significance.mcnemar(significance.mcnemar_counts(counted)))
-    runs = None
-    for i, findings in enumerate(repeats, start=1):
-        one = metrics.ecosystem_metrics(gt, findings, tools).withColumn("run", F.lit(f"run_{i}"))
-        runs = one if runs is None else runs.unionByName(one)
-    runs = written(runs)
+    runs = written(reduce(DataFrame.unionByName, [
+        metrics.ecosystem_metrics(gt, f, tools, matched.where(F.col("repeat") == i).drop("repeat"))
+        .withColumn("run", F.lit(f"run_{i}"))
+        for i, f in enumerate(repeats, start=1)
+    ]))
     summary = metrics.tool_summary(runs)
     markers = significance.significance_markers(tests, baseline)
     return {

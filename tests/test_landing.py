@@ -160,6 +160,29 @@ def test_patterns_from_keys_are_those_of_the_vectors(spark):
     assert sorted(payload["ranking_by_avg_recall"]) == tools and len(payload["per_tool"]) == 4
 
 
+def test_a_missing_repeat_is_an_error(spark):
+    gt = spark.createDataFrame([(f"{i}", "npm", "a", "1", f"CVE-{i}", None, None) for i in range(3)], GT)
+    found = spark.createDataFrame([(t, t, "npm", "a", "1", "CVE-1", None, None, None) for t in "ab"], FINDING)
+    runs = spark.createDataFrame([("a", 1), ("b", 1), ("a", 2), ("c", 1), ("c", 2)], "tool string, repeat int")
+    with pytest.raises(ValueError, match=r"\('b', 2\)"):
+        comparison.compare(gt, [found, found.where("tool = 'a'")], ["a", "b", "c"], "a", runs)
+    out = comparison.compare(gt, [found, found.where("tool = 'a'")], ["a", "c"], "a", runs)
+    assert {(r.tool, r.TP) for r in out["runs"].collect()} == {("a", 1), ("c", 0)}
+
+
+def test_archived_vectors_are_held_against_their_manifest(spark):
+    rows = [(t, r, f"{i}", i % 2) for t in "ab" for r in (1, 2) for i in range(4)]
+    archived = spark.createDataFrame(rows, "tool string, repeat int, ord string, detected int")
+    manifest = spark.createDataFrame([(t, r, 4) for t in "ab" for r in (1, 2)], "tool string, repeat int, length long")
+    assert significance.combine_vectors(archived, manifest).count() == 16
+    with pytest.raises(ValueError, match="no detections of"):
+        significance.combine_vectors(archived.where("tool = 'a' or repeat = 1"), manifest)
+    with pytest.raises(ValueError, match=r"another length: \[\('b', 2, 3, 4\)\]"):
+        significance.combine_vectors(archived.where("tool = 'a' or repeat = 1 or ord < '3'"), manifest)
+    with pytest.raises(ValueError, match="does not list"):
+        significance.combine_vectors(archived, manifest.where("tool = 'a'"))
+
+
 def test_written_tables_can_be_discarded(spark):
     import glob
 

@@ -210,13 +210,6 @@ def test_cochran_q_by_hand(spark):
     assert (r.statistic, r.p_value) == (0.0, 1.0)
 
 
-def test_missing_and_uneven_vectors(spark):
-    df = spark.createDataFrame([("a", 1, "x", 1), ("a", 2, "x", 0), ("b", 1, "x", 1)],
-                               "tool string, repeat int, ord string, detected int")
-    assert [(r.tool, r.repeat) for r in sig.missing_vectors(df, ["a", "b"], 2).collect()] == [("b", 2)]
-    assert sig.uneven_vectors(df).count() == 1
-
-
 def test_fingerprint_ignores_order_and_keeps_copies(spark):
     rows = [("1", "npm", "a", "1", "C1", None, None), ("2", "npm", "b", "1", None, None, "O"), ("3", "npm", "a", "1", "C1", None, None)]
     fp = lambda rs: drift.fingerprint(spark.createDataFrame(rs, GT), []).collect()[0].fingerprint
