@@ -17,7 +17,7 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Local tables are small: splits of this size keep all cores busy.
+    # Written intermediates are small here: splits of this size keep all cores busy with them.
     "spark.sql.files.maxPartitionBytes": "2m",
     "spark.sql.files.openCostInBytes": "512k",
     # Call sites of single column operations are not needed and slow plan building down.

@@ -102,8 +102,13 @@ def ctes(*names: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table.
+
+    Its file has one row group, which one task reads whatever its size, so the rows are dealt out
+    once before anything is derived from them. This is for these files; real inputs have many.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return rows.repartition(spark.sparkContext.defaultParallelism)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
