@@ -121,11 +121,16 @@ def allotments(rows: DataFrame, ecosystems: list[str], strategy: str = "min") ->
     return settled.unionByName(ranked)
 
 
-def balance(rows: DataFrame, ecosystems: list[str], strategy: str = "min") -> DataFrame:
-    """The kept rows; inside a group the first by (advisory, CVE, ord)."""
-    planned = _prepared(rows, ecosystems).join(
-        allotments(rows, ecosystems, strategy).where("take > 0"), COORDINATE
-    )
+def balance(
+    rows: DataFrame, ecosystems: list[str], strategy: str = "min", plan: DataFrame | None = None
+) -> DataFrame:
+    """The kept rows; inside a group the first by (advisory, CVE, ord).
+
+    ``plan`` is what ``allotments`` gives for these rows, if it is there already.
+    """
+    if plan is None:
+        plan = allotments(rows, ecosystems, strategy)
+    planned = _prepared(rows, ecosystems).join(plan.where("take > 0"), COORDINATE)
     part = F.col("take") < F.col("size")
     ordered = planned.where(part).withColumn(
         "_order",
@@ -138,10 +143,14 @@ def balance(rows: DataFrame, ecosystems: list[str], strategy: str = "min") -> Da
     return kept.select(*rows.columns)
 
 
-def balance_stats(rows: DataFrame, ecosystems: list[str], strategy: str = "min") -> DataFrame:
+def balance_stats(
+    rows: DataFrame, ecosystems: list[str], strategy: str = "min", plan: DataFrame | None = None
+) -> DataFrame:
     """Per ecosystem: rows before and after, the target, components and versions kept."""
+    if plan is None:
+        plan = allotments(rows, ecosystems, strategy)
     kept = F.col("take") > 0
-    return allotments(rows, ecosystems, strategy).groupBy("ecosystem").agg(
+    return plan.groupBy("ecosystem").agg(
         F.sum("size").alias("original_rows"),
         F.sum("take").alias("kept_rows"),
         F.max("target").alias("target"),

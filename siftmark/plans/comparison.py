@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmark.operators import matching, metrics, significance
+from siftmark.operators import drift, matching, metrics, payloads, significance
 from siftmark.session import written
 
 
@@ -49,16 +49,23 @@ def compare(
     ]))
     summary = metrics.tool_summary(runs)
     markers = significance.significance_markers(tests, baseline)
+    q = significance.cochran_q(counted)
+    aggregate, collapsed = metrics.run_aggregate(runs), metrics.collapse_repeats(runs)
     return {
         "detections": detections,
-        "cochran_q": significance.cochran_q(counted),
+        "cochran_q": q,
         "tests": tests,
         "markers": markers,
         "runs": runs,
-        "aggregate": metrics.run_aggregate(runs),
-        "collapsed": metrics.collapse_repeats(runs),
+        "aggregate": aggregate,
+        "collapsed": collapsed,
         "tool_summary": summary,
         "tool_table": metrics.tool_table(runs, metrics.gt_summary(gt), markers),
         "deltas": metrics.tool_deltas(summary),
         "payload": metrics.comparison_payload(summary, metrics.tool_deltas(summary)),
+        "statistics_payload": payloads.statistics_payload(aggregate),
+        "results_payload": payloads.results_payload(collapsed),
+        "significance_payload": payloads.significance_payload(q, tests, tools, n, gt.count()),
+        "summary_payload": payloads.summary_payload(summary, markers, baseline),
+        "repeats_payload": payloads.repeats_payload(drift.repeat_stability(findings)),
     }

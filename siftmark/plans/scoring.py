@@ -48,6 +48,7 @@ def score(
         "false_negatives": matching.classify_misses(misses, findings),
         "fp_tally": taxonomy.fp_tally(extra),
         "gt_summary": summary,
+        "outside": metrics.extra_outside(findings, gt),
         "metrics": per_ecosystem,
         "report": metrics.report_matrix(gt, findings, matched, extra, active),
     }

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from siftmark.functions.constants import ECOSYSTEM_NAMES
 from siftmark.functions.identity import component_key, stable_row_key
 from siftmark.functions.text import clean_description, shorten
 from siftmark.operators import balancing, coverage, datasets, selection
+from siftmark.session import WRITTEN, shared_folder
+from siftmark.sinks import committed
 from siftmark.sources import advisories as adv
+from siftmark.sources import ground_truth
 from workload.views import ROWS, VKEY, ctes, rounded, rows, table, view
 
 _R = f"with {ctes('gt0')}, r as ({ROWS})"
@@ -71,6 +76,27 @@ def gt_meta(spark, d):
     return datasets.gt_meta(rows(spark, d), "1995-01-01", "2001-12-31")
 
 
+def _place(spark):
+    return f"{shared_folder(spark)}/{WRITTEN}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+
+
+def gt_write(spark, d):
+    """The dataset as CSV, and the observations in it when it is read again."""
+    path = _place(spark)
+    datasets.write_ground_truth(rows(spark, d).withColumn("is_vulnerable", F.lit(True)), path)
+    return ground_truth.ground_truth(ground_truth.read_rows(spark, path)).drop("ord")
+
+
+def committed_set(spark, d):
+    """Dataset and counts as one set, replaced once, and its rows per ecosystem when it is read again."""
+    path, gt = _place(spark), rows(spark, d)
+    committed.write_set(spark, {"rows": gt.where("cve is null"), "old": gt.select("ord")}, path)
+    committed.write_set(spark, {"rows": gt, "counts": gt.groupBy("ecosystem").agg(F.count("*").alias("n_rows"))}, path)
+    tables = committed.read_set(spark, path)
+    held = tables["rows"].groupBy("ecosystem").agg(F.count_distinct("ord").alias("n_read"))
+    return held.join(tables["counts"], "ecosystem").withColumn("tables", F.lit(len(tables)))
+
+
 def gt_checks(spark, d):
     return coverage.gt_checks(view(spark, d, "gt0"))
 
@@ -361,3 +387,7 @@ nu as (select *, row_number() over (partition by ecosystem, package order by {_S
   count(*) over (partition by ecosystem, package) as n from releases where {_STABLE})
 select ecosystem, package, version from nu where {_even(7)}"""),
 }
+QUERIES["gt_write"] = (gt_write, f"""{_R} select ecosystem, component_name as component, component_version as version, purl, cve,
+  cast(null as varchar) as ghsa, vulnerability_id as osv_id, vulnerability_description as description, 'ground-truth' as source from r""")
+QUERIES["committed_set"] = (committed_set, f"""{_R} select ecosystem, count(distinct ord) as n_read, count(*) as n_rows, 2 as tables
+from r group by ecosystem""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftmark.operators import drift, matching, metrics, significance
+from siftmark.operators import drift, matching, metrics, payloads, significance
 from siftmark.sources import ground_truth
 from workload.views import MATCH, SCORING, TOOLS, ctes, rounded, sql, table, view
 
@@ -112,6 +112,24 @@ def collapse_repeats(spark, d):
     return rounded(metrics.collapse_repeats(_runs(spark, d)), "value")
 
 
+def payload_statistics(spark, d):
+    """The statistics as one JSON document, read back."""
+    document = payloads.statistics_payload(metrics.run_aggregate(_runs(spark, d)))
+    values = "struct<mean: double, std: double, n: bigint, ci95: double>"
+    read = document.select(F.from_json("payload", f"struct<metrics: map<string, map<string, map<string, {values}>>>>")["metrics"].alias("m"))
+    rows = read.select(F.explode("m").alias("tool", "e")).select("tool", F.explode("e").alias("ecosystem", "x"))
+    rows = rows.select("tool", "ecosystem", F.explode("x").alias("metric", "v")).select("tool", "ecosystem", "metric", "v.*")
+    return rounded(rows, "mean", "std", "ci95")
+
+
+def payload_results(spark, d):
+    """Collapsed results as one JSON document, read back."""
+    document = payloads.results_payload(metrics.collapse_repeats(_runs(spark, d)))
+    read = document.select(F.explode(F.from_json("payload", "map<string, map<string, map<string, double>>>")).alias("tool", "e"))
+    rows = read.select("tool", F.explode("e").alias("ecosystem", "x"))
+    return rounded(rows.select("tool", "ecosystem", F.explode("x").alias("metric", "value")), "value")
+
+
 def tool_table(spark, d):
     summary = metrics.gt_summary(view(spark, d, "gt0"))
     return rounded(metrics.tool_table(_runs(spark, d), summary), "Recall", "Overlap")
@@ -309,3 +327,5 @@ both_runs as (select *, 1 as repeat from findings union all
 select tool, count(distinct fingerprint) = 1 as stable,
   string_agg(fingerprint, ',' order by repeat) as fingerprints from prints group by 1"""),
 }
+QUERIES["payload_statistics"] = (payload_statistics, QUERIES["run_aggregate"][1])
+QUERIES["payload_results"] = (payload_results, QUERIES["collapse_repeats"][1])
