@@ -23,6 +23,7 @@ from siftmark.llm.anchors import FILTER_BITS, Filter, build_filter, repeated, wi
 from siftmark.llm.common import (
     NOT_BLANK, joined, list_array, pieces, prefix_sums, runs, small_batches, span_hashes, texts_of, word_hashes,
 )
+from siftmark.session import written
 
 WINDOW = 20
 GRAM = 6
@@ -69,7 +70,7 @@ def anchor_grams(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
 
 
 def first_holders(docs: DataFrame, filter: Broadcast, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(id, hashes): the windows over repeated grams of which a document is the first holder."""
+    """(hash, id): the windows over repeated grams, and the least id of the documents with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in pieces(batches, "text", BATCH):
@@ -83,8 +84,39 @@ def first_holders(docs: DataFrame, filter: Broadcast, window: int = WINDOW, gram
                 [pa.array(hashes[least]), pa.array(ids[least])], names=["hash", "id"]
             )
 
-    counted = _id(docs).mapInArrow(run, "hash bigint, id bigint").groupBy("hash").agg(F.min("id").alias("id"))
-    return counted.groupBy("id").agg(F.collect_list("hash").alias("hashes"))
+    return _id(docs).mapInArrow(run, "hash bigint, id bigint").groupBy("hash").agg(F.min("id").alias("id"))
+
+
+def held_hashes(
+    docs: DataFrame, filter: Broadcast, window: int = WINDOW, gram: int = GRAM
+) -> tuple[DataFrame, DataFrame | None]:
+    """The windows that each document is the first holder of, as lists of hashes.
+
+    By id (of, hashes) for ids that one row has. Rows that share an id, such as all with a null
+    id, have lists of their own, (of, text_hash, hashes), so a list never holds more than the
+    windows of one text.
+    """
+    first = first_holders(docs, filter, window, gram)
+    listed = F.collect_list("hash").alias("hashes")
+    ids = _id(docs).groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    if ids.isEmpty():
+        return first.groupBy(F.col("id").alias("of")).agg(listed), None
+    first, ids = written(first), written(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in pieces(batches, "text", BATCH):
+            words = Words(texts_of(table["text"].combine_chunks()), window, gram)
+            at, hashes = words.candidates(filter.value, window)
+            doc = pa.array(words.doc[at])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashes), *(table[c].combine_chunks().take(doc) for c in ("id", "text_hash"))],
+                names=["hash", "id", "text_hash"],
+            )
+
+    shared = _id(docs).join(ids, "id", "left_semi").select("id", F.xxhash64("text").alias("text_hash"), "text")
+    tuples = shared.mapInArrow(run, "hash bigint, id bigint, text_hash bigint").distinct()
+    own = first.join(ids, "id", "left_anti").groupBy(F.col("id").alias("of")).agg(listed)
+    return own, tuples.join(first, ["hash", "id"]).groupBy(F.col("id").alias("of"), "text_hash").agg(listed)
 
 
 def removal_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -98,7 +130,7 @@ def removal_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, filte
     spark = docs.sparkSession
     small_batches(spark)
     filter = spark.sparkContext.broadcast(build_filter(repeated(anchor_grams(docs, window, gram)), filter_bits))
-    first = first_holders(docs, filter, window, gram).withColumnRenamed("id", "of")
+    own, shared = held_hashes(docs, filter, window, gram)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,9 +175,13 @@ def removal_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, filte
 
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("id"), "text")
     nothing = F.array().cast("array<bigint>")
+    known = rows.join(own, F.col("id") == F.col("of"), "left").drop("of")
+    if shared is not None:
+        many = shared.select("of", F.col("text_hash").alias("th"), F.col("hashes").alias("more"))
+        same = (F.col("id") == F.col("of")) & (F.xxhash64("text") == F.col("th"))
+        known = known.join(many, same, "left").withColumn("hashes", F.coalesce("hashes", "more"))
     return (
-        rows.join(first, F.col("id") == F.col("of"), "left")
-        .select("doc_id", "text", F.coalesce("hashes", nothing).alias("hashes"))
+        known.select("doc_id", "text", F.coalesce("hashes", nothing).alias("hashes"))
         .mapInArrow(
             run,
             f"doc_id {id_type}, n_words bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, "

@@ -46,6 +46,32 @@ def test_windows_of_repeated_and_null_ids(spark):
     assert got == {(1, 0), (None, 30), (2, 30)}
 
 
+def test_a_third_of_all_ids_is_null(spark):
+    """Rows without an id come last and none of them before another, however many there are."""
+    rnd = np.random.default_rng(9)
+    passages = [" ".join(f"p{k}w{i}" for i in range(25)) for k in range(6)]
+    texts = [(i if i % 3 else None, f"own{i} " + passages[rnd.integers(6)] + f" end{i} " + passages[rnd.integers(6)]) for i in range(60)]
+    texts += [(7, texts[7][1]), (7, passages[0]), (None, texts[0][1])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    least = {}
+    for doc, text in texts:
+        words = text.split()
+        for i in range(len(words) - 19):
+            key = tuple(words[i : i + 20])
+            least[key] = min(least.get(key, 1 << 63), (1 << 63) - 1 if doc is None else doc)
+    want = []
+    for doc, text in texts:
+        words, gone, seen = text.split(), set(), set()
+        for i in range(len(words) - 19):
+            key = tuple(words[i : i + 20])
+            if key in seen or least[key] < ((1 << 63) - 1 if doc is None else doc):
+                gone.update(range(i, i + 20))
+            seen.add(key)
+        want.append((doc, len(words), len(gone), " ".join(w for i, w in enumerate(words) if i not in gone)))
+    got = windows.removal_spans(docs)
+    assert rows(got, "doc_id", "n_words", "n_removed", "kept_text") == ordered(want)
+
+
 def test_anchors_depend_on_content():
     rnd = np.random.default_rng(1)
     grams = rnd.integers(0, 1 << 63, 500).astype(np.uint64)
@@ -130,3 +156,19 @@ def test_long_texts_are_sliced(spark, monkeypatch):
     whole = runindex.Segments(texts, 60, 10)
     strings = sorted((d, s + i) for d, s, n in zip(whole.doc, whole.start, whole.size) for i in range(n - 59))
     assert strings == [(d, i) for d, t in enumerate(texts) for i in range(len(t) - 59)]
+
+
+@pytest.mark.parametrize("size, share", [(300, 0), (399, 0), (400, 1), (401, 1), (2000, 1)])
+def test_planted_passages_by_length(spark, size, share):
+    """A passage in several documents goes from all of them if it has 400 bytes, else from none."""
+    rnd = np.random.default_rng(size)
+    word = lambda: "".join(rnd.choice(list("abcdefghij"), 5))
+    filler = lambda: " ".join(word() for _ in range(120))
+    passage = (" ".join(word() for _ in range(400)))[: size - 2]
+    texts = [f"{filler()}{chr(65 + i)}\u0001{passage}\u0002{chr(65 + i)}{filler()}" if i % 3 else filler() for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["kept"]) for r in runindex.remove_repeats(docs).collect()}
+    for i, text in enumerate(texts):
+        cut = size if share and i % 3 else 0
+        at = text.find("\u0001")
+        assert got[i] == (cut, (text[:at] + text[at + size :] if cut else text).encode())
