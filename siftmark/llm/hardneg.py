@@ -325,7 +325,10 @@ def sweep(tiles: DataFrame, anchors: DataFrame, same: bool, k: int) -> DataFrame
     met = boxes.withColumn("g", F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("int")).join(from_box, "g").where(
         (_box_product("greatest") >= F.col("least")) & (_box_product("least") <= F.col("most"))
     )
-    cells = met.select("shard", "block").distinct()
+    # Cells are few rows for much work: they are dealt out by number, not by their small size.
+    cells = written(met.select("shard", "block").distinct())
+    tasks = min(cells.count(), int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cells = cells.repartition(max(1, tasks), "shard", "block")
     far = _searched(cells.join(tiles, "shard").join(blocks, "block"), same, k, False)
     return written(_first(near.unionByName(far), k))
 
