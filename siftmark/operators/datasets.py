@@ -13,6 +13,7 @@ from siftmark.functions import ranges as R
 from siftmark.functions.text import blank_to_null, clean_description, filled, null_to_blank, strip
 from siftmark.operators.metrics import ratio
 from siftmark.operators.ranking import first_row_per, first_rows_per, row_number_within
+from siftmark.session import written
 
 COORDINATE = ["ecosystem", "component_name", "component_version"]
 COMPONENT = ["ecosystem", "component_name"]
@@ -137,71 +138,92 @@ def ecosystem_stats(rows: DataFrame) -> DataFrame:
     )
 
 
-def _cve_finding() -> Column:
-    return F.when(
-        filled(F.col("cve")), F.struct("component_name", "component_version", "cve")
+def _cve() -> Column:
+    return F.when(filled(F.col("cve")), F.col("cve"))
+
+
+def _per_version(rows: DataFrame) -> DataFrame:
+    """Per component version its rows, distinct advisories and distinct CVEs.
+
+    What is distinct with the version in it adds up over versions, so ecosystems and totals are
+    sums of these rows. Versions or components without a name count as none.
+    """
+    named = F.col("component_name").isNotNull() & F.col("component_version").isNotNull()
+    entries = rows.groupBy(*COORDINATE, "vulnerability_id", "cve").agg(F.count("*").alias("n"))
+    counted = entries.groupBy(*COORDINATE).agg(
+        F.sum("n").alias("n"), F.count_distinct("vulnerability_id").alias("v"), F.count_distinct(_cve()).alias("cve_findings")
+    )
+    return counted.select(
+        *COORDINATE, "n", named.cast("bigint").alias("components"),
+        F.when(named, F.col("v")).otherwise(0).alias("osv_vulns"), "cve_findings",
     )
 
 
-def _cve() -> Column:
-    return F.when(filled(F.col("cve")), F.col("cve"))
+def _cves(rows: DataFrame) -> DataFrame:
+    """Distinct CVEs per ecosystem, and over all of them in the row ``TOTAL``.
+
+    Each CVE has the set of its ecosystems, which sets of parts merge into.
+    """
+    sets = rows.where(_cve().isNotNull()).groupBy("cve").agg(F.collect_set("ecosystem").alias("e"))
+    held = sets.select(F.explode(F.array_append("e", F.lit("TOTAL"))).alias("ecosystem"))
+    return held.groupBy("ecosystem").agg(F.count("*").alias("cves"))
 
 
 def pre_balance_stats(rows: DataFrame) -> DataFrame:
     """Per ecosystem: rows, entries, component versions, CVE findings and CVEs, all distinct."""
-    return rows.groupBy("ecosystem").agg(
-        F.count("*").alias("rows"),
-        F.count_distinct("component_name", "component_version", "vulnerability_id").alias(
-            "osv_vuln_entries"
-        ),
-        F.count_distinct("component_name", "component_version").alias("unique_components"),
-        F.count_distinct(_cve_finding()).alias("cve_findings"),
-        F.count_distinct(_cve()).alias("unique_cves"),
+    sums = _per_version(rows).groupBy("ecosystem").agg(
+        F.sum("n").alias("rows"), F.sum("osv_vulns").alias("osv_vuln_entries"),
+        F.sum("components").alias("unique_components"), F.sum("cve_findings").alias("cve_findings"),
+    )
+    return sums.join(_cves(rows), "ecosystem", "left").withColumn(
+        "unique_cves", F.coalesce("cves", F.lit(0).cast("bigint"))
+    ).drop("cves")
+
+
+def histogram_spread(histogram: DataFrame, by: str, tag: str) -> DataFrame:
+    """Largest, mean, least and median value of each group, from (group, n, times) rows.
+
+    The median is read off running sums along the values, which are as many as there are
+    different ones, not as there are rows behind them.
+    """
+    up = Window.partitionBy(by).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    all_of = Window.partitionBy(by)
+    placed = histogram.withColumns({"_upto": F.sum("times").over(up), "_all": F.sum("times").over(all_of)})
+    at = lambda k: F.min(F.when(F.col("_upto") >= F.floor((F.col("_all") + k) / 2), F.col("n")))
+    return placed.groupBy(by).agg(
+        F.max("n").alias(f"max_{tag}"),
+        (F.sum(F.col("n") * F.col("times")) / F.sum("times")).alias(f"avg_{tag}"),
+        F.min("n").alias(f"min_{tag}"),
+        ((at(1) + at(2)) / 2).alias(f"median_{tag}"),
     )
 
 
 def gt_statistics(rows: DataFrame) -> DataFrame:
     """Sixteen measures per ecosystem and a TOTAL row.
 
-    Row frequencies are counted per component version and summed to components first;
-    means, medians and extremes then read those small tables. The TOTAL row pools the
-    frequencies of all ecosystems, sums their counts, and counts CVEs once globally.
+    Rows are folded to component versions, which are written; only CVEs, of which there are few,
+    are counted from the rows. Frequencies become histograms of a row per different count, which
+    the TOTAL row pools; means, medians and extremes read those.
     """
-    per_version = rows.groupBy(*COORDINATE).agg(F.count("*").alias("n"))
+    per_version = written(_per_version(rows))
     per_component = per_version.groupBy(*COMPONENT).agg(F.sum("n").alias("n"))
 
     def spread(freq: DataFrame, tag: str) -> DataFrame:
-        stats = freq.rollup("ecosystem").agg(
-            F.max("n").alias(f"max_{tag}"),
-            F.avg("n").alias(f"avg_{tag}"),
-            F.min("n").alias(f"min_{tag}"),
-            F.median("n").alias(f"median_{tag}"),
-        )
-        return _named_total(stats)
+        counted = freq.groupBy("ecosystem", "n").agg(F.count("*").alias("times"))
+        pooled = counted.select(F.lit("TOTAL").alias("ecosystem"), "n", "times").unionByName(counted)
+        return histogram_spread(pooled.groupBy("ecosystem", "n").agg(F.sum("times").alias("times")), "ecosystem", tag)
 
-    distinct = rows.groupBy("ecosystem").agg(
-        F.count_distinct("component_name", "component_version").alias("components"),
-        F.count_distinct("component_name", "component_version", "vulnerability_id").alias(
-            "osv_vulns"
-        ),
-        F.count_distinct(_cve_finding()).alias("cve_findings"),
-    )
     sums = _named_total(
-        distinct.rollup("ecosystem").agg(
+        per_version.rollup("ecosystem").agg(
             *[F.sum(c).alias(c) for c in ("components", "osv_vulns", "cve_findings")]
         )
     )
-    cves = _named_total(
-        rows.select("ecosystem", _cve().alias("cve"))
-        .distinct()
-        .rollup("ecosystem")
-        .agg(F.count_distinct("cve").alias("cves"))
-    )
     # One row per ecosystem: every second row of the sums is the TOTAL row itself.
     whole = Window.partitionBy()
     share = lambda c: 2 * F.col(c) / F.sum(c).over(whole)
     return (
-        sums.join(cves, "ecosystem")
+        sums.join(_cves(rows), "ecosystem", "left")
+        .withColumn("cves", F.coalesce("cves", F.lit(0).cast("bigint")))
         .join(spread(per_component, "comp_freq"), "ecosystem")
         .join(spread(per_version, "compver_freq"), "ecosystem")
         .withColumns(
@@ -231,15 +253,17 @@ def balance_validation(rows: DataFrame) -> DataFrame:
         per_component.select("ecosystem", "component_name", "n", (-F.col("n")).alias("minus_n")),
         ["ecosystem"], 5, "minus_n", "component_name",
     ).groupBy("ecosystem").agg(F.sum("n").alias("top5"))
+    sizes = per_component.groupBy("ecosystem", "n").agg(F.count("*").alias("times"))
+    middle = histogram_spread(sizes, "ecosystem", "size").select("ecosystem", F.col("median_size").alias("median_per_component"))
     return (
         per_component.groupBy("ecosystem")
         .agg(
             F.sum("n").alias("rows"),
             F.count("*").alias("unique_components"),
             F.sum("versions").alias("unique_versions"),
-            F.median("n").alias("median_per_component"),
             F.max("n").alias("max_per_component"),
         )
+        .join(middle, "ecosystem")
         .join(top5, "ecosystem")
         .withColumns(
             {

@@ -232,3 +232,29 @@ def test_validation_fails_loudly(spark):
     bad = good.withColumn("vulnerability_ids", F.array(F.lit("V2")))
     with pytest.raises(Exception, match="invalid"):
         datasets.validated(rows, bad).collect()
+
+
+def test_medians_from_histograms(spark):
+    import random
+    import statistics
+
+    rnd = random.Random(4)
+    values = {g: [rnd.randint(1, 9) for _ in range(n)] for g, n in (("a", 1), ("b", 2), ("c", 30), ("d", 31))}
+    rows = [(g, v) for g, vs in values.items() for v in vs]
+    counted = spark.createDataFrame(rows, "g string, n long").groupBy("g", "n").agg(F.count("*").alias("times"))
+    got = {r.g: r[1:] for r in datasets.histogram_spread(counted, "g", "x").collect()}
+    assert got == {g: (max(v), sum(v) / len(v), min(v), statistics.median(v)) for g, v in values.items()}
+
+
+def test_statistics_of_rows_without_names(spark):
+    rows = spark.createDataFrame(
+        [("npm", None, "1", "V", "CVE-1"), ("npm", "a", "1", "V", "CVE-1"), ("npm", "a", "1", "V", ""), ("npm", "a", "1", None, None),
+         ("pypi", "a", "2", "W", "CVE-1")],
+        "ecosystem string, component_name string, component_version string, vulnerability_id string, cve string")
+    got = {r.ecosystem: r for r in datasets.gt_statistics(rows).collect()}
+    npm, total = got["npm"], got["TOTAL"]
+    assert (npm.components, npm.osv_vulns, npm.cve_findings, npm.cves, npm.median_comp_freq) == (1, 1, 2, 1, 2.0)
+    assert (total.components, total.osv_vulns, total.cves, total.max_compver_freq) == (2, 2, 1, 3)
+    before = {r.ecosystem: tuple(r)[1:] for r in datasets.pre_balance_stats(rows).select(
+        "ecosystem", "rows", "osv_vuln_entries", "unique_components", "cve_findings", "unique_cves").collect()}
+    assert before == {"npm": (4, 1, 1, 2, 1), "pypi": (1, 1, 1, 1, 1)}
