@@ -32,7 +32,9 @@ END = BREAK * 2
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-PER_FILE = 1000  # records, which bounds what a reader holds at a time
+#: Records of a file and bytes of a record in it, which bound what a reader holds at a time. Files
+#: of larger records have fewer: half as many for each doubling of the size.
+PER_FILE, RECORD_BYTES = 1000, 16 << 10
 #: Seconds of the capture time of page 0; pages have no time of their own.
 EPOCH = 1_704_067_200
 
@@ -109,9 +111,21 @@ def records(captures: DataFrame) -> DataFrame:
 
 
 def write_archives(captures: DataFrame, path: str, compress: bool = True) -> None:
-    """Archive files of at most ``PER_FILE`` records, gzipped as a whole unless told otherwise."""
-    writer = records(captures).write.option("lineSep", END).option("maxRecordsPerFile", PER_FILE)
-    writer.option("compression", "gzip" if compress else "none").text(path)
+    """Archive files of at most ``PER_FILE`` records and about ``PER_FILE * RECORD_BYTES`` bytes of
+    payload, gzipped as a whole unless told otherwise.
+
+    Records are written by size classes, of which there are as many as payload sizes have
+    doublings; a record that is larger than a file should be is a file of its own.
+    """
+    size = F.greatest(F.col("payload_bytes"), F.lit(1)) / RECORD_BYTES
+    sized = captures.withColumn("_class", F.greatest(F.lit(0), F.ceil(F.log2(size))).cast("int"))
+    classes = [r["_class"] for r in sized.select("_class").distinct().collect()]
+    for number in sorted(classes) or [0]:
+        of_class = sized.where(F.col("_class") == number)
+        writer = records(of_class).write.mode("append").option("lineSep", END)
+        writer.option("maxRecordsPerFile", max(1, PER_FILE >> number)).option(
+            "compression", "gzip" if compress else "none"
+        ).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:

@@ -87,3 +87,18 @@ def test_url_keys():
     assert warc.url_key("http://www.A.example:80/P/?b=1&a=2") == "example,a)/p?a=2&b=1"
     assert warc.url_key("https://x.example:8443") == "example,x:8443)/"
     assert warc.url_key("") == ")/"
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "PER_FILE", 8)
+    monkeypatch.setattr(warc, "RECORD_BYTES", 100)
+    sizes = [10] * 20 + [150] * 9 + [399, 400, 401] * 3 + [5000] * 2 + [0]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", chr(97 + i % 26) * n) for i, n in enumerate(sizes)],
+                                  "page_id long, url string, html string").repartition(2)
+    warc.write_archives(warc.with_revisits(pages, 10**9), str(tmp_path / "w"), compress=False)
+    files = [[len(block) for _, _, block in warc.parse(f.read_bytes())] for f in (tmp_path / "w").glob("part-*")]
+    assert sorted(n for f in files for n in f) == sorted(sizes)
+    assert all(len(f) <= 8 and (sum(f) <= 800 or len(f) == 1) for f in files)
+    assert warc.read_archives(spark, str(tmp_path / "w")).count() == len(sizes)
+    got = warc.archive_round_trip(pages)
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in got.collect()) == list(enumerate(sizes))
