@@ -66,7 +66,18 @@ def first_row_per(df: DataFrame, keys: list[str], *order: str | Column) -> DataF
     return df.withColumn("_rank", F.row_number().over(rank)).where("_rank = 1").drop("_rank")
 
 
+#: Up to so many rows per key Spark cuts each task's rows before the shuffle.
+GROUP_LIMIT = 1000
+
+
 def first_rows_per(df: DataFrame, keys: list[str], n: int, *order: str) -> DataFrame:
-    """The first ``n`` rows of each key; at most ``n`` per key and task are shuffled."""
-    rank = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= n).drop("_rank")
+    """The first ``n`` rows of each key.
+
+    Up to ``GROUP_LIMIT`` at most ``n`` rows per key and task are shuffled; beyond it rows are
+    numbered over sampled ranges, so that a large key does not come to one task.
+    """
+    if n > GROUP_LIMIT:
+        ranked = row_number_within(df, keys, list(order), "_rank")
+    else:
+        ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.where(F.col("_rank") <= n).drop("_rank")

@@ -258,3 +258,10 @@ def test_statistics_of_rows_without_names(spark):
     before = {r.ecosystem: tuple(r)[1:] for r in datasets.pre_balance_stats(rows).select(
         "ecosystem", "rows", "osv_vuln_entries", "unique_components", "cve_findings", "unique_cves").collect()}
     assert before == {"npm": (4, 1, 1, 2, 1), "pypi": (1, 1, 1, 1, 1)}
+
+
+def test_first_rows_beyond_the_group_limit(spark):
+    df = spark.range(5000).selectExpr("'k' as k", "lpad(cast(id * 7919 % 5000 as string), 5, '0') as o")
+    for n in (3, ranking.GROUP_LIMIT + 500):
+        got = sorted(r.o for r in ranking.first_rows_per(df, ["k"], n, "o").collect())
+        assert got == [f"{i:05}" for i in range(n)]

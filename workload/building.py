@@ -136,7 +136,7 @@ def stable_key(spark, d):
 def _advisory_texts(spark, d):
     return table(spark, d, "documents").select(
         F.concat(F.lit("OSV-"), F.col("doc_id")).alias("id"),
-        F.when(F.col("doc_id") % 2 == 0, F.substring_index("text", "\n", 1)).alias("summary"),
+        F.when(F.col("lang") == "en", F.col("text")).alias("summary"),
         F.col("text").alias("details"),
     )
 
@@ -258,7 +258,7 @@ def _deal(r: str, agg: str) -> str:
 
 
 _CLEAN = "trim(regexp_replace({t}, '\\s+', ' ', 'g'), ' ')"
-_DOCS = "adv as (select concat('OSV-', doc_id) as id, case when doc_id % 2 = 0 then split_part(text, chr(10), 1) end as summary, text as details from documents)"
+_DOCS = "adv as (select concat('OSV-', doc_id) as id, case when lang = 'en' then text end as summary, text as details from documents)"
 _DESC = ("substr(" + _CLEAN.format(t="coalesce(nullif(summary, ''), split_part(details, '.', 1))") + ", 1, 300)")
 _SHORT = _CLEAN.format(t="details")
 _FREQ = """select coalesce(ecosystem, 'TOTAL') as ecosystem, max(n) as max_{x}, round(avg(n), 9) as avg_{x},
