@@ -165,9 +165,9 @@ def expand_advisories(spark, d):
 
 
 def gt_validate(spark, d):
-    """Snapshot 0 against answers built from snapshot 1."""
+    """Snapshot 0 against answers built from what advisories say."""
     answers = (
-        view(spark, d, "gt1")
+        view(spark, d, "published")
         .groupBy("ecosystem", F.col("component").alias("component_name"), F.col("version").alias("component_version"))
         .agg(F.collect_set("osv_id").alias("vulnerability_ids"))
     )
@@ -352,9 +352,9 @@ from r left join adv on adv.id = r.vulnerability_id"""),
     "expand_advisories": (expand_advisories, """select cast(doc_id as string) as vulnerability_id, cve from documents,
   unnest(case when doc_id % 3 = 0 then [concat('CVE-2024-', doc_id), concat('CVE-2023-', doc_id)]
               else [cast(null as string)] end) u(cve)"""),
-    "gt_validate": (gt_validate, f"""with {ctes('gt0', 'gt1')},
-a as (select distinct ecosystem, component, version from gt1),
-k as (select distinct ecosystem, component, version, osv_id from gt1)
+    "gt_validate": (gt_validate, f"""with {ctes('gt0', 'published')},
+a as (select distinct ecosystem, component, version from published),
+k as (select distinct ecosystem, component, version, osv_id from published)
 select ord, case when a.version is null then 'missing' when k.osv_id is null then 'invalid' else 'valid' end as status
 from gt0 left join a using (ecosystem, component, version) left join k using (ecosystem, component, version, osv_id)"""),
     "gt_verify": (gt_verify, f"""{_R}, x as (select *, cast(substr(vulnerability_id, 5) as int) as n,

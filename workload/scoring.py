@@ -40,7 +40,7 @@ def fn_taxonomy(spark, d):
 
 
 def _aliases(spark, d):
-    return view(spark, d, "gt1").select("ecosystem", "component", F.col("cve").alias("alias"))
+    return view(spark, d, "published").select("ecosystem", "component", F.col("cve").alias("alias"))
 
 
 def _classified(spark, d, hits=None):
@@ -174,7 +174,7 @@ fn_class as (
           left join held using (tool, ecosystem, component, version))"""
 
 _FP_CLASS = f"""
-gt1 as ({{gt1}}),
+published as ({{published}}),
 fp_class as (
   select fp.tool, fp.ord, fp.ecosystem,
     case when fp.cve is null then 'FP-UNCLEAR'
@@ -186,9 +186,9 @@ fp_class as (
          when a.cve is null then 'CVE is no alias of any advisory of the component'
          when regexp_matches(lower(fp.description), 'console|management|server')
            then 'description names a product' else 'no decisive indicator' end as fp_reason
-  from fp left join (select distinct ecosystem, component, cve from gt1 where cve is not null) a
+  from fp left join (select distinct ecosystem, component, cve from published where cve is not null) a
     using (ecosystem, component, cve))"""
-_FP_CLASS = _FP_CLASS.replace("{gt1}", sql("gt1"))
+_FP_CLASS = _FP_CLASS.replace("{published}", sql("published"))
 
 _COUNTS = """
 tallies as (

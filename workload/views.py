@@ -55,6 +55,12 @@ from (select *, {{each}}(case when l_orderkey % 89 = 0 then {{array}}(0, 1) else
       from lineitem where l_shipdate >= date '1995-02-01') l
 """
 
+# What advisories say: all shipments, the early ones under an older name of the package.
+PUBLISHED = GT1.replace(
+    f"{COMPONENT} as component",
+    f"case when l_shipdate < date '1995-02-01' then concat('old-', {COMPONENT}) else {COMPONENT} end as component",
+).replace("from lineitem where l_shipdate >= date '1995-02-01'", "from lineitem")
+
 FINDINGS = f"""
 select md5(concat_ws('|', tool, ord0)) as ord, tool, ecosystem, component, version, cve, ghsa,
        osv_id, affected_version_range, description
@@ -88,7 +94,7 @@ from (select {ECO} as ecosystem, {COMPONENT} as component, {VERSION} as version,
 group by ecosystem, component, version
 """
 
-_TEXTS = {"gt0": GT0, "gt1": GT1, "findings": FINDINGS, "releases": RELEASES}
+_TEXTS = {"gt0": GT0, "gt1": GT1, "published": PUBLISHED, "findings": FINDINGS, "releases": RELEASES}
 
 
 def sql(name: str) -> str:
