@@ -12,8 +12,10 @@ samples only. Matching statistics of all other places follow by streaming along
 place inside a run has the match of the place before less one. Places with ``length`` or more are
 marked.
 
-A gram with more than ``most`` different segments would make too large a bin. Its strings are
-compared by their hashes instead, dealt by hash, whatever their number.
+A gram whose different segments have more than ``most`` bytes would make too large a bin. Its
+segments, one of each, are then documents of their own for the same steps with grams twice as long:
+fewer strings share a longer anchor, so segments become shorter and more of them equal or alone.
+The longest gram is a whole string, whose segments are single strings, equal or alone.
 """
 
 from __future__ import annotations
@@ -29,17 +31,16 @@ from pyspark.sql import functions as F
 
 from siftmark.llm.anchors import FILTER_BITS, build_filter, window_anchors
 from siftmark.llm.common import (
-    byte_values, list_array, mixed, pieces, prefix_sums, ranges, runs, small_batches, span_hashes, texts_of,
+    byte_values, list_array, mixed, pieces, prefix_sums, runs, small_batches, span_hashes, texts_of,
 )
 from siftmark.session import written
 
 LENGTH = 400
 GRAM = 32
-MOST = 2048
+MOST = 1 << 20  # bytes of the different segments of a gram in a bin
 BATCH = 1 << 20
 SLICE = 1 << 20  # string starts of one text that are looked at together
 BIN_BYTES = 1 << 19
-PART_WINDOWS = 1 << 20
 
 
 # --- the index ----------------------------------------------------------------------
@@ -236,91 +237,33 @@ def folded_segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
     )
 
 
-def dealt_segments(
-    docs: DataFrame, chosen: Broadcast, hot: Broadcast, bins: int, parts: int, length: int, gram: int
-) -> DataFrame:
-    """Texts of the chosen segments by bin, and string hashes of those of hot grams by part (below 0)."""
-    schema = (
-        "part bigint, grams array<bigint>, keys array<bigint>, bytes binary, "
-        "hashes array<bigint>, owner array<int>, place array<int>"
-    )
+def dealt_segments(docs: DataFrame, chosen: Broadcast, hot: Broadcast, bins: int, length: int, gram: int) -> DataFrame:
+    """(part, gram, key, bytes): texts of the chosen segments by bin; those of hot grams have part -1."""
 
     def make(s: Segments, texts, table):
         mine = np.flatnonzero(chosen.value.maybe(_tags(s, table)))
-        is_hot = hot.value.maybe(s.gram[mine])
-        cold, warm = mine[~is_hot], mine[is_hot]
-        part = (mixed(s.gram[cold].view(np.uint64)) % np.uint64(bins)).astype(np.int64)
-        count = s.size[warm] - length + 1
-        owner = np.repeat(np.arange(len(warm)), count)
-        place = ranges(np.zeros(len(warm), np.int64), count)
-        hashes = np.concatenate([_string_hashes(texts[s.doc[i]][s.start[i] : s.start[i] + s.size[i]], length) for i in warm]) \
-            if len(warm) else np.empty(0, np.uint64)
-        to = (mixed(hashes) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        used, counts = np.unique(to, return_counts=True)
-        rows = len(used)
-        every = lambda x: list_array(pa.array(np.tile(x[warm], rows)), np.full(rows, len(warm)))
-        none = lambda kind: list_array(pa.array([], kind), np.zeros(len(cold), np.int64))
-        one = lambda x: list_array(pa.array(x[cold]), np.ones(len(cold), np.int64))
-        texts_out = [texts[s.doc[i]][s.start[i] : s.start[i] + s.size[i]] for i in cold]
-        return [
-            pa.array(np.concatenate([part, -1 - used])),
-            pa.concat_arrays([one(s.gram), every(s.gram)]),
-            pa.concat_arrays([one(s.key), every(s.key)]),
-            pa.array([*texts_out, *[None] * rows], pa.binary()),
-            pa.concat_arrays([none(pa.int64()), list_array(pa.array(hashes[order].view(np.int64)), counts)]),
-            pa.concat_arrays([none(pa.int32()), list_array(pa.array(owner[order].astype(np.int32)), counts)]),
-            pa.concat_arrays([none(pa.int32()), list_array(pa.array(place[order].astype(np.int32)), counts)]),
-        ]
+        part = (mixed(s.gram[mine].view(np.uint64)) % np.uint64(bins)).astype(np.int64)
+        part[hot.value.maybe(s.gram[mine])] = -1
+        cut = [texts[s.doc[i]][s.start[i] : s.start[i] + s.size[i]] for i in mine]
+        return [pa.array(part), pa.array(s.gram[mine]), pa.array(s.key[mine]), pa.array(cut, pa.binary())]
 
-    return _scan(docs, make, schema, length, gram)
-
-
-def _string_hashes(text: bytes, length: int) -> np.ndarray:
-    sums = prefix_sums(byte_values(np.frombuffer(text, np.uint8)))
-    at = np.arange(len(text) - length + 1)
-    return span_hashes(sums, at, at + length)
+    return _scan(docs, make, "part bigint, gram bigint, key bigint, bytes binary", length, gram)
 
 
 def marked_segments(dealt: DataFrame, length: int) -> DataFrame:
     """(gram, key, spans): what of each dealt segment is covered by strings that occur elsewhere."""
 
     def mark(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        grams, keys = table["grams"].combine_chunks(), table["keys"].combine_chunks()
-        if key[0].as_py() >= 0:
-            g, k = grams.flatten().to_numpy(), keys.flatten().to_numpy()
-            # Rarely a document comes twice with the same id and text: one of its segments is enough.
-            _, first = np.unique(np.stack([g, k]), axis=1, return_index=True)
-            texts = table["bytes"].take(pa.array(first)).to_pylist()
-            spans = long_matches(texts, length)
-            yield _marks(g[first], k[first], spans)
-            return
-        sizes = np.diff(grams.offsets.to_numpy())
-        counts = np.diff(table["hashes"].combine_chunks().offsets.to_numpy())
-        base = np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), counts)
-        segment = table["owner"].combine_chunks().flatten().to_numpy() + base
-        place = table["place"].combine_chunks().flatten().to_numpy().astype(np.int64)
-        hashes = table["hashes"].combine_chunks().flatten().to_numpy()
-        pair = np.stack([grams.flatten().to_numpy(), keys.flatten().to_numpy()])
-        distinct, number = np.unique(pair, axis=1, return_inverse=True)
-        segment = number.reshape(-1)[segment]
-        _, index, times = np.unique(hashes, return_inverse=True, return_counts=True)
-        # The same segment may have come twice; a string is elsewhere if another place has it.
-        order = np.lexsort((place, segment, hashes))
-        same = (np.diff(hashes[order]) == 0) & (np.diff(segment[order]) == 0) & (np.diff(place[order]) == 0)
-        again = np.bincount(index[order[1:][same]], minlength=len(times))
-        starts = np.flatnonzero(((times - again) > 1)[index])
-        by = np.lexsort((place[starts], segment[starts]))
-        seg, at = segment[starts][by], place[starts][by]
-        new = np.ones(len(seg), bool)
-        new[1:] = (seg[1:] != seg[:-1]) | (at[1:] > at[:-1] + length)
-        first = np.flatnonzero(new)
-        last = np.concatenate([first[1:] - 1, [len(seg) - 1]]) if len(first) else first
-        owners, bounds = np.unique(seg[first], return_index=True)
-        ends = at[last] + length
-        spans = [(at[first][a:b], ends[a:b]) for a, b in zip(bounds, [*bounds[1:], len(first)])]
-        yield _marks(distinct[0][owners], distinct[1][owners], spans)
+        # A document that comes several times with the same id and text deals its segments as often:
+        # one of each is enough.
+        held: dict[tuple[int, int], bytes] = {}
+        for batch in batches:
+            names = zip(batch.column("gram").to_pylist(), batch.column("key").to_pylist(), strict=True)
+            for name, text in zip(names, batch.column("bytes"), strict=True):
+                if name not in held:
+                    held[name] = text.as_py()
+        grams, keys = np.array(list(held), np.int64).T
+        yield _marks(grams, keys, long_matches(list(held.values()), length))
 
     return dealt.groupBy("part").applyInArrow(
         mark, "gram bigint, key bigint, spans array<struct<start:bigint,end:bigint>>"
@@ -341,21 +284,25 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, most: int, filter_bi
     context = docs.sparkSession.sparkContext
     folded = written(folded_segments(docs, length, gram))
     sizes = folded.groupBy(F.col("gram").alias("of")).agg(
-        F.sum("n").alias("total"), F.count("*").alias("segments")
+        F.sum("n").alias("total"), F.count("*").alias("segments"), F.sum("size").alias("bytes")
     ).where("total > 1")
     known = written(folded.join(sizes, F.col("gram") == F.col("of")).drop("of"))
-    several, hot = F.col("segments") > 1, F.col("segments") > most
-    amounts = known.agg(
-        F.sum(F.when(several & ~hot, F.col("size"))), F.sum(F.when(hot, F.col("size") - (length - 1)))
-    ).first()
+    several = F.col("segments") > 1
+    hot = several & (F.col("bytes") > most) if gram < length else F.lit(False)
+    amounts = known.agg(F.sum(F.when(several & ~hot, F.col("size"))), F.count(F.when(hot, 1))).first()
     bins = max(1, math.ceil((amounts[0] or 0) / BIN_BYTES))
-    parts = max(1, math.ceil((amounts[1] or 0) / PART_WINDOWS))
     chosen = context.broadcast(build_filter(known.where(several).select("tag"), filter_bits))
     hot_grams = context.broadcast(build_filter(known.where(hot).select("gram").distinct(), filter_bits))
-    dealt = dealt_segments(docs, chosen, hot_grams, bins, parts, length, gram)
+    dealt = dealt_segments(docs, chosen, hot_grams, bins, length, gram)
     whole = known.where("n > 1").select(
         "gram", "key", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("size").alias("end"))).alias("spans")
     )
+    if amounts[1]:
+        dealt = written(dealt)
+        split = dealt.where("part < 0").select(F.struct("gram", "key").alias("doc_id"), F.col("bytes").alias("text"))
+        deeper = repeated_spans(split, length, min(2 * gram, length), most, filter_bits)
+        whole = whole.union(deeper.select("doc_id.gram", "doc_id.key", "spans"))
+        dealt = dealt.where("part >= 0")
     marks = written(marked_segments(dealt, length).where(F.size("spans") > 0).union(whole))
     found = context.broadcast(build_filter(marks.select("key"), filter_bits))
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -373,7 +320,7 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, most: int, filter_bi
     return (
         _scan(docs, occurrences, schema, length, gram)
         .join(marks, (F.col("g") == F.col("gram")) & (F.col("k") == F.col("key")))
-        .groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list(moved)).alias("spans"))
+        .groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set(moved)).alias("spans"))
     )
 
 
