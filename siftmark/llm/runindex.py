@@ -13,7 +13,7 @@ place inside a run has the match of the place before less one. Places with ``len
 marked.
 
 A gram whose different segments have more than ``most`` bytes would make too large a bin. Its
-segments, one of each, are then documents of their own for the same steps with grams twice as long:
+segments, one of each, are then documents of their own for the same steps with grams four times as long:
 fewer strings share a longer anchor, so segments become shorter and more of them equal or alone.
 The longest gram is a whole string, whose segments are single strings, equal or alone.
 """
@@ -279,6 +279,11 @@ def _marks(grams: np.ndarray, keys: np.ndarray, spans: list) -> pa.RecordBatch:
     )
 
 
+def _filter_of(values: DataFrame, count: int, most: int):
+    """A filter with 64 bits or more a value, up to ``most`` bits in all."""
+    return build_filter(values, min(most, 1 << max(12, (64 * count).bit_length())))
+
+
 def repeated_spans(docs: DataFrame, length: int, gram: int, most: int, filter_bits: int) -> DataFrame:
     """(doc_id, text_hash, spans) of the documents with strings that occur elsewhere; spans may overlap."""
     context = docs.sparkSession.sparkContext
@@ -289,10 +294,12 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, most: int, filter_bi
     known = written(folded.join(sizes, F.col("gram") == F.col("of")).drop("of"))
     several = F.col("segments") > 1
     hot = several & (F.col("bytes") > most) if gram < length else F.lit(False)
-    amounts = known.agg(F.sum(F.when(several & ~hot, F.col("size"))), F.count(F.when(hot, 1))).first()
+    amounts = known.agg(
+        F.sum(F.when(several & ~hot, F.col("size"))), F.count(F.when(hot, 1)), F.count(F.when(several, 1))
+    ).first()
     bins = max(1, math.ceil((amounts[0] or 0) / BIN_BYTES))
-    chosen = context.broadcast(build_filter(known.where(several).select("tag"), filter_bits))
-    hot_grams = context.broadcast(build_filter(known.where(hot).select("gram").distinct(), filter_bits))
+    chosen = context.broadcast(_filter_of(known.where(several).select("tag"), amounts[2], filter_bits))
+    hot_grams = context.broadcast(_filter_of(known.where(hot).select("gram").distinct(), amounts[1], filter_bits))
     dealt = dealt_segments(docs, chosen, hot_grams, bins, length, gram)
     whole = known.where("n > 1").select(
         "gram", "key", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("size").alias("end"))).alias("spans")
@@ -300,11 +307,13 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, most: int, filter_bi
     if amounts[1]:
         dealt = written(dealt)
         split = dealt.where("part < 0").select(F.struct("gram", "key").alias("doc_id"), F.col("bytes").alias("text"))
-        deeper = repeated_spans(split, length, min(2 * gram, length), most, filter_bits)
+        deeper = repeated_spans(split, length, min(4 * gram, length), most, filter_bits)
         whole = whole.union(deeper.select("doc_id.gram", "doc_id.key", "spans"))
         dealt = dealt.where("part >= 0")
     marks = written(marked_segments(dealt, length).where(F.size("spans") > 0).union(whole))
-    found = context.broadcast(build_filter(marks.select("key"), filter_bits))
+    chosen.destroy()
+    hot_grams.destroy()
+    found = context.broadcast(_filter_of(marks.select("key"), marks.count(), filter_bits))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def occurrences(s: Segments, texts, table):
