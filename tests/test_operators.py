@@ -70,6 +70,51 @@ def test_matching_against_brute_force(spark):
         assert scores[tool].FP == sum(1 for x in found if x[0] == tool) - sum(1 for c in chosen if c[0] == tool)
 
 
+def _some_findings(spark):
+    rnd = random.Random(8)
+    ids = [None, "", "A", "B", "C"]
+    some = lambda: [rnd.choice(ids) for _ in range(3)]
+    gt = [(f"g{i:03}", "npm", rnd.choice(["x", "y", None]), rnd.choice(["1.0", "2.0", "3.0", None]), *some())
+          for i in range(90)]
+    found = [("st"[i % 2], f"f{i:03}", "npm", rnd.choice(["x", "y", "z", None]), rnd.choice(["1.0", "2", "5.0", None]),
+              *some(), rnd.choice([None, ">=2.0", "<2.5", "<bad"]), "") for i in range(60)]
+    return spark.createDataFrame(gt, GT), spark.createDataFrame(found, FOUND)
+
+
+def test_pairs_and_axis_agree(spark, monkeypatch):
+    """Packages matched in one task and packages of many rows give the same rows."""
+    g, f = _some_findings(spark)
+    tools = ["s", "t"]
+
+    def outcomes():
+        hits = matching.matched_signatures(g, f, ["tool"])
+        vectors = sig.detection_vector(g, f, tools)
+        frames = [matching.match(g, f, tools), hits.drop("n_chosen"), matching.classified_misses(g, f, tools),
+                  metrics.component_outcomes(g, f, tools), matching.missed_signatures(g, f, tools, hits)]
+        patterns = {(str(r.pattern), r.n) for r in sig.key_patterns(g, f, tools).collect()}
+        counted = {(str(r.pattern), r.n) for r in sig.patterns(vectors.withColumn("repeat", F.lit(1))).collect()}
+        assert patterns == counted
+        return [sorted(map(repr, df.select(*sorted(df.columns)).collect())) for df in frames] + [patterns]
+
+    small = outcomes()
+    monkeypatch.setattr(matching, "FEW", 0)
+    assert matching.crowded(g, f).count() == 2
+    assert outcomes() == small
+
+
+def test_small_packages_are_shuffled_once(spark):
+    """After both sides are dealt out by package nothing is shuffled again."""
+    g, f = _some_findings(spark)
+    crowd = matching.crowded(g, f)
+    said = matching.said_by_pairs(
+        matching.by_package(g, crowd), matching.by_package(f, crowd), ["tool"],
+        matching.written(matching.parsed_texts(f)), "ord",
+    )
+    plan = said._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 2
+    assert "hashpartitioning" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
 def test_covering_many_intervals(spark):
     rnd = random.Random(5)
     points = [(g, f"v{i}", f"{i:03}!1") for g in "ab" for i in range(0, 200, rnd.randint(1, 2))]
