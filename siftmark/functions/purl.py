@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftmark.functions.constants import ECOSYSTEMS
 from siftmark.functions.identity import slash_to_colon
-from siftmark.functions.text import filled, null_to_blank, strip
+from siftmark.functions.text import bound, filled, null_to_blank, strip
 
 
 def percent_decode(c: Column) -> Column:
@@ -33,11 +33,14 @@ def purl_type(purl: Column) -> Column:
 
 def purl_ecosystem(purl: Column) -> Column:
     """The supported ecosystem whose prefix the package URL carries, else null."""
-    p = F.lower(null_to_blank(purl))
-    out = F.lit(None).cast("string")
-    for name, kind, _, _ in ECOSYSTEMS:
-        out = F.when(p.startswith(f"pkg:{kind}/"), F.lit(name)).otherwise(out)
-    return out
+
+    def named(p: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, kind, _, _ in ECOSYSTEMS:
+            out = F.when(p.startswith(f"pkg:{kind}/"), F.lit(name)).otherwise(out)
+        return out
+
+    return bound(F.lower(null_to_blank(purl)), named)
 
 
 def purl_body(purl: Column) -> Column:
@@ -75,18 +78,27 @@ def build_coordinate(eco: Column, name: Column, version: Column) -> Column:
 
 def coordinate_parts(coord: Column) -> Column:
     """(ecosystem, component, version) read back from a coordinate; null when it is not one."""
-    c = F.regexp_replace(strip(null_to_blank(coord)), "^pkg:", "")
-    left = F.substring_index(c, "@", 1)
-    version = drop_qualifiers(F.substring(c, F.length(left) + 2, F.lit(1 << 30)))
-    kind = F.lower(F.substring_index(left, "/", 1))
-    rest = F.regexp_replace(left, "^[^/]*/", "")
-    named = left.contains("/") & ((kind != "maven") | rest.contains("/"))
-    known = kind.isin([row[0] for row in ECOSYSTEMS])
-    return F.when(
-        c.contains("@") & (version != "") & named & known,
-        F.struct(
-            kind.alias("ecosystem"),
-            F.when(kind == "maven", slash_to_colon(rest)).otherwise(rest).alias("component"),
-            version.alias("version"),
-        ),
-    )
+
+    def split(c: Column) -> Column:
+        left = F.substring_index(c, "@", 1)
+        return F.struct(
+            c.contains("@").alias("whole"), left.contains("/").alias("named"),
+            F.lower(F.substring_index(left, "/", 1)).alias("kind"),
+            F.regexp_replace(left, "^[^/]*/", "").alias("rest"),
+            drop_qualifiers(F.substring(c, F.length(left) + 2, F.lit(1 << 30))).alias("version"),
+        )
+
+    def read(p: Column) -> Column:
+        kind, rest = p["kind"], p["rest"]
+        named = p["named"] & ((kind != "maven") | rest.contains("/"))
+        known = kind.isin([row[0] for row in ECOSYSTEMS])
+        return F.when(
+            p["whole"] & (p["version"] != "") & named & known,
+            F.struct(
+                kind.alias("ecosystem"),
+                F.when(kind == "maven", slash_to_colon(rest)).otherwise(rest).alias("component"),
+                p["version"].alias("version"),
+            ),
+        )
+
+    return bound(bound(F.regexp_replace(strip(null_to_blank(coord)), "^pkg:", ""), split), read)

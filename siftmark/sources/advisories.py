@@ -24,6 +24,7 @@ from siftmark.session import written
 from siftmark.sources.base import (
     FindingSource,
     deduplicated,
+    evaluated,
     exploded,
     finding_columns,
     landed,
@@ -192,7 +193,7 @@ def coordinates(gt: DataFrame) -> DataFrame:
     """Distinct coordinates to ask for: the stored purl, else one built; first key wins."""
     stored = F.nullif(strip(F.col("purl")), F.lit(""))
     built = build_coordinate(F.col("ecosystem"), F.col("component"), F.col("version"))
-    rows = gt.select("ord", *COORDINATE, F.coalesce(stored, built).alias("coordinate"))
+    rows = evaluated(gt, "ord", *COORDINATE, F.coalesce(stored, built).alias("coordinate"))
     return first_row_per(rows.where("coordinate is not null"), ["coordinate"], "ord").drop("ord")
 
 
@@ -212,16 +213,13 @@ def oss_index(raw: DataFrame, gt: DataFrame) -> DataFrame:
         F.coalesce(F.nullif(F.col("r.coordinates"), F.lit("")), null_to_blank(F.col("r.coordinate")))
     )
     asked = coordinates(gt).withColumn("asked", F.struct(*COORDINATE)).select("coordinate", "asked")
-    located = (
-        reports.withColumn("coordinate", coordinate)
-        .join(asked, "coordinate", "left")
-        .withColumn("key", F.coalesce("asked", coordinate_parts(F.col("coordinate"))))
-        .where("key is not null")
-    )
-    rows = located.select(
-        "ord", "key", F.posexplode(F.col("r.vulnerabilities")).alias("pos", "v")
-    ).withColumn("ord", sub_ord(F.col("pos")))
-    vid, title, text = (strip(null_to_blank(F.col(f"v.{c}"))) for c in ("id", "title", "description"))
+    reports = evaluated(reports, "ord", coordinate.alias("coordinate"), F.col("r.vulnerabilities").alias("listed"))
+    key = F.coalesce("asked", coordinate_parts(F.col("coordinate"))).alias("key")
+    located = evaluated(reports.join(asked, "coordinate", "left"), "ord", "listed", key).where("key is not null")
+    rows = located.select("ord", "key", F.posexplode("listed").alias("pos", "v"))
+    texts = [strip(null_to_blank(F.col(f"v.{c}"))).alias(c) for c in ("id", "title", "description")]
+    rows = evaluated(rows, sub_ord(F.col("pos")).alias("ord"), "key", "v", *texts)
+    vid, title, text = F.col("id"), F.col("title"), F.col("description")
     free = F.concat_ws(" ", vid, title, text)
     refs = F.col("v.references")
     named = lambda c: F.when(F.upper(F.col(f"v.{c}")).startswith("CVE-"), F.col(f"v.{c}"))
@@ -230,9 +228,10 @@ def oss_index(raw: DataFrame, gt: DataFrame) -> DataFrame:
     )
     ghsa = F.coalesce(_token(refs, "GHSA-"), _token(free, "GHSA-"))
     line = first_line(F.coalesce(F.nullif(title, F.lit("")), text))
-    found = rows.select(
+    found = evaluated(
+        rows,
         "ord",
-        "key.*",
+        *[F.col(f"key.{c}").alias(c) for c in COORDINATE],
         normalize_identifier(cve).alias("cve"),
         normalize_identifier(ghsa).alias("ghsa"),
         F.when(vid != "", strip(F.concat(F.lit("[OSSINDEX:"), vid, F.lit("] "), line)))

@@ -15,7 +15,7 @@ from siftmark.functions.identity import (
 )
 from siftmark.functions.purl import drop_qualifiers, percent_decode, purl_body, purl_ecosystem
 from siftmark.functions.text import filled, first_line, null_to_blank, strip
-from siftmark.sources.base import FindingSource, deduplicated, exploded, finding_columns, landed, register
+from siftmark.sources.base import FindingSource, deduplicated, evaluated, exploded, finding_columns, landed, register
 
 DTRACK = """array<struct<
     component: struct<purl: string>,
@@ -47,9 +47,9 @@ def dtrack(raw: DataFrame, gt: DataFrame | None = None) -> DataFrame:
     vuln_id = normalize_identifier(F.col("f.vulnerability.vulnId"))
     eco = F.col("ecosystem")
     known = (
-        rows.withColumn("ecosystem", purl_ecosystem(purl))
-        .where(eco.isNotNull() & body.contains("@"))
-        .select(
+        evaluated(
+            evaluated(rows, "ord", "f", purl_ecosystem(purl).alias("ecosystem"))
+            .where(eco.isNotNull() & body.contains("@")),
             "ord",
             "ecosystem",
             normalize_component(
@@ -76,9 +76,9 @@ def snyk(raw: DataFrame, gt: DataFrame | None = None) -> DataFrame:
     ranges = F.col("v.semver.vulnerable")
     eco = F.col("ecosystem")
     known = (
-        rows.withColumn("ecosystem", purl_ecosystem(F.col("v.packageUrl")))
-        .where(eco.isNotNull() & filled(name) & filled(F.col("v.version")))
-        .select(
+        evaluated(
+            evaluated(rows, "ord", "v", purl_ecosystem(F.col("v.packageUrl")).alias("ecosystem"))
+            .where(eco.isNotNull() & filled(name) & filled(F.col("v.version"))),
             "ord",
             "ecosystem",
             F.when(eco == "maven", slash_to_colon(name)).otherwise(name).alias("component"),
@@ -107,9 +107,9 @@ def trivy(raw: DataFrame, gt: DataFrame | None = None) -> DataFrame:
     fixed = F.col("v.FixedVersion")
     eco = F.col("ecosystem")
     known = (
-        rows.withColumn("ecosystem", purl_ecosystem(purl))
-        .where(eco.isNotNull() & filled(name) & filled(version) & filled(purl))
-        .select(
+        evaluated(
+            evaluated(rows, "ord", "v", purl_ecosystem(purl).alias("ecosystem"))
+            .where(eco.isNotNull() & filled(name) & filled(version) & filled(purl)),
             "ord",
             "ecosystem",
             F.when(eco == "maven", slash_to_colon(name)).otherwise(name).alias("component"),
