@@ -141,9 +141,13 @@ def fingerprint(df: DataFrame, by: list[str]) -> DataFrame:
     """
     digest = df.select(*by, _row_digest(df).alias("d"))
     chunk = lambda i: F.conv(F.substring("d", 8 * i + 1, 8), 16, 10).cast("bigint")
-    sums = digest.groupBy(*by).agg(
-        F.count("*").alias("n_rows"),
-        *[F.sum(chunk(i).cast("decimal(20,0)")).alias(f"s{i}") for i in range(_CHUNKS)],
+    # A task's chunks of 32 bits add up in 64; only its few sums are added as decimals.
+    parts = digest.groupBy(*by, F.spark_partition_id().alias("_part")).agg(
+        F.count("*").alias("n_rows"), *[F.sum(chunk(i)).alias(f"s{i}") for i in range(_CHUNKS)]
+    )
+    sums = parts.groupBy(*by).agg(
+        F.coalesce(F.sum("n_rows"), F.lit(0).cast("bigint")).alias("n_rows"),
+        *[F.sum(F.col(f"s{i}").cast("decimal(20,0)")).alias(f"s{i}") for i in range(_CHUNKS)],
     )
     joined = F.concat_ws("|", F.col("n_rows").cast("string"),
                          *[F.col(f"s{i}").cast("string") for i in range(_CHUNKS)])

@@ -54,3 +54,22 @@ def test_oss_index_ids_of_odd_reports(spark):
            for r in advisories.oss_index(raw, gt).collect()}
     assert got == {("1", "npm", "x", "1", "CVE-1-2", "GHSA-Q", "[OSSINDEX:s] text"),
                    ("3", "maven", "g:a", "2", "CVE-4", None, "")}
+
+
+def test_fingerprint_sums_stay_exact(spark, capsys):
+    """Chunks add up in a task as 64-bit numbers; the value is that of the plain definition."""
+    rows = [("t" + str(i % 2), "npm", f"c{i}", "1", None if i % 3 else f"CVE-{i}", None) for i in range(500)]
+    df = spark.createDataFrame(rows * 2, "tool string, ecosystem string, component string, version string, cve string, osv_id string")
+    prints = drift.fingerprint(df.repartition(7), ["tool"])
+    assert "SPARK_PARTITION_ID" in _plan(prints, capsys)
+    sums = defaultdict(lambda: [0] * 9)
+    for tool, *parts, cve, _ in rows * 2:
+        text = json.dumps([*parts, cve or ""], separators=(",", ":"))
+        digest = hashlib.sha256(text.encode()).hexdigest()
+        sums[tool][0] += 1
+        for i in range(8):
+            sums[tool][i + 1] += int(digest[8 * i:8 * i + 8], 16)
+    want = {t: (s[0], hashlib.sha256("|".join(map(str, s)).encode()).hexdigest()) for t, s in sums.items()}
+    assert {r.tool: (r.n_rows, r.fingerprint) for r in prints.collect()} == want
+    none = drift.fingerprint(df.where("false"), []).first()
+    assert (none.n_rows, none.fingerprint) == (0, hashlib.sha256(b"0").hexdigest())
