@@ -73,3 +73,37 @@ def test_fingerprint_sums_stay_exact(spark, capsys):
     assert {r.tool: (r.n_rows, r.fingerprint) for r in prints.collect()} == want
     none = drift.fingerprint(df.where("false"), []).first()
     assert (none.n_rows, none.fingerprint) == (0, hashlib.sha256(b"0").hexdigest())
+
+
+def test_parsed_documents_are_not_written(spark, monkeypatch):
+    """The first step of a walk follows the parse; what is written holds no whole document."""
+    seen = []
+    keep = authority.written
+    monkeypatch.setattr(authority, "written", lambda df: seen.append(df.columns) or keep(df))
+    m = lambda **x: {"criteria": "cpe:2.3:a:v:p:1:*", **x}
+    matches = [m(), 3, None, "x", [1], m(vulnerable=False), m(vulnerable="false"), m(vulnerable=""), m(vulnerable=0),
+               m(vulnerable=None), m(vulnerable={}), {"versionEndExcluding": 1.5}]
+    tree = {"id": " C1 ", "configurations": [{"nodes": [{"cpeMatch": matches, "children": {"cpeMatch": [m()]}}]}]}
+    deep = {"cpeMatch": [m(versionStartIncluding="2")]}
+    for _ in range(12):
+        deep = {"children": [deep]}
+    docs = {"1": tree, "2": {"vulnerabilities": [{"cve": tree}]}, "3": {"vulnerabilities": [{"id": "C3", "cve": None}]},
+            "4": {"vulnerabilities": []}, "5": {"vulnerabilities": {"cve": tree}}, "6": [tree], "7": {"id": "C7", "configurations": deep},
+            "8": {"id": None}, "9": {"vulnerabilities": [4]}}
+    raw = [(k, json.dumps(v)) for k, v in docs.items()] + [("bad", "{"), ("blank", " "), ("none", None)]
+    found, rejects = authority.landed_records(spark.createDataFrame(raw, "ord string, payload string"))
+    got = {r.ord: (r.cve, [(n.vendor, n.version, n.version_start_including, n.version_end_excluding) for n in r.cpe_nodes])
+           for r in found.collect()}
+    one = ("v", "1", None, None)
+    whole = [one, one, one, ("", None, None, "1.5"), one]
+    assert got == {"1": ("C1", whole), "2": ("C1", whole), "3": ("C3", []), "7": ("C7", [("v", "1", "2", None)])}
+    assert [r.ord for r in rejects.collect()] == ["bad"]
+    assert len(seen) > 1 and not any("body" in columns for columns in seen)
+
+
+def test_node_names_are_read_once(spark, capsys):
+    df = spark.createDataFrame([("A_b", " c ", ["a-b"]), ("xx", "yc", ["c"]), (None, "", ["", "z"]), ("q", "r", None)],
+                               "vendor string, product string, tokens array<string>")
+    out = df.select(coverage.node_match(F.struct("vendor", "product"), F.col("tokens")).alias("m"))
+    assert [r.m for r in out.collect()] == ["exact", "substring", None, None]
+    assert _plan(out, capsys).count("translate(") == 1
