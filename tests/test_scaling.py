@@ -6,7 +6,8 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from siftmark.operators import coverage, drift
+from siftmark.functions import text
+from siftmark.operators import coverage, drift, taxonomy
 from siftmark.sources import advisories, authority, scanners
 from workload import views
 
@@ -107,3 +108,33 @@ def test_node_names_are_read_once(spark, capsys):
     out = df.select(coverage.node_match(F.struct("vendor", "product"), F.col("tokens")).alias("m"))
     assert [r.m for r in out.collect()] == ["exact", "substring", None, None]
     assert _plan(out, capsys).count("translate(") == 1
+
+
+def test_views_are_dealt_by_files(spark, tmp_path, monkeypatch):
+    """One row group becomes files of the same number of rows, without dealing rows at random."""
+    spark.sql("""select id as l_orderkey, id as l_partkey, id as l_suppkey, 1 as l_linenumber, 1.0D as l_extendedprice,
+        'R' as l_returnflag, timestamp'1995-03-01' as l_shipdate from range(1000)""").coalesce(1).write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(views, "TASK_ROWS", 50)
+    (gt,) = views.views(spark, str(tmp_path), "gt0")
+    held = [r["count"] for r in gt.groupBy(F.input_file_name()).count().collect()]
+    assert held == [50] * 20
+
+
+def test_packed_texts_come_back(spark):
+    """Digests are sent as half as many bytes, and every text comes back as it was."""
+    texts = ["0" * 32, "ab12" * 16, "AB", "abc", "", "0", "é\x01", "-1", "ff ", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.packed(F.col("t")).alias("p"))
+    got = got.select("t", F.octet_length("p").alias("n"), text.unpacked(F.col("p")).alias("back")).collect()
+    assert [(r.t, r.back) for r in got] == [(t, t) for t in texts]
+    assert [r.n for r in got[:2]] == [17, 33]
+
+
+def test_product_words_are_told_before_the_shuffle(spark, capsys):
+    """Descriptions do not go through the join with the aliases."""
+    extra = spark.createDataFrame([("t", "o", "npm", "x", "C", "a server")],
+                                  "tool string, ord string, ecosystem string, component string, cve string, description string")
+    aliases = spark.createDataFrame([("npm", "x", "C")], "ecosystem string, component string, alias string")
+    out = taxonomy.classify_extra(extra, aliases)
+    assert [r.fp_class for r in out.collect()] == ["FP-LIKELY"]
+    assert "description" not in _plan(taxonomy.fp_tally(out), capsys).split("Join")[0]
