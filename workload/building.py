@@ -10,7 +10,7 @@ from siftmark.functions.constants import ECOSYSTEM_NAMES
 from siftmark.functions.identity import component_key, stable_row_key
 from siftmark.functions.text import clean_description, shorten
 from siftmark.operators import balancing, coverage, datasets, selection
-from siftmark.session import WRITTEN, shared_folder
+from siftmark.session import WRITTEN, shared_folder, written
 from siftmark.sinks import committed
 from siftmark.sources import advisories as adv
 from siftmark.sources import ground_truth
@@ -37,11 +37,13 @@ def target_prefix(spark, d):
 
 
 def balance(spark, d):
-    return balancing.balance(rows(spark, d), ECOSYSTEM_NAMES, "min").select("ord", "ecosystem")
+    return balancing.balance(rows(spark, d, often=True), ECOSYSTEM_NAMES, "min").select("ord", "ecosystem")
 
 
 def balance_median(spark, d):
     capped = datasets.cap_per_component(datasets.canonicalize(rows(spark, d)), 10)
+    # Balancing reads the capped rows several times, so they are made and written once.
+    capped = written(capped.drop("purl", "vulnerability_description"))
     return balancing.balance(capped, ECOSYSTEM_NAMES, "median").select("ord", "ecosystem")
 
 
