@@ -7,9 +7,9 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from siftmark.functions import text
-from siftmark.operators import coverage, drift, taxonomy
+from siftmark.operators import coverage, drift, metrics, taxonomy
 from siftmark.sources import advisories, authority, scanners
-from workload import views
+from workload import comparison, views
 
 
 def _plan(df, capsys):
@@ -138,3 +138,20 @@ def test_product_words_are_told_before_the_shuffle(spark, capsys):
     out = taxonomy.classify_extra(extra, aliases)
     assert [r.fp_class for r in out.collect()] == ["FP-LIKELY"]
     assert "description" not in _plan(taxonomy.fp_tally(out), capsys).split("Join")[0]
+
+
+def _lineitem(spark, folder):
+    """A table of 1000 shipments, no supplier of them divisible by 3, in one row group."""
+    spark.sql("""select id as l_orderkey, id % 40 as l_partkey, 3 * id + 1 as l_suppkey, 1 as l_linenumber, 1.0D as l_extendedprice,
+        'R' as l_returnflag, timestamp'1995-03-01' as l_shipdate from range(1000)""").coalesce(1).write.parquet(
+        f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_ground_truth_is_summed_up_once(spark, tmp_path, monkeypatch):
+    """The summary of the ground truth, which shuffles its component versions, is made once for a query."""
+    made = []
+    keep = metrics.gt_summary
+    monkeypatch.setattr(metrics, "gt_summary", lambda gt: made.append(1) or keep(gt))
+    comparison.ecosystem_summary(spark, _lineitem(spark, tmp_path))
+    assert len(made) == 1
