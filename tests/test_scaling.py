@@ -7,7 +7,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from siftmark.functions import text
-from siftmark.operators import coverage, drift, metrics, taxonomy
+from siftmark.operators import coverage, drift, matching, metrics, taxonomy
 from siftmark.sources import advisories, authority, scanners
 from workload import comparison, views
 
@@ -155,3 +155,34 @@ def test_ground_truth_is_summed_up_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(metrics, "gt_summary", lambda gt: made.append(1) or keep(gt))
     comparison.ecosystem_summary(spark, _lineitem(spark, tmp_path))
     assert len(made) == 1
+
+
+def _shuffles(df, capsys):
+    capsys.readouterr()
+    df.explain()
+    return capsys.readouterr().out.count(" Exchange hashpartitioning")
+
+
+def _all_crowded(monkeypatch):
+    monkeypatch.setattr(matching, "FEW", 0)
+    monkeypatch.setattr(matching, "ONE_TASK", 0)
+
+
+def test_advisories_meet_versions_without_a_shuffle(spark, monkeypatch, capsys):
+    """Pairs of a small package stay in its task; the index of intervals gives the same rows."""
+    rng = [None, "", "< 2.0", "[1.0,2.0)", ">=1.0.0 <2.0.0", ">= 1.0, < 2.0", "===1.5", "~=1.4", "oops", "[x,2)"]
+    node = lambda i, r, cve: {"vulnerableVersionRange": r, "advisory": {
+        "ghsaId": f"ghsa-{i}", "summary": f"s{i}", "identifiers": [{"type": "CVE", "value": cve}] if cve else []}}
+    raw = [(f"{eco}{p}{i}", eco, p, json.dumps({"data": {"securityVulnerabilities": {"nodes": [
+        # One id with two ranges: the first that keeps the version counts.
+        node(i, r, f"CVE-{i % 6}"), node(i, rng[(i + 3) % len(rng)], None if i % 2 else f"CVE-{i % 6}")]}}}))
+        for eco in ("PIP", "NPM", "?") for p in ("a", "b", None) for i, r in enumerate(rng)]
+    versions = ["0.9", "1.0", "1.5", "1.5.0", "1.5rc1", "2.0", "abc", "", None, "1.4.post1"]
+    gt = [(e, p, v) for e in ("pypi", "npm", None) for p in ("a", "b", "c", None) for v in versions] * 2
+    raw = spark.createDataFrame(raw, "ord string, github_ecosystem string, package string, payload string")
+    gt = spark.createDataFrame(gt, "ecosystem string, component string, version string")
+    small = advisories.github(raw, gt)
+    assert _shuffles(small, capsys) == 2
+    rows = sorted(map(str, small.collect()))
+    _all_crowded(monkeypatch)
+    assert len(rows) > 100 and rows == sorted(map(str, advisories.github(raw, gt).collect()))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftmark.plans.scoring import collect_findings
 from siftmark.sources import advisories, ground_truth, registries, scanners
-from workload.views import ORD, VERSION, VKEY, ctes, table, view
+from workload.views import ORD, VERSION, VKEY, ctes, table, view, views
 
 _N = "cast(l_partkey as string)"
 _KIND = "case l_partkey % 4 when 0 then 'maven' when 1 then 'npm' when 2 then 'nuget' else 'pypi' end"
@@ -132,18 +132,18 @@ def _spelling(column, github):
     return out
 
 
-def _per_package(spark, d, modulus):
+def _per_package(gt, modulus):
     """Distinct (package, number) with its first ord."""
     return (
-        view(spark, d, "gt0")
-        .groupBy("ecosystem", "component",
+        gt.groupBy("ecosystem", "component",
                  (F.substring("osv_id", 5, 9).cast("int") % modulus).alias("m"))
         .agg(F.min("ord").alias("ord"))
     )
 
 
 def scan_github(spark, d):
-    p = _per_package(spark, d, 60)
+    (gt,) = views(spark, d, "gt0")
+    p = _per_package(gt, 60)
     top = F.concat((1 + F.col("m") % 7).cast("string"), F.lit(".0.0"))
     rng = (F.when(F.col("m") % 5 == 0, F.concat(F.lit("<"), top)).when(F.col("m") % 5 == 1, ">= 1.0, < 2.0")
            .when(F.col("m") % 5 == 2, F.concat(F.lit("[1.0,"), top, F.lit(")")))
@@ -160,11 +160,12 @@ def scan_github(spark, d):
     body = F.struct(F.struct(F.struct(F.array(node).alias("nodes")).alias("securityVulnerabilities")).alias("data"))
     raw = p.select("ord", _spelling(F.col("ecosystem"), True).alias("github_ecosystem"),
                    F.col("component").alias("package"), F.to_json(body).alias("payload"))
-    return advisories.github(raw, view(spark, d, "gt0")).select(*_SHOWN)
+    return advisories.github(raw, gt).select(*_SHOWN)
 
 
 def scan_osv(spark, d):
-    p = _per_package(spark, d, 90)
+    (gt,) = views(spark, d, "gt0")
+    p = _per_package(gt, 90)
     null = F.lit(None).cast("string")
     e = lambda i, f: F.struct(i.alias("introduced"), f.alias("fixed"))
     top = F.concat((1 + F.col("m") % 7).cast("string"), F.lit(".0.0"))
@@ -184,7 +185,7 @@ def scan_osv(spark, d):
     )
     raw = p.select("ord", _spelling(F.col("ecosystem"), False).alias("osv_ecosystem"),
                    F.col("component").alias("package"), F.to_json(F.struct(F.array(v).alias("vulns"))).alias("payload"))
-    return advisories.osv(raw, view(spark, d, "gt0")).select(*_SHOWN, "osv_id", "match_type")
+    return advisories.osv(raw, gt).select(*_SHOWN, "osv_id", "match_type")
 
 
 def _packages(spark, d):
