@@ -17,9 +17,9 @@ from siftmark.functions.identity import (
     normalize_identifier,
 )
 from siftmark.functions.purl import build_coordinate, build_purl, coordinate_parts, percent_decode
-from siftmark.functions.text import filled, first_line, null_to_blank, strip
+from siftmark.functions.text import bound, filled, first_line, null_to_blank, strip
 from siftmark.operators.intervals import stabbing
-from siftmark.operators.matching import PACKAGE, by_package, crowded
+from siftmark.operators.matching import PACKAGE, by_package, crowded, once
 from siftmark.operators.ranking import first_row_per
 from siftmark.session import written
 from siftmark.sources.base import (
@@ -337,96 +337,159 @@ def osv_advisories(raw: DataFrame) -> DataFrame:
     )
 
 
-def _affected(advisories: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Listed versions, and intervals of event ranges, with their ``place`` in the advisory.
+def _osv_read(raw: DataFrame) -> DataFrame:
+    """What the lookup needs of each advisory: all its ids, listed versions, ranges, what it says.
 
-    Places are (entry, 0 for a listed version and 1 for a range, range, specifier set). Each
-    different specifier set is compiled once.
+    ``component`` is the package. A listed version has its ``entry`` in the advisory, and a range
+    its entry, its number ``at`` in it and its specifier set ``spec``.
     """
-    entries = advisories.select("adv_ord", F.posexplode("affected").alias("entry", "a"))
-    zero, none = F.lit(0), F.lit(None).cast("string")
-    place = lambda kind, at, spec: F.struct(
-        F.col("entry"), kind.alias("kind"), at.alias("range"), spec.alias("spec")
-    ).alias("place")
-    listed = entries.select("adv_ord", F.explode("a.versions").alias("version"), place(zero, zero, none))
-    ranges = entries.select("adv_ord", "entry", F.posexplode("a.ranges").alias("at", "r")).select(
-        "adv_ord", "entry", "at", R.events_to_specifier(F.col("r.events")).alias("spec")
-    ).where("spec is not null")
-    sets = ranges.select("spec").distinct().select(
-        "spec", F.explode(F.array(I.specifier_set(F.col("spec")))).alias("set")
-    ).where("set is not null and size(set.texts) = 0").select("spec", F.inline(I.disjoint(F.col("set.intervals"))))
-    intervals = ranges.join(sets, "spec").select("adv_ord", "lane", "lower", "upper", place(F.lit(1), F.col("at"), F.col("spec")))
-    return listed, intervals
+    parts = lambda body: F.flatten(F.transform(F.coalesce("affected", F.array()), body))
+    listed = parts(lambda a, entry: F.coalesce(F.transform(a["versions"], lambda v: F.struct(
+        entry.alias("entry"), v.alias("version"))), F.array()))
+    ranges = parts(lambda a, entry: F.coalesce(F.transform(a["ranges"], lambda r, at: F.struct(
+        entry.alias("entry"), at.alias("at"), R.events_to_specifier(r["events"]).alias("spec"))), F.array()))
+    named = F.array_distinct(F.array_append(F.coalesce("aliases", F.array()), F.col("id")))
+    return evaluated(
+        osv_advisories(raw),
+        "ecosystem",
+        F.col("package").alias("component"),
+        "adv_ord",
+        F.filter(named, filled).alias("any_ids"),
+        listed.alias("listed"),
+        F.filter(ranges, lambda r: r["spec"].isNotNull()).alias("ranges"),
+        F.col("id").alias("osv_id"),
+        first_with_prefix(F.col("aliases"), "CVE-").alias("adv_cve"),
+        first_with_prefix(F.col("aliases"), "GHSA-").alias("adv_ghsa"),
+        F.coalesce(F.nullif(F.col("summary"), F.lit("")), null_to_blank(F.col("details"))).alias("description"),
+    )
+
+
+def _specifier_intervals(advisories: DataFrame) -> DataFrame:
+    """(spec, set): each different specifier set compiled once. One that names a text by ``===`` holds nothing."""
+    specs = advisories.select(F.explode("ranges.spec").alias("spec")).distinct()
+    return specs.select("spec", F.explode(F.array(I.specifier_set(F.col("spec")))).alias("set")).where(
+        "set is not null and size(set.texts) = 0"
+    ).select("spec", I.disjoint(F.col("set.intervals")).alias("set"))
+
+
+def _place(entry: Column, kind: int, at: Column, spec: Column) -> Column:
+    """Where an advisory holds a version: (entry, 0 for a listed version and 1 for a range, range, specifier set)."""
+    return F.struct(entry.alias("entry"), F.lit(kind).alias("kind"), at.alias("range"), spec.alias("spec"))
+
+
+def _on_axis(version: Column) -> Column:
+    """The lane and position of a version; null for one that cannot be read."""
+    at = lambda k: F.struct(I.specifier_lane(k).alias("lane"), V.point(k).alias("position"))
+    return bound(V.version_key(version), lambda k: F.when(k.isNotNull(), at(k)))
+
+
+OSV_KEY = [*PACKAGE, "name", "version", "purl", "cve", "ghsa", "osv"]
 
 
 def osv(raw: DataFrame, gt: DataFrame) -> DataFrame:
     """Ground-truth rows that an advisory sharing an id confirms, by the first such advisory.
 
-    Rows that agree on everything the lookup reads are looked up once. Ids are exploded on
-    both sides, so that sharing one is an equality join. Ranges of events are compiled once to
-    intervals, a short list per advisory and lane, and a version that an advisory is asked for is
-    compared with their ends. Ranges that name a text by ``===`` hold nothing.
+    Rows that agree on everything the lookup reads are looked up once. Packages of few rows are
+    dealt out whole, and their rows meet the package's advisories in one task; others
+    (``matching.crowded``) meet them by ids. Ranges of events are compiled once to intervals.
+    Ranges that name a text by ``===`` hold nothing.
     """
-    ids = ["cve", "ghsa", "osv_id"]
-    key = [*COORDINATE, "purl", *ids]
-    asked = (
-        gt.withColumns({c: null_to_blank(F.col(c)) for c in ["purl", *ids]})
-        .groupBy(*key)
-        .agg(F.min("ord").alias("ord"))
-        .withColumn("package", osv_package(F.col("ecosystem"), F.col("component"), F.col("purl")))
-        .where("package is not null")
+    rows = (
+        gt.withColumns({c: null_to_blank(F.col(c)) for c in ["purl", "cve", "ghsa", "osv_id"]})
+        .select(
+            "ecosystem", F.col("component").alias("name"), "version", "purl", "cve", "ghsa", F.col("osv_id").alias("osv"), "ord"
+        )
     )
-    advisories = written(osv_advisories(raw))
-    link = advisories.select(
+    # Read once per row, whatever is filtered by it.
+    rows = once(rows, "component", osv_package(F.col("ecosystem"), F.col("name"), F.col("purl")))
+    advisories = written(_osv_read(raw))
+    sets = written(_specifier_intervals(advisories))
+    crowd = crowded(rows, advisories)
+    found = _osv_by_pairs(by_package(rows, crowd), by_package(advisories, crowd), sets)
+    if not crowd.isEmpty():
+        found = found.unionByName(
+            _osv_by_ids(rows.join(crowd, PACKAGE), advisories.join(crowd, PACKAGE), sets).select(*found.columns)
+        )
+    own = lambda c: F.nullif(F.col(c), F.lit(""))
+    found = found.select(
+        "ord",
         "ecosystem",
-        "package",
-        "adv_ord",
-        F.explode(F.array_distinct(F.array_append(F.coalesce("aliases", F.array()), F.col("id")))).alias(
-            "any_id"
-        ),
-    ).where(filled(F.col("any_id")))
-    asked_ids = asked.select(
-        *key, "ord", "package", F.explode(id_set(*[F.col(c) for c in ids])).alias("any_id")
+        F.col("name").alias("component"),
+        "version",
+        own("purl").alias("purl"),
+        F.coalesce(own("cve"), F.col("adv_cve")).alias("cve"),
+        F.coalesce(own("ghsa"), F.col("adv_ghsa")).alias("ghsa"),
+        "osv_id",
+        "description",
+        F.col("m.spec").alias("affected_version_range"),
+        F.when(F.col("m.kind") == 0, "EXACT").otherwise("RANGE").alias("match_type"),
     )
-    pairs = asked_ids.join(link, ["ecosystem", "package", "any_id"]).drop("any_id", "package").distinct()
-    pairs = written(pairs)
+    return deduplicated(finding_columns(found, "osv", "match_type"))
+
+
+OSV_SAYS = ["osv_id", "adv_cve", "adv_ghsa", "description"]
+
+
+def _osv_asked(rows: DataFrame) -> DataFrame:
+    """Rows that are looked up once, with the ids they are looked up by."""
+    asked = rows.groupBy(*OSV_KEY).agg(F.min("ord").alias("ord"))
+    return asked.withColumn("ids", id_set(F.col("cve"), F.col("ghsa"), F.col("osv")))
+
+
+def _osv_by_pairs(rows: DataFrame, advisories: DataFrame, sets: DataFrame) -> DataFrame:
+    """``osv`` of packages dealt out whole: (key, ord, what the advisory says, place ``m``)."""
+    asked = _osv_asked(rows).withColumn("at", F.explode(F.array(_on_axis(F.col("version")))))
+    met = asked.join(
+        advisories.withColumnsRenamed({c: f"_{c}" for c in PACKAGE}),
+        (F.col("component") == F.col("_component")) & (F.col("ecosystem") == F.col("_ecosystem"))
+        & F.arrays_overlap("ids", "any_ids"),
+    )
+    same = F.filter("listed", lambda x: x["version"] == F.col("version"))
+    places = F.concat(
+        F.transform(same, lambda x: _place(x["entry"], 0, F.lit(0), F.lit(None).cast("string"))),
+        F.transform("ranges", lambda r: _place(r["entry"], 1, r["at"], r["spec"])),
+    )
+    asked_of = met.select(*OSV_KEY, "ord", "adv_ord", *OSV_SAYS, "at", F.explode(places).alias("m"))
+    compiled = sets.withColumnRenamed("spec", "_spec")
+    at = F.col("at")
+    inside = F.exists("set", lambda i: (i["lane"] == at["lane"]) & (i["lower"] < at["position"]) & (at["position"] < i["upper"]))
+    held = asked_of.join(compiled, F.col("m.spec") == F.col("_spec"), "left").where((F.col("m.kind") == 0) | inside)
+    return first_row_per(held.drop("at", "_spec", "set"), OSV_KEY, "adv_ord", "m").drop("adv_ord")
+
+
+def _osv_by_ids(rows: DataFrame, advisories: DataFrame, sets: DataFrame) -> DataFrame:
+    """The same for packages that may be too large for a task: sharing an id is an equality join.
+
+    Ranges are a short list per advisory and lane, and a version that an advisory is asked for is
+    compared with their ends.
+    """
+    link = advisories.select(*PACKAGE, "adv_ord", F.explode("any_ids").alias("any_id"))
+    asked_ids = _osv_asked(rows).select(*OSV_KEY, "ord", F.explode("ids").alias("any_id"))
+    pairs = written(asked_ids.join(link, [*PACKAGE, "any_id"]).drop("any_id").distinct())
     # Whether an advisory holds a version is asked once for each two of them.
     asked_versions = pairs.select("adv_ord", "version").distinct()
-    listed, intervals = _affected(advisories)
-    keys = asked_versions.select("version").distinct().select(
-        "version", F.explode(F.array(V.version_key(F.col("version")))).alias("key")
-    ).where("key is not null")
-    points = asked_versions.join(keys, "version").select(
-        "adv_ord", "version", I.specifier_lane(F.col("key")).alias("lane"), V.point(F.col("key")).alias("position")
+    listed = advisories.select("adv_ord", F.inline("listed")).select(
+        "adv_ord", "version", _place(F.col("entry"), 0, F.lit(0), F.lit(None).cast("string")).alias("place")
+    )
+    intervals = advisories.select("adv_ord", F.inline("ranges")).join(sets, "spec").select(
+        "adv_ord", _place(F.col("entry"), 1, F.col("at"), F.col("spec")).alias("place"), F.inline("set")
     )
-    sets = intervals.groupBy("adv_ord", "lane").agg(F.collect_list(F.struct("lower", "upper", "place")).alias("set"))
+    keys = asked_versions.select("version").distinct().select(
+        "version", F.explode(F.array(_on_axis(F.col("version")))).alias("at")
+    ).where("at is not null")
+    points = asked_versions.join(keys, "version").select("adv_ord", "version", "at.*")
+    lists = intervals.groupBy("adv_ord", "lane").agg(F.collect_list(F.struct("lower", "upper", "place")).alias("set"))
     at = F.col("position")
     over = F.filter("set", lambda i: (i["lower"] < at) & (at < i["upper"]))
-    inside = points.join(sets, ["adv_ord", "lane"]).select(
+    inside = points.join(lists, ["adv_ord", "lane"]).select(
         "adv_ord", "version", F.explode(F.array(F.array_min(F.transform(over, lambda i: i["place"])))).alias("place")
     ).where("place is not null")
     held = (
         inside.unionByName(listed.join(asked_versions, ["adv_ord", "version"]).select(*inside.columns))
         .groupBy("adv_ord", "version").agg(F.min("place").alias("m"))
     )
-    chosen = first_row_per(pairs.join(held, ["adv_ord", "version"]), [*key, "ord"], "adv_ord")
-    texts = advisories.select("adv_ord", "id", "aliases", "summary", "details")
-    first = chosen.join(texts, "adv_ord")
-    own = lambda c: F.nullif(F.col(c), F.lit(""))
-    found = first.select(
-        "ord",
-        *COORDINATE,
-        own("purl").alias("purl"),
-        F.coalesce(own("cve"), first_with_prefix(F.col("aliases"), "CVE-")).alias("cve"),
-        F.coalesce(own("ghsa"), first_with_prefix(F.col("aliases"), "GHSA-")).alias("ghsa"),
-        F.col("id").alias("osv_id"),
-        F.coalesce(F.nullif(F.col("summary"), F.lit("")), null_to_blank(F.col("details"))).alias(
-            "description"
-        ),
-        F.col("m.spec").alias("affected_version_range"),
-        F.when(F.col("m.kind") == 0, "EXACT").otherwise("RANGE").alias("match_type"),
-    )
-    return deduplicated(finding_columns(found, "osv", "match_type"))
+    chosen = first_row_per(pairs.join(held, ["adv_ord", "version"]), OSV_KEY, "adv_ord")
+    return chosen.join(advisories.select("adv_ord", *OSV_SAYS), "adv_ord").drop("adv_ord")
 
 
 # --- observations: which advisories hit which release -----------------------------

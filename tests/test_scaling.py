@@ -186,3 +186,25 @@ def test_advisories_meet_versions_without_a_shuffle(spark, monkeypatch, capsys):
     rows = sorted(map(str, small.collect()))
     _all_crowded(monkeypatch)
     assert len(rows) > 100 and rows == sorted(map(str, advisories.github(raw, gt).collect()))
+
+
+def test_rows_meet_osv_advisories_in_one_task(spark, monkeypatch, capsys):
+    """The lookup deals rows and advisories out once, and only findings are shuffled again."""
+    event = lambda **x: {"events": [{k: v} for k, v in x.items()]}
+    affected = [None, [], [{"versions": ["1.0", "2.0"]}], [{"ranges": [event(introduced="1.0", fixed="2.0")]}],
+                [{"ranges": None}, {"versions": ["3"], "ranges": [event(introduced="0", last_affected="1.5"), event(introduced="1.2")]}],
+                [{"ranges": [event(introduced="=1")]}], [{"versions": None, "ranges": [event(introduced="0")]}]]
+    raw = [(f"{eco}{p}{i}", eco, p, json.dumps({"vulns": [
+        {"id": f"OSV-{i}", "aliases": [f"CVE-{i % 3}", f"GHSA-{i}"] if i % 4 else None, "details": f"d{i}", "affected": a}]}))
+        for eco in ("PyPI", "npm") for p in ("a", "@s/b", None) for i, a in enumerate(affected)]
+    gt = [(f"{e}{n}{v}{p}{i}", e, n, v, p, f"CVE-{i}" if i % 2 else None, "", f"OSV-{2 * i}")
+          for e in ("pypi", "npm", None) for n in ("a", "@s/b", None) for v in ("1.0", "1.4", "3", "x", None)
+          for p in (None, "pkg:npm/a@1", "pkg:npm/@s/b@2") for i in range(4)]
+    raw = spark.createDataFrame(raw, "ord string, osv_ecosystem string, package string, payload string")
+    gt = spark.createDataFrame(gt, "ord string, ecosystem string, component string, version string, purl string, "
+                                   "cve string, ghsa string, osv_id string")
+    small = advisories.osv(raw, gt)
+    assert _shuffles(small, capsys) == 3
+    rows = sorted(map(str, small.collect()))
+    _all_crowded(monkeypatch)
+    assert len(rows) == 20 and rows == sorted(map(str, advisories.osv(raw, gt).collect()))
